@@ -18,6 +18,7 @@ from histomesh.session import durable
 
 TILE = ("_tx", "_ty")
 _SLACK = 1.0 + 1e-9
+MAX_PER_TILE = 4096
 
 
 def squared_distance(ax, ay, bx, by) -> Column:
@@ -75,11 +76,11 @@ def _by_tile(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(width, *keys)
 
 
-def _tile_join(lhs, rhs, on, radius, left_xy, right_xy, how, unless_equal=None, partitioned=False) -> DataFrame:
+def _tile_join(lhs, rhs, on, radius, left_xy, right_xy, how, unless_equal=None) -> DataFrame:
     """Join left rows with the copied right rows of their tile; adds ``d2``, drops the copies' keys."""
     keys = [*on, *TILE]
     lhs = _by_tile(lhs, keys)
-    rhs = rhs if partitioned else _by_tile(rhs, keys)
+    rhs = _by_tile(rhs, keys)
     renamed = rhs.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     d2 = squared_distance(*left_xy, *right_xy)
     condition = d2 <= F.lit(radius * radius)
@@ -128,12 +129,11 @@ def _extent(df: DataFrame, xy) -> tuple[float, float, float, float] | None:
 
 def search_plan(
     left: DataFrame, right: DataFrame, on: list[str], left_xy, right_xy, k: int, same_set: bool,
-    start_radius: float | None = None, max_per_tile: int = 4096,
+    start_radius: float | None = None,
 ) -> tuple[float, float]:
     """A first radius expected to hold about ``2k + 4`` points, and a radius nothing can exceed.
 
-    Reads per-group counts and extents (one row per group). The radius is shrunk when some tile is
-    far denser than the average, so a crowded spot never pairs with all of itself.
+    Reads per-group counts and extents (one row per group).
     """
     x, y = right_xy
     per_group = right.groupBy(*on).agg(
@@ -154,19 +154,28 @@ def search_plan(
         if other:
             x0, x1, y0, y1 = min(x0, other[0]), max(x1, other[1]), min(y0, other[2]), max(y1, other[3])
     reach = math.hypot(x1 - x0, y1 - y0) * _SLACK + 1e-9
-    if start_radius is not None:
-        return start_radius, reach
     radius = max(float(stats["s"]) * math.sqrt((2 * k + 4) / math.pi), reach * 1e-7)
-    crowd = (
-        _home_tile(right, right_xy, 2.0 * radius)
-        .groupBy(*on, *TILE)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n"))
-        .first()[0]
-    )
-    if crowd > max_per_tile:
-        radius = max(radius * math.sqrt(max_per_tile / crowd), reach * 1e-7)
-    return radius, reach
+    return start_radius or radius, reach
+
+
+def _crowding(df: DataFrame, on: list[str], xy, radius: float) -> int:
+    per_tile = _home_tile(df, xy, 2.0 * radius).groupBy(*on, *TILE).agg(F.count(F.lit(1)).alias("n"))
+    return int(per_tile.agg(F.max("n")).first()[0] or 0)
+
+
+def _relieve(right: DataFrame, on: list[str], xy, id_col: str, n: int, radius: float, reach: float):
+    """Keep crowded spots from meeting all of themselves, without changing any answer.
+
+    Rows sharing one exact position are thinned to the ``n`` that can matter; a tile still far
+    denser than the average then shrinks the first radius (later rounds double it again).
+    """
+    crowd = _crowding(right, on, xy, radius)
+    if crowd > MAX_PER_TILE:
+        right = _keep_smallest_ids(right, on, xy, id_col, n)
+        crowd = _crowding(right, on, xy, radius)
+    if crowd > MAX_PER_TILE:
+        radius = max(radius * math.sqrt(MAX_PER_TILE / crowd), reach * 1e-7)
+    return right, radius
 
 
 def _keep_smallest_ids(rhs: DataFrame, keys: list[str], xy, id_col: str, n: int) -> DataFrame:
@@ -205,12 +214,15 @@ def knn_join(
     the answer exact. With ``max_radius`` one round at that radius is the whole answer.
     """
     left_cols, right_cols = left.columns, [c for c in right.columns if c not in on]
+    n_keep = k + (1 if exclude_self else 0)
     if max_radius is not None:
+        right, _ = _relieve(right, on, right_xy, right_id, n_keep, max_radius, max_radius)
         found = _knn_round(left, right, on, k, max_radius, left_id, right_id, left_xy, right_xy, exclude_self)
         return found.filter(F.col("rank").isNotNull()).select(*left_cols, *right_cols, "d2", "rank")
 
     radius, reach = search_plan(left, right, on, left_xy, right_xy, k, exclude_self, start_radius)
     available = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_need"))
+    right, radius = _relieve(right, on, right_xy, right_id, n_keep, radius, reach)
     need = F.col("_need") - (1 if exclude_self else 0)
     pending = (
         left.join(available, on, "inner")
@@ -251,9 +263,8 @@ def _knn_round(
         wanted = F.broadcast(lhs.select(*on, *TILE).distinct())
         rhs = rhs.join(wanted, [*on, *TILE], "left_semi")
     keys = [*on, *TILE]
-    rhs = _keep_smallest_ids(_by_tile(rhs, keys), keys, right_xy, right_id, k + (1 if exclude_self else 0))
     unless = (left_id, right_id) if exclude_self else None
-    joined = _tile_join(lhs, rhs, on, radius, left_xy, right_xy, "left", unless, partitioned=True)
+    joined = _tile_join(lhs, rhs, on, radius, left_xy, right_xy, "left", unless)
     per_left = Window.partitionBy(*keys, left_id)
     ranked = joined.withColumn("rank", F.row_number().over(per_left.orderBy("d2", right_id))).filter(
         F.col("rank") <= k
@@ -268,24 +279,25 @@ def nearest_distance(
     right: DataFrame,
     on: list[str],
     left_id: str,
+    right_id: str,
     left_xy: tuple[str, str],
     right_xy: tuple[str, str],
-    exclude_equal: tuple[str, str] | None = None,
+    exclude_self: bool = False,
     start_radius: float | None = None,
 ) -> DataFrame:
     """Distance from each left row to the nearest right row of its group, as ``nn_dist``.
 
     Only the minimum is wanted, so each round is one hash aggregate after the tile join.
-    ``exclude_equal=(left_id, right_id)`` leaves out the point itself. Left rows whose group has
+    ``exclude_self`` leaves out the right row whose id equals the left id. Left rows whose group has
     no other row are dropped.
     """
     keep = left.columns
-    radius, reach = search_plan(
-        left, right, on, left_xy, right_xy, 1, same_set=exclude_equal is not None, start_radius=start_radius
-    )
+    exclude_equal = (left_id, right_id) if exclude_self else None
+    radius, reach = search_plan(left, right, on, left_xy, right_xy, 1, exclude_self, start_radius)
 
-    slim_right = [*on, *right_xy] + ([exclude_equal[1]] if exclude_equal else [])
     available = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    right = right.select(*on, *right_xy, right_id)
+    right, radius = _relieve(right, on, right_xy, right_id, 2 if exclude_equal else 1, radius, reach)
     pending = (
         left.join(available, on, "inner")
         .filter(F.col("_n") > (1 if exclude_equal else 0))
@@ -296,16 +308,12 @@ def nearest_distance(
         last = radius >= reach
         width = 2.0 * radius
         lhs = _home_tile(pending, left_xy, width)
-        rhs = _reach_tiles(right.select(*slim_right), right_xy, radius, width)
+        rhs = _reach_tiles(right, right_xy, radius, width)
         if n_pending is not None and n_pending <= _SEMI_ROWS:
             wanted = F.broadcast(lhs.select(*on, *TILE).distinct())
             rhs = rhs.join(wanted, [*on, *TILE], "left_semi")
-        # one row per exact position is enough; two when the point itself must be skipped
         keys = [*on, *TILE]
-        rhs = _by_tile(rhs, keys)
-        if exclude_equal:
-            rhs = _keep_smallest_ids(rhs, keys, right_xy, exclude_equal[1], 2)
-        joined = _tile_join(lhs, rhs, on, radius, left_xy, right_xy, "left", exclude_equal, partitioned=True)
+        joined = _tile_join(lhs, rhs, on, radius, left_xy, right_xy, "left", exclude_equal)
         others = [c for c in keep if c not in on and c != left_id]
         hit = (
             joined.groupBy(*keys, left_id)
