@@ -127,7 +127,7 @@ def neighbour_right(cells):
   from cells l join cells r on l.image_id = r.image_id and l.cell_id <> r.cell_id)
  select image_id, cell_id, nbr_id, cast(rank as int) as rank, round(sqrt(d2), 6) as dist from r where rank <= 6""")
 def knn(t: Tables):
-    cells = t.cells().select("image_id", "cell_id", "x_um", "y_um")
+    cells = t.stored("cells").select("image_id", "cell_id", "x_um", "y_um")
     out = knn_join(cells, neighbour_right(cells), ["image_id"], 6, "cell_id", "nbr_id", ("x_um", "y_um"), ("nx", "ny"), exclude_self=True)
     return rounded(out.select("image_id", "cell_id", "nbr_id", "rank", F.sqrt("d2").alias("dist")), "dist")
 

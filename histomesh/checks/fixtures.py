@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histomesh.session import durable
+
 CELLS = """
 select cell_id, image_id, xi, yi, xi/100.0e0 as x_um, yi/100.0e0 as y_um, q, pk,
   cast((cast(floor(xi/6000.0e0) as bigint) + 2*cast(floor(yi/6000.0e0) as bigint) + case when q < 36 then 0 else q end) % 8 as int) as type_id
@@ -122,6 +124,10 @@ class Tables:
     def cells(self) -> DataFrame:
         return self.spark.sql(CELLS, lineitem=self.read("lineitem"))
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written once, for operators that read their input several times."""
+        return durable(getattr(self, name)())
+
     def habitat_patches(self) -> DataFrame:
         return self.spark.sql(HABITAT_PATCHES, cells=self.cells())
 

@@ -110,7 +110,7 @@ def f_function(t: Tables):
  f as (select pd.sample_id, pd.habitat, avg(case when d <= r.r then 1.0 else 0.0 end) f from pd join r on pd.sample_id=r.sample_id and pd.habitat=r.habitat group by 1,2)
  select g.sample_id, g.habitat, round(case when 1-f > 1e-9 then (1-g)/(1-f) end, 6) as j_function from g join f on g.sample_id=f.sample_id and g.habitat=f.habitat""")
 def j_function(t: Tables):
-    p = t.habitat_patches()
+    p = t.stored("habitat_patches")
     return rounded(pp.j_function(pp.neighbour_distances(p), pp.probe_distances(p, probes=PROBES)), "j_function")
 
 
@@ -177,10 +177,10 @@ def adjacency_matrix(t: Tables):
    cross join (select unnest(range(10)) a) x cross join (select unnest(range(10)) b) y),
  g as (select scaf.*, coalesce(f.f, 0) as f from scaf left join f on scaf.sample_id=f.sample_id and scaf.perm=f.perm and scaf.a=f.a and scaf.b=f.b),
  z as (select sample_id, a, b, max(f) filter (where perm=-1) obs, avg(f) filter (where perm>=0) mu, stddev_pop(f) filter (where perm>=0) sd from g group by 1,2,3)
- select sample_id, a, b, round(obs,6) as observed, round(mu,6) as null_mean, round(sd,6) as null_sd, round(case when sd > 1e-9 then (obs-mu)/sd else 0 end, 4) as z from z""")
+ select sample_id, a, b, round(obs,9) as observed, round(mu,9) as null_mean, round(sd,9) as null_sd, round(case when sd > 1e-9 then (obs-mu)/sd else 0 end, 4) as z from z""")
 def interaction_z(t: Tables):
-    out = I.interaction_z(t.habitat_patches(), offsets=OFFSETS)
-    return rounded(rounded(out, "observed", "null_mean", "null_sd"), "z", places=4)
+    out = I.interaction_z(t.stored("habitat_patches"), offsets=OFFSETS)
+    return rounded(rounded(out, "observed", "null_mean", "null_sd", places=9), "z", places=4)
 
 
 @R.add("null_model_comparison")
@@ -193,7 +193,7 @@ def null_model_comparison(t: Tables):
    on l.sample_id=r.sample_id and l.patch_id<>r.patch_id and l.habitat <= r.habitat group by 1,2,3,4)
  select d.sample_id, d.source, d.target, round(avg(d.d),6) as mean_dist from d join c on d.sample_id=c.sample_id and d.target=c.habitat and c.n >= 2 group by 1,2,3""")
 def distance_features(t: Tables):
-    return rounded(H.pair_distances(t.habitat_patches()), "mean_dist")
+    return rounded(H.pair_distances(t.stored("habitat_patches")), "mean_dist")
 
 
 TRANSITION = HP + """, r as (select l.sample_id, l.habitat as s, r.habitat as d, row_number() over (partition by l.patch_id

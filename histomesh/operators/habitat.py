@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from histomesh.operators import pointpattern as pp
 from histomesh.operators.interaction import interaction_z
 from histomesh.operators.spatial import knn_join, nearest_distance
+from histomesh.session import durable
 
 N_HABITATS = 10
 
@@ -116,6 +117,7 @@ def pair_distances(patches: DataFrame, keys=("sample_id",), n_habitats: int = N_
     sources = (
         sources.withColumn("target", F.explode("_targets")).drop("_targets").filter(F.col("source") <= F.col("target"))
     )
+    sources = durable(sources)
     right = patches.select(
         *keys, F.col("habitat").alias("target"), F.col("patch_id").alias("nbr_id"),
         F.col("x_um").alias("nx"), F.col("y_um").alias("ny"),
@@ -137,6 +139,7 @@ def transition_entropy(patches: DataFrame, keys=("sample_id",), k: int = 6) -> D
     keys = list(keys)
     enough = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > k).drop("_n")
     points = patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(enough, keys, "left_semi")
+    points = durable(points)
     right = points.select(
         *keys, F.col("patch_id").alias("nbr_id"), F.col("x_um").alias("nx"), F.col("y_um").alias("ny"),
         F.col("habitat").alias("nbr_habitat"),
@@ -173,6 +176,7 @@ def extract_all_features(
     """One row per key with every feature column in stable order."""
     keys = list(keys)
     assert_no_background(patches, n_habitats)
+    patches = durable(patches.select(*keys, "patch_id", "x_um", "y_um", "habitat"))  # read by every block
     blocks = [
         composition_features(patches, keys, n_habitats),
         diversity_features(patches, keys),

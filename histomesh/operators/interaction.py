@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from histomesh.operators.order import row_positions
 from histomesh.operators.pointpattern import sample_windows
 from histomesh.operators.spatial import knn_join, radius_pairs
+from histomesh.session import durable
 
 MIN_PATCHES = 20
 
@@ -68,7 +69,7 @@ def toroidal_labels(patches: DataFrame, keys: list[str], offsets) -> DataFrame:
         *keys, F.col("patch_id").alias("nbr_id"), F.col("x_um").alias("nx"), F.col("y_um").alias("ny"),
         F.col("habitat").alias("label"),
     )
-    near = knn_join(shifted, right, keys, 1, "_q", "nbr_id", ("sx", "sy"), ("nx", "ny"))
+    near = knn_join(durable(shifted), right, keys, 1, "_q", "nbr_id", ("sx", "sy"), ("nx", "ny"))
     return near.select(*keys, "patch_id", "perm", "label")
 
 
@@ -98,6 +99,7 @@ def interaction_z(
     n_perm = len(offsets) if null_model == "toroidal" else permutations
     big = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_PATCHES).drop("_n")
     points = patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(big, keys, "left_semi")
+    points = durable(points)
     if null_model == "toroidal":
         null = toroidal_labels(points, keys, offsets)
     elif null_model == "shuffle":

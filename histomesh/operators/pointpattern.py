@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from histomesh.operators.kernel_density import kde_cv
 from histomesh.operators.order import quantiles
 from histomesh.operators.spatial import nearest_distance, radius_join
+from histomesh.session import durable
 
 MIN_POINTS = 10
 RADII = (20.0, 50.0, 100.0, 200.0)
@@ -110,7 +111,7 @@ def ripley_and_pair_correlation(patches: DataFrame, keys=("sample_id",), radii=R
 
 def neighbour_distances(patches: DataFrame, keys=("sample_id",)) -> DataFrame:
     """Distance of every point to the nearest other point of its habitat."""
-    points = _points(patches, keys).select(*keys, "habitat", "patch_id", "x_um", "y_um")
+    points = durable(_points(patches, keys).select(*keys, "habitat", "patch_id", "x_um", "y_um"))
     right = points.select(
         *keys, "habitat", F.col("patch_id").alias("nbr_id"), F.col("x_um").alias("nx"), F.col("y_um").alias("ny")
     )
@@ -149,7 +150,8 @@ def probe_distances(patches: DataFrame, keys=("sample_id",), probes=None) -> Dat
         (F.col("x0") + (F.col("x1") - F.col("x0")) * F.element_at(table, 2 * i + 1)).alias("px"),
         (F.col("y0") + (F.col("y1") - F.col("y0")) * F.element_at(table, 2 * i + 2)).alias("py"),
     )
-    points = _points(patches, keys).select(*keys, "habitat", "patch_id", "x_um", "y_um")
+    points = durable(_points(patches, keys).select(*keys, "habitat", "patch_id", "x_um", "y_um"))
+    placed = durable(placed)
     near = nearest_distance(placed, points, [*keys, "habitat"], "probe", "patch_id", ("px", "py"), ("x_um", "y_um"))
     return near.select(*keys, "habitat", "probe", "nn_dist")
 

@@ -130,10 +130,10 @@ def _extent(df: DataFrame, xy) -> tuple[float, float, float, float] | None:
 def search_plan(
     left: DataFrame, right: DataFrame, on: list[str], left_xy, right_xy, k: int, same_set: bool,
     start_radius: float | None = None,
-) -> tuple[float, float]:
-    """A first radius expected to hold about ``2k + 4`` points, and a radius nothing can exceed.
+) -> tuple[float, float, int]:
+    """A first radius expected to hold about ``3k + 9`` points, and a radius nothing can exceed.
 
-    Reads per-group counts and extents (one row per group).
+    Reads per-group counts and extents (one row per group); the third value is the largest group.
     """
     x, y = right_xy
     per_group = right.groupBy(*on).agg(
@@ -145,17 +145,18 @@ def search_plan(
     stats = per_group.agg(
         (F.sum(F.sqrt(w * h / F.col("n")) * F.col("n")) / F.sum("n")).alias("s"),
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+        F.max("n").alias("largest"),
     ).first()
     if stats["s"] is None:
-        return 1.0, 0.0
+        return 1.0, 0.0, 0
     x0, x1, y0, y1 = (float(stats[c]) for c in ("x0", "x1", "y0", "y1"))
     if not same_set:
         other = _extent(left, left_xy)
         if other:
             x0, x1, y0, y1 = min(x0, other[0]), max(x1, other[1]), min(y0, other[2]), max(y1, other[3])
     reach = math.hypot(x1 - x0, y1 - y0) * _SLACK + 1e-9
-    radius = max(float(stats["s"]) * math.sqrt((2 * k + 4) / math.pi), reach * 1e-7)
-    return start_radius or radius, reach
+    radius = max(float(stats["s"]) * math.sqrt((3 * k + 9) / math.pi), reach * 1e-7)
+    return start_radius or radius, reach, int(stats["largest"])
 
 
 def _crowding(df: DataFrame, on: list[str], xy, radius: float) -> int:
@@ -163,12 +164,14 @@ def _crowding(df: DataFrame, on: list[str], xy, radius: float) -> int:
     return int(per_tile.agg(F.max("n")).first()[0] or 0)
 
 
-def _relieve(right: DataFrame, on: list[str], xy, id_col: str, n: int, radius: float, reach: float):
+def _relieve(right: DataFrame, on: list[str], xy, id_col: str, n: int, radius: float, reach: float, largest=None):
     """Keep crowded spots from meeting all of themselves, without changing any answer.
 
     Rows sharing one exact position are thinned to the ``n`` that can matter; a tile still far
     denser than the average then shrinks the first radius (later rounds double it again).
     """
+    if largest is not None and largest <= MAX_PER_TILE:
+        return right, radius
     crowd = _crowding(right, on, xy, radius)
     if crowd > MAX_PER_TILE:
         right = _keep_smallest_ids(right, on, xy, id_col, n)
@@ -209,8 +212,8 @@ def knn_join(
     Returns left and right columns with ``d2`` and ``rank`` (1..k). Left rows are unique by
     ``(on, left_id)``; ``exclude_self`` drops the right row whose id equals the left id.
 
-    Rounds: search within a radius, keep rows that found all they can have, double the radius for
-    the rest. A row is done only when its k-th hit lies inside the searched radius, which makes
+    Rounds: search within a radius, keep rows that found all they can have, widen the radius for
+    the rest. Inputs are read once per round, so pass stored tables when their lineage is costly. A row is done only when its k-th hit lies inside the searched radius, which makes
     the answer exact. With ``max_radius`` one round at that radius is the whole answer.
     """
     left_cols, right_cols = left.columns, [c for c in right.columns if c not in on]
@@ -220,9 +223,9 @@ def knn_join(
         found = _knn_round(left, right, on, k, max_radius, left_id, right_id, left_xy, right_xy, exclude_self)
         return found.filter(F.col("rank").isNotNull()).select(*left_cols, *right_cols, "d2", "rank")
 
-    radius, reach = search_plan(left, right, on, left_xy, right_xy, k, exclude_self, start_radius)
+    radius, reach, largest = search_plan(left, right, on, left_xy, right_xy, k, exclude_self, start_radius)
     available = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_need"))
-    right, radius = _relieve(right, on, right_xy, right_id, n_keep, radius, reach)
+    right, radius = _relieve(right, on, right_xy, right_id, n_keep, radius, reach, largest)
     need = F.col("_need") - (1 if exclude_self else 0)
     pending = (
         left.join(available, on, "inner")
@@ -250,7 +253,7 @@ def knn_join(
         if n_pending == 0:
             return done
         pending = rest.select(*left_cols, "_need")
-        radius *= 2.0
+        radius *= 2.0 if n_pending > _SEMI_ROWS else 4.0
 
 
 def _knn_round(
@@ -293,11 +296,11 @@ def nearest_distance(
     """
     keep = left.columns
     exclude_equal = (left_id, right_id) if exclude_self else None
-    radius, reach = search_plan(left, right, on, left_xy, right_xy, 1, exclude_self, start_radius)
+    radius, reach, largest = search_plan(left, right, on, left_xy, right_xy, 1, exclude_self, start_radius)
 
     available = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     right = right.select(*on, *right_xy, right_id)
-    right, radius = _relieve(right, on, right_xy, right_id, 2 if exclude_equal else 1, radius, reach)
+    right, radius = _relieve(right, on, right_xy, right_id, 2 if exclude_equal else 1, radius, reach, largest)
     pending = (
         left.join(available, on, "inner")
         .filter(F.col("_n") > (1 if exclude_equal else 0))
@@ -330,4 +333,4 @@ def nearest_distance(
         if n_pending == 0:
             return done
         pending = rest
-        radius *= 2.0
+        radius *= 2.0 if n_pending > _SEMI_ROWS else 4.0
