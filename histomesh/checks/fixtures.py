@@ -77,7 +77,7 @@ from embeddings e cross join (values (0),(1),(2),(3)) m(mode_id) cross join (val
 FEATURES_SQL = """
 select c.c_custkey as sample_id, f.feature, case f.feature when 'acctbal' then c.c_acctbal
   when 'n_orders' then cast(coalesce(o.n,0) as double) when 'total' then o.t else o.a end as value
-from customer c left join (select o_custkey, count(*) n, round(sum(o_totalprice),2) t, round(avg(o_totalprice),2) a from orders group by 1) o
+from customer c left join (select o_custkey, count(*) n, cast(round(sum(o_totalprice)*100) as bigint)/100.0e0 t, cast(round(sum(o_totalprice)*100) as bigint)/(100.0e0*count(*)) a from orders group by 1) o
   on c.c_custkey=o.o_custkey cross join (values ('acctbal'),('n_orders'),('total'),('avg')) f(feature)"""
 
 TILE_PIXELS_SQL = """
@@ -171,9 +171,10 @@ class Tables:
             .groupBy(F.col("o_custkey").alias("c_custkey"))
             .agg(
                 F.count(F.lit(1)).alias("n"),
-                F.round(F.sum("o_totalprice"), 2).alias("total"),
-                F.round(F.avg("o_totalprice"), 2).alias("avg"),
+                F.round(F.sum("o_totalprice") * 100).cast("long").alias("cents"),
             )
+            .withColumn("total", F.col("cents") / 100.0)
+            .withColumn("avg", F.col("cents") / (100.0 * F.col("n")))
         )
         joined = self.read("customer").select("c_custkey", "c_acctbal").join(orders, "c_custkey", "left")
         return joined.select(

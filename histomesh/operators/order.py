@@ -59,8 +59,10 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as columns named by ``probs``; NULLs skipped."""
     counted = running_sums(value_counts(df, keys, value), keys, value, {"upto": "cnt"})
-    totals = counted.groupBy(*keys).agg(F.sum("cnt").alias("n")) if keys else counted.agg(F.sum("cnt").alias("n"))
-    placed = counted.join(totals, keys) if keys else counted.join(F.broadcast(totals))
+    if keys:
+        placed = counted.join(counted.groupBy(*keys).agg(F.sum("cnt").alias("n")), keys)
+    else:
+        placed = counted.withColumn("n", F.lit(counted.agg(F.sum("cnt")).first()[0]))
     start = F.col("upto") - F.col("cnt")
     parts = []
     for name, p in probs.items():
