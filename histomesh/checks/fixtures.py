@@ -71,7 +71,7 @@ from {events}"""
 # SQL text only: the Spark side of these three builds its small fixed axis with explode.
 PREDICTIONS_SQL = """
 select m.mode_id, s.seed, e.vec_id, e.label as y_true,
- cast(case when (e.vec_id*7 + s.seed*13) % (3 + 4*m.mode_id) = 0 then (e.label + 1 + e.vec_id % 3) % 10 else e.label end as int) as y_pred
+ cast(case when (e.vec_id*(7 + s.seed*s.seed) + s.seed*13) % 97 < 30 - 8*m.mode_id then (e.label + 1 + e.vec_id % 3) % 10 else e.label end as int) as y_pred
 from embeddings e cross join (values (0),(1),(2),(3)) m(mode_id) cross join (values (1),(2),(3),(4),(5),(6)) s(seed)"""
 
 FEATURES_SQL = """
@@ -156,7 +156,7 @@ class Tables:
             .withColumn("mode_id", F.explode(F.lit([0, 1, 2, 3])))
             .withColumn("seed", F.explode(F.lit([1, 2, 3, 4, 5, 6])))
         )
-        wrong = F.expr("(vec_id*7 + seed*13) % (3 + 4*mode_id) = 0")
+        wrong = F.expr("(vec_id*(7 + seed*seed) + seed*13) % 97 < 30 - 8*mode_id")
         return axis.select(
             "mode_id",
             "seed",

@@ -100,3 +100,27 @@ def row_positions(df: DataFrame, keys: list[str], order: list[str], name: str =
         .select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     )
     return local.join(offsets, [*keys, "_range"]).withColumn(name, F.col(name) - 1 + F.col("_o")).drop("_range", "_o")
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Replace NULLs by the last non-NULL value before them within ``keys`` (the row's own included).
+
+    Long sequences are cut into ranges: values are carried inside a range first, and each range
+    then receives what the ranges before it ended with.
+    """
+    ranged = durable(
+        df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_range", F.spark_partition_id())
+    )
+    inside = (
+        Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = ranged.withColumns({f"_l_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns})
+    position = F.struct(*order)
+    ends = ranged.groupBy(*keys, "_range").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_e_{c}") for c in columns]
+    )
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_range", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in columns])
+    return local.join(carried, [*keys, "_range"]).select(
+        *[c for c in df.columns if c not in columns], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) for c in columns]
+    )
