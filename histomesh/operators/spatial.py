@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histomesh.session import durable
+from histomesh.session import durable, spread
 
 TILE = ("_tx", "_ty")
 _SLACK = 1.0 + 1e-9
@@ -65,22 +65,11 @@ def radius_join(
     return _tile_join(lhs, rhs, on, radius, left_xy, right_xy, how)
 
 
-def _by_tile(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition by tile with the session's shuffle width.
-
-    A tile's rows are few but each meets a hundred others, so small partitions must not be merged
-    by size; the explicit width keeps adaptive execution from doing that.
-    """
-    spark = df.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(width, *keys)
-
-
 def _tile_join(lhs, rhs, on, radius, left_xy, right_xy, how, unless_equal=None) -> DataFrame:
     """Join left rows with the copied right rows of their tile; adds ``d2``, drops the copies' keys."""
     keys = [*on, *TILE]
-    lhs = _by_tile(lhs, keys)
-    rhs = _by_tile(rhs, keys)
+    lhs = spread(lhs, keys)
+    rhs = spread(rhs, keys)
     renamed = rhs.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     d2 = squared_distance(*left_xy, *right_xy)
     condition = d2 <= F.lit(radius * radius)

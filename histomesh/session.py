@@ -55,3 +55,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` with the session's full shuffle width.
+
+    For steps that do much work per byte (each row meets a hundred others): adaptive execution
+    would merge their small partitions by size, an explicit width keeps it from doing that.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
