@@ -114,9 +114,15 @@ def j_function(t: Tables):
     return rounded(pp.j_function(pp.neighbour_distances(p), pp.probe_distances(p, probes=PROBES)), "j_function")
 
 
-@R.add("empty_space_default_probes")
-def empty_space_default_probes(t: Tables):
-    """The 500 standard probes; checked against brute force on a small fixture in the tests."""
+DEFAULT_PROBES = NN + ", probes as (select * from (values " + ",".join(
+    f"({i},cast('{u!r}' as double),cast('{v!r}' as double))" for i, (u, v) in enumerate(pp.unit_probes())) + f""") t(probe,u,v)),
+ l as (select hw.sample_id, hw.habitat, probe, x0+(x1-x0)*u as x_um, y0+(y1-y0)*v as y_um from hw, probes),
+ pd as (select l.sample_id, l.habitat, l.probe, sqrt(min({D2})) as d from l join pts r on l.sample_id=r.sample_id and l.habitat=r.habitat group by 1,2,3)"""
+
+
+@R.add("f_function_default_probes", DEFAULT_PROBES + " select sample_id, habitat, round(avg(d),6) as f_function from pd group by 1,2")
+def f_function_default_probes(t: Tables):
+    """The 500 standard probes of every sample window."""
     return rounded(pp.f_function(pp.probe_distances(t.habitat_patches())), "f_function")
 
 
@@ -185,7 +191,7 @@ def interaction_z(t: Tables):
 
 @R.add("null_model_comparison")
 def null_model_comparison(t: Tables):
-    return I.null_model_comparison(t.habitat_patches(), offsets=OFFSETS, permutations=5)
+    return I.null_model_comparison(t.stored("habitat_patches"), offsets=OFFSETS, permutations=5)
 
 
 @R.add("distance_features", HP + f""", c as (select sample_id, habitat, count(*) n from habitat_patches group by 1,2),
@@ -208,11 +214,42 @@ def transition_entropy(t: Tables):
     return rounded(H.transition_entropy(t.habitat_patches()), "transition_ste")
 
 
-@R.add("extract_all_features")
+def _block(name: str, feature: str, value: str) -> str:
+    """One feature block as (sample_id, feature, value), from the SQL of its own query."""
+    full = R.sql[name]
+    for places in (4, 6, 9):
+        full = full.replace(f",{places})", ",12)").replace(f", {places})", ", 12)")
+    return f"select sample_id, {feature} as feature, {value} as value from ({full}) b_{name}_{value}"
+
+
+def _tag(column: str) -> str:
+    return f"lpad(cast({column}+1 as varchar), 2, '0')"
+
+
+ALL_FEATURES = " union all ".join(
+    [_block("composition_features", "feature", "value"), _block("transition_entropy", "'transition_ste'", "transition_ste")]
+    + [_block("diversity_features", f"'{m}'", m) for m in H.DIVERSITY if m != "div_fisher_alpha"]
+    + [
+        _block(q, f"concat('disp_H', {_tag('habitat')}, '_{m}')", m)
+        for q, m in [("ripley_k_l", "ripley_k"), ("ripley_k_l", "ripley_l")]
+        + [(m, m) for m in ("pair_correlation", "g_function", "f_function", "j_function", "clark_evans", "quadrat_dispersion", "kde_summary")]
+    ]
+    + [
+        _block("interaction_z", f"concat('inter_H', {_tag('a')}, '_H', {_tag('b')})", "z"),
+        _block("distance_features", f"concat('dist_H', {_tag('source')}, '_H', {_tag('target')})", "mean_dist"),
+    ]
+)
+
+
+@R.add("extract_all_features", f"""select sample_id, feature, case when feature like '%ripley_k' then round(value,3) when feature like 'inter_%' then round(value,4) else round(value,8) end as value
+ from ({ALL_FEATURES}) f where value is not null""")
 def extract_all_features(t: Tables):
-    """All 262 columns; each block has its own SQL-checked query."""
-    out = H.extract_all_features(t.habitat_patches(), probes=PROBES, offsets=OFFSETS)
-    return rounded(out, *H.feature_names(), places=4)
+    """The wide feature table read back in long form (one iteratively solved column has its own query)."""
+    wide = H.extract_all_features(t.habitat_patches(), probes=PROBES, offsets=OFFSETS)
+    names = [n for n in H.feature_names() if n != "div_fisher_alpha"]
+    long = wide.unpivot("sample_id", names, "feature", "value").filter(F.col("value").isNotNull())
+    f, v = F.col("feature"), F.col("value")
+    return long.withColumn("value", F.when(f.like("%ripley_k"), F.round(v, 3)).when(f.startswith("inter_"), F.round(v, 4)).otherwise(F.round(v, 8)))
 
 
 @R.add("features_by_compartment", HP + """, p as (select *, case when habitat < 3 then 'tumour_bulk' when habitat < 6 then 'leading_edge' else 'other' end as compartment from habitat_patches),

@@ -228,14 +228,35 @@ def univariate_cox(t: Tables):
     )
 
 
-@R.add("univariate_cox_estimates")
+def cox_sql(keys: str, having: str = "true", rounds: int = 7) -> str:
+    """Newton iterations of the one-feature Cox model (tied events share the risk set) as chained SQL."""
+    k = [c.strip() for c in keys.split(",")]
+    on = lambda a, b: " and ".join(f"{a}.{c}={b}.{c}" for c in k)
+    of = lambda a: ", ".join(f"{a}.{c}" for c in k)
+    sql = with_tables("clinical", "features_long") + f""", j as (select c.subtype, f.feature, c.os_time, c.os_event, f.value from features_long f join clinical c on f.sample_id=c.sample_id),
+ big as (select subtype from clinical group by 1 having {having}), z as (select {keys}, os_time, os_event, (value - avg(value) over w)/stddev_samp(value) over w as x from j where value is not null and subtype in (select subtype from big) window w as (partition by {keys})),
+ b0 as (select {keys}, 0.0e0 as beta, 0.0e0 as info from z group by all)"""
+    for i in range(rounds):
+        sql += f""", w{i} as (select {of('z')}, z.os_time, z.os_event, z.x, exp(b.beta*z.x) as w from z join b{i} b on {on('z', 'b')}),
+ d{i} as (select {keys}, os_time, sum(w) t0, sum(w*x) t1, sum(w*x*x) t2, sum(os_event*w) e0, sum(os_event*w*x) e1, sum(os_event*w*x*x) e2, sum(os_event) d, sum(os_event*x) ex from w{i} group by all),
+ r{i} as (select *, sum(t0) over w s0, sum(t1) over w s1, sum(t2) over w s2 from d{i} window w as (partition by {keys} order by os_time desc)),
+ s{i} as (select r.*, l.l/d as a from r{i} r, lateral (select unnest(range(cast(d as bigint)))*1.0e0 as l) l where d > 0),
+ u{i} as (select {keys}, sum(ex/d - (s1-a*e1)/(s0-a*e0)) u, sum((s2-a*e2)/(s0-a*e0) - ((s1-a*e1)/(s0-a*e0))*((s1-a*e1)/(s0-a*e0))) info from s{i} group by {keys}),
+ b{i + 1} as (select {of('b')}, b.beta + u.u/u.info as beta, u.info from b{i} b join u{i} u on {on('b', 'u')})"""
+    return sql + f""", cnt as (select {keys}, count(*) n, cast(sum(os_event) as bigint) events from z group by {keys})
+ select {of('b')}, round(exp(beta),5) as hr, round(exp(beta - 1.959963984540054e0/sqrt(info)),5) as ci_lower, round(exp(beta + 1.959963984540054e0/sqrt(info)),5) as ci_upper, round(beta*sqrt(info),5) as z, cnt.n, cnt.events
+ from b{rounds} b join cnt on {on('b', 'cnt')}"""
+
+
+@R.add("univariate_cox_estimates", cox_sql("feature"))
 def univariate_cox_estimates(t: Tables):
-    return rounded(S.univariate_cox(cox_long(t)).drop("beta"), "hr", "ci_lower", "ci_upper", "z", "p", "q")
+    return rounded(S.univariate_cox(cox_long(t)).drop("beta", "p", "q"), "hr", "ci_lower", "ci_upper", "z", places=5)
 
 
-@R.add("stratified_univariate_cox")
+@R.add("stratified_univariate_cox", cox_sql("subtype, feature", "count(*) >= 40"))
 def stratified_univariate_cox(t: Tables):
-    return rounded(S.stratified_univariate_cox(cox_long(t), "subtype").drop("beta"), "hr", "ci_lower", "ci_upper", "z", "p", "q")
+    out = S.stratified_univariate_cox(cox_long(t), "subtype").drop("beta", "p", "q")
+    return rounded(out, "hr", "ci_lower", "ci_upper", "z", places=5)
 
 
 @R.add("bh_adjust", with_tables("clinical") + """, p as (select sample_id as feature, os_time/1501.0e0 as p from clinical), n as (select count(*) n from p),

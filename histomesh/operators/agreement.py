@@ -61,7 +61,7 @@ def adjusted_rand(pairs: DataFrame, keys=(), a="a", b="b") -> DataFrame:
         F.max("t").alias("t"),
     )
     total = F.col("t") * (F.col("t") - 1) / 2
-    expected = F.col("sa") * F.col("sb") / total
+    expected = F.coalesce(F.try_divide(F.col("sa") * F.col("sb"), total), F.lit(0.0))
     most = (F.col("sa") + F.col("sb")) / 2
     value = F.when(F.abs(most - expected) < 1e-12, 1.0).otherwise((F.col("s") - expected) / (most - expected))
     return agg.select(*keys, value.alias("ari"))
@@ -114,7 +114,7 @@ def silhouette(points: DataFrame, vector="features", label="cn") -> DataFrame:
     )
     scored = points.withColumn("_d", mean_d)
     own = F.filter("_d", lambda c: c["own"])[0]
-    a = own["d"] * own["n"] / (own["n"] - 1)
+    a = F.try_divide(own["d"] * own["n"], own["n"] - 1)
     b = F.array_min(F.transform(F.filter("_d", lambda c: ~c["own"]), lambda c: c["d"]))
     top = F.greatest(F.col("_a"), F.col("_b"))
     s = F.when(F.col("_n") <= 1, 0.0).when(top > 0, (F.col("_b") - F.col("_a")) / top).otherwise(0.0)
@@ -134,7 +134,7 @@ def davies_bouldin(points: DataFrame, vector="features", label="cn") -> DataFram
     packed = scatter.agg(table.alias("t")).withColumn("me", F.explode("t"))
     ratio = F.transform(
         F.filter("t", lambda o: o["c"] != F.col("me.c")),
-        lambda o: (o["s"] + F.col("me.s")) / F.sqrt(euclid2(o["centroid"], F.col("me.centroid"))),
+        lambda o: F.try_divide(o["s"] + F.col("me.s"), F.sqrt(euclid2(o["centroid"], F.col("me.centroid")))),
     )
     return packed.agg(F.avg(F.array_max(ratio)).alias("davies_bouldin"))
 

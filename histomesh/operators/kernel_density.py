@@ -28,7 +28,7 @@ def whitened(points: DataFrame, group: list[str]) -> DataFrame:
         F.avg("x_um").alias("mx"), F.avg("y_um").alias("my"),
     )
     shrink = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 6.0))
-    schur = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
+    schur = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
     factors = stats.filter((F.col("n") > 2) & (F.col("sxx") > 0) & (schur > F.col("syy") * 1e-12)).select(
         *group, "n", "mx", "my",
         (F.sqrt("sxx") * shrink).alias("l11"),

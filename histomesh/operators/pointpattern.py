@@ -96,8 +96,10 @@ def ripley_and_pair_correlation(patches: DataFrame, keys=("sample_id",), radii=R
         l_vals.append(F.sqrt(k / math.pi) - r)
         naive.append((F.col(f"all_{i}") - F.col("n")) / F.col("n") / lam)
     shells = [
-        (F.col(f"all_{i + 1}") - F.col(f"all_{i}"))
-        / (F.col("n") * lam * F.lit(math.pi * (radii[i + 1] ** 2 - radii[i] ** 2)))
+        F.try_divide(
+            (F.col(f"all_{i + 1}") - F.col(f"all_{i}")).cast("double"),
+            F.col("n") * lam * F.lit(math.pi * (radii[i + 1] ** 2 - radii[i] ** 2)),
+        )
         for i in range(len(radii) - 1)
     ]
     return table.select(

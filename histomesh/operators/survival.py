@@ -188,7 +188,7 @@ def univariate_cox(
         joined = state.join(step.withColumnRenamed("information", "_info"), keys, "left")
         # a drop in log-likelihood goes back to the last good beta with half the step
         worse = F.col("_ll").isNotNull() & (F.col("loglik") < F.col("_ll") - 1e-10)
-        newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("score") / F.col("_info")))
+        newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(F.col("score"), F.col("_info"))))
         running = ~F.col("_done") & F.col("loglik").isNotNull()
         small = ~worse & (F.abs(newton) < tol)
         state = durable(
@@ -321,7 +321,7 @@ def time_dependent_auc(
     ordered = running_sums(per_risk, ["month"], "risk", {"upto": "controls"})
     below = F.col("upto") - F.col("controls") / 2.0
     return ordered.groupBy("month").agg(
-        (F.sum(F.col("w") * below) / (F.sum("w") * F.sum("controls"))).alias("auc")
+        F.try_divide(F.sum(F.col("w") * below), F.sum("w") * F.sum("controls")).alias("auc")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def local_session(app: str = "histomesh", cpus: int | str = "*", **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.host": "127.0.0.1",
     }
     settings.update(conf)
@@ -52,9 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and continue from the written table.
+
+    Cuts the lineage there: a lost executor re-reads files instead of recomputing earlier rounds.
+    The table is columnar, so later steps read only the columns they use. It is removed when the
+    application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def test_knn_matches_brute_force(spark, k):
 
 
 def test_knn_between_sets_and_small_groups(spark):
-    a, b = points(1, groups=2, n=30), points(2, groups=3, n=2)
+    a, b = points(1, groups=2, n=100), points(2, groups=1, n=2)
     got = knn_join(
         spark.createDataFrame(a), right_of(spark.createDataFrame(b)), ["g"], 5, "id", "nid", ("x", "y"), ("nx", "ny")
     )
