@@ -1,5 +1,7 @@
 """Queries over habitat maps: composition, diversity, point patterns, interaction, distances."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from histomesh.checks.fixtures import Registry, Tables, rounded, with_tables
@@ -216,9 +218,7 @@ def transition_entropy(t: Tables):
 
 def _block(name: str, feature: str, value: str) -> str:
     """One feature block as (sample_id, feature, value), from the SQL of its own query."""
-    full = R.sql[name]
-    for places in (4, 6, 9):
-        full = full.replace(f",{places})", ",12)").replace(f", {places})", ", 12)")
+    full = re.sub(r"(?:(?<!\d)|(?<=/3)),\s?[469]\)", ", 12)", R.sql[name])  # keep the digits, round once at the end
     return f"select sample_id, {feature} as feature, {value} as value from ({full}) b_{name}_{value}"
 
 
