@@ -54,6 +54,8 @@ def write_cached(df: DataFrame, path: str, key: str = "slide_id", force: bool =
     spark = df.sparkSession
     present = None if force else done_keys(spark, path, key)
     todo = df if present is None else df.join(present, key, "left_anti")
+    # gather each key's rows, so a key gets few files; adaptive execution splits a key that is too large
+    todo = todo.hint("rebalance", key)
     todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
