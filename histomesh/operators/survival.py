@@ -273,12 +273,12 @@ def concordance_counts(df: DataFrame, keys=(), risk="risk", time="os_time", even
     events = F.sum(F.when(F.col("e") == 1, F.col("m")).otherwise(0)).alias("ev")
     comparable = pairs(rows.groupBy(*keys, "t").agg(F.sum("m").alias("m"), events), [])
     tied = pairs(rows.groupBy(*keys, "r", "t").agg(F.sum("m").alias("m"), events), ["r"])
-    comparable, tied = comparable.withColumnRenamed("pairs", "comparable"), tied.withColumnRenamed("pairs", "tied")
-    if keys:
-        return comparable.join(concordant, keys).join(tied, keys)
-    one = F.lit(1).alias("_k")
-    joined = comparable.select("*", one).join(concordant.select("*", one), "_k").join(tied.select("*", one), "_k")
-    return joined.drop("_k")
+    parts = {"comparable": comparable, "concordant": concordant.withColumnRenamed("concordant", "pairs"), "tied": tied}
+    stacked = None
+    for name, part in parts.items():
+        filled = part.select(*keys, *[(F.col("pairs") if c == name else F.lit(0.0)).alias(c) for c in parts])
+        stacked = filled if stacked is None else stacked.unionByName(filled)
+    return stacked.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts])
 
 
 def concordance_index(df: DataFrame, keys=(), risk="risk", time="os_time", event="os_event") -> DataFrame:
