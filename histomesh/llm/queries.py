@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from histomesh.llm import warc
+from histomesh.llm import quality, warc
+from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +43,12 @@ _BASE32 = "list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFG
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, folder = warc.archive(_table(spark, sf_dir, "pages"))
     return warc.read_bundles(frames, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
