@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm import quality, warc
+from histomesh.llm import quality, toxicity, warc
 from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), "quality", ~held_out)
     scored = quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 4) == 2
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", "offending"
+    )
