@@ -33,16 +33,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         return [], 0.5
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.filter(F.col("_label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    # at most 2 * per_class ids
-    ids = F.broadcast(picked[0].unionAll(picked[1]))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(ids, "doc_id")
+    return whole_texts(docs, picked[0].unionAll(picked[1]), max_bytes), share
+
+
+def whole_texts(docs: DataFrame, ids: DataFrame, max_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of the documents in ``ids`` (doc_id, _label), a number of rows bounded by the
+    caller; of each label as many whole texts, in hash order, as fit into ``max_bytes``."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(ids), "doc_id")
     stored = durable(texts.withColumn("_bytes", F.octet_length("_text")))
-    sizes = stored.select("doc_id", "_label", "_bytes").distinct().orderBy(*order).collect()
-    room, chosen = {0: max_bytes, 1: max_bytes}, []
+    sizes = stored.groupBy("doc_id").agg(F.max("_label").alias("_label"), F.max("_bytes").alias("_bytes")).orderBy(*order).collect()
+    used: dict = {}
+    chosen = []
     for row in sizes:
-        if row._bytes <= room[row._label]:
-            room[row._label] -= row._bytes
+        if used.get(row._label, 0) + row._bytes <= max_bytes:
+            used[row._label] = used.get(row._label, 0) + row._bytes
             chosen.append(row.doc_id)
-    kept = durable(stored.filter(F.col("doc_id").isin(chosen))) if len(chosen) < len(sizes) else stored
-    rows = kept.groupBy("doc_id").agg(F.max("_label").alias("_label"), F.max("_text").alias("_text")).orderBy(*order).collect()
-    return [(r._text, r._label) for r in rows], share
+    kept = stored.filter(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.max("_label").alias("_label"), F.max("_text").alias("_text"))
+    return [(r._text, r._label) for r in kept.orderBy(*order).collect()]
