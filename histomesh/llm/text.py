@@ -81,6 +81,18 @@ def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+class SpanHasher:
+    """Hashes of any spans of a buffer, A-Z taken as a-z; equal bytes hash alike wherever they stand."""
+
+    def __init__(self, buffer: np.ndarray):
+        up, self.down = _power_tables(len(buffer) + 1)
+        self.total = np.zeros(len(buffer) + 1, _U)
+        np.cumsum(_BYTE_VALUES[buffer] * up[: len(buffer)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts])
+
+
 def words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of every word, in order; start and end are byte positions."""
     n = len(buffer)
@@ -99,12 +111,8 @@ def words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut = edges[edges > 0] - 1
     stops[cut] |= inside[cut]
     ends = np.flatnonzero(stops) + 1
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE_VALUES[buffer] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return rows, starts, ends, hashes
+    return rows, starts, ends, SpanHasher(buffer)(starts, ends)
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
