@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm import decontaminate, langid, pii, quality, toxicity, warc
+from histomesh.llm import decontaminate, langid, neardup, pii, quality, toxicity, warc
 from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,28 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query(
+    "op8_neardup",
+    """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+ s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) = 1 then ws
+     else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as shingle from w),
+ n as (select doc_id, count(*) as n from s group by 1),
+ sets as (select min(doc_id) as rep, max(n) as n, list(doc_id) as docs from (select doc_id, count(*) as n, list(shingle order by shingle) as body from s group by 1) group by body),
+ t as (select s.doc_id, s.shingle from s join sets on s.doc_id = sets.rep),
+ inter as (select x.doc_id as a, y.doc_id as b, count(*) as common from t x join t y on x.shingle = y.shingle and x.doc_id < y.doc_id
+   join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id where 100 * least(nx.n, ny.n) >= 80 * greatest(nx.n, ny.n) group by 1, 2),
+ links as (select a, b from inter join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 80 * (na.n + nb.n - common)),
+ e as (select a, b from links union all select b, a from links),
+ r as (select rep as node, rep as seen from sets union select r.node, e.b from r join e on e.a = r.seen),
+ c as (select node, min(seen) as component from r group by 1),
+ m as (select unnest(docs) as doc_id, component from sets join c on c.node = sets.rep)
+ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.component, d.doc_id) as component_id, coalesce(m.component, d.doc_id) = d.doc_id as kept
+ from documents d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id""",
+)
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=2, threshold=80)
+
+
 @_query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
