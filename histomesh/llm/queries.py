@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm import decontaminate, langid, neardup, pii, quality, toxicity, warc
+from histomesh.llm import decontaminate, langid, neardup, packing, pii, quality, topk, toxicity, warc
 from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,33 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+def packing_sql(source: str = "documents", buckets: int = 8, align: int = 64, budget: int = 16384) -> str:
+    """The dynamic programme unrolled, one table per number of buckets."""
+    steps = ["c0 as (select 0 as j, 0 as cost)"]
+    for k in range(1, buckets + 1):
+        steps.append(
+            f"""s{k} as (select t.j, p.j as i, p.cost + (t.upto - coalesce(q.upto, 0)) * t.length as cost from t join c{k - 1} p on p.j < t.j left join t q on q.j = p.j),
+ c{k} as (select j, min(cost) as cost, arg_min(i, (cost, i)) as i from s{k} group by j)"""
+        )
+    back = [f"b{buckets} as (select least({buckets}, n) as k, n as j from (select max(j) as n from t))"]
+    for k in range(buckets, 0, -1):
+        back.append(f"b{k - 1} as (select case when b.k >= {k} then {k - 1} else b.k end as k, case when b.k >= {k} then c.i else b.j end as j from b{k} b left join c{k} c on c.j = b.j)")
+    ends = " union all ".join(f"select j from b{k} where k = {k}" for k in range(1, buckets + 1))
+    return f"""with d as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from {source}),
+ a as (select *, greatest(1, cast(ceil(n_tokens / {align}.0) as bigint)) * {align} as padded from d),
+ t as (select padded as length, row_number() over (order by padded) as j, sum(count(*)) over (order by padded) as upto from a group by padded),
+ {", ".join(steps)}, {", ".join(back)}, e as ({ends}),
+ k as (select row_number() over (order by t.length) - 1 as bucket, t.length as bucket_length from e join t on t.j = e.j),
+ p as (select a.doc_id, a.n_tokens, min_by(k.bucket, k.bucket_length) as bucket, min(k.bucket_length) as bucket_length from a join k on k.bucket_length >= a.padded group by 1, 2),
+ r as (select *, row_number() over (partition by bucket order by doc_id) - 1 as place, greatest(1, {budget} // bucket_length) as per_batch from p)
+ select doc_id, n_tokens, bucket, bucket_length, place // per_batch as batch, place % per_batch as slot from r"""
+
+
+@_query("op1_packing", packing_sql())
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+
+
 _BASE32 = "list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5), lambda k: cast(substr(bits, cast(1 + 5 * i + k as int), 1) as int) * cast(power(2, 4 - k) as int))) as int), 1)), 'string_agg', '')"
 
 
@@ -54,6 +81,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query(
+    "op4_topk",
+    """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vec from embeddings
+   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vec, c.vec) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+ r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+)
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_query("op5_langid")
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
