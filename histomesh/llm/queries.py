@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.llm import decontaminate, langid, neardup, packing, pii, quality, topk, toxicity, warc
+from histomesh.llm import decontaminate, langid, linedup, neardup, packing, pii, quality, topk, toxicity, warc
 from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,26 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+@_query(
+    "op6_linedup",
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(0, len(string_split(text, chr(10))))) as line from documents where text is not null),
+ w as (select *, list_filter(list_distinct(regexp_split_to_array(lower(body), '[\\x20\\x09\\x0B\\x0C\\x0D]+')), lambda x: x <> '') as ws from l),
+ s as (select body, min((doc_id, line)) as place, any_value(ws) as ws from w where len(ws) >= 5 group by body),
+ f as (select word, count(*) as n from (select unnest(ws) as word from s) group by 1),
+ o as (select s.body, s.place, len(s.ws) as n, u.word, row_number() over (partition by s.body order by f.n, u.word) as pos from s, unnest(s.ws) u(word) join f on f.word = u.word),
+ p as (select * from o where pos <= n - cast(ceil(n * 4 / 5.0) as int) + 1),
+ c as (select distinct a.body as later, b.body as earlier from p a join p b on a.word = b.word and b.place < a.place and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n),
+ g as (select distinct c.later from c join s x on x.body = c.later join s y on y.body = c.earlier
+   where 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
+ r as (select w.doc_id, count(*) as n_removed, list(w.line order by w.line) as removed from w join s on s.body = w.body
+   where s.place <> (w.doc_id, w.line) or w.body in (select later from g) group by 1)
+ select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, coalesce(r.n_removed, 0) as n_removed,
+   coalesce(r.removed, []) as removed from documents d left join r on r.doc_id = d.doc_id""",
+)
+def op6_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(_table(spark, sf_dir, "documents"))
+
+
 @_query("op7_decontaminate")
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
