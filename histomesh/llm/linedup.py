@@ -171,11 +171,16 @@ def report(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5) -> DataFrame:
-    """``docs`` without the lines of ``removed_lines``; all rows and columns stay, a null text too."""
+def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5, drop_spent: bool = False) -> DataFrame:
+    """``docs`` without the lines of ``removed_lines``; all rows and columns stay, a null text too.
+
+    With ``drop_spent``, a document goes that lost lines and has no line of ``least_words`` words left.
+    """
     gone = durable(removed_lines(docs, threshold, least_words)).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     rest = F.filter(lines, lambda x, i: ~F.array_contains("_removed", i))
+    if drop_spent:
+        joined = joined.filter(F.col("_removed").isNull() | F.exists(rest, lambda x: F.size(_words(x)) >= least_words))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text")
     return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])

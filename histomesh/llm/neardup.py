@@ -306,3 +306,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all columns.
+
+    Of rows that share a doc_id the smallest row stays. Rows with a null id stay.
+    """
+    kept = near_duplicates(docs, size, threshold).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = durable(kept.select(F.col("doc_id").alias("_id"), "rows"))
+    match = docs["doc_id"].cast("long") == F.col("_id")
+    parts = docs.filter(F.col("doc_id").isNull()).unionAll(docs.join(kept.filter("rows = 1"), match, "left_semi"))
+    repeated = kept.filter("rows > 1")
+    if repeated.isEmpty():
+        return parts
+    smallest = docs.join(repeated, match, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return parts.unionAll(smallest.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns]))

@@ -26,6 +26,7 @@ CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
 POSITIONS = CHUNK // STRIDE
 LAGS = range(2, 21)
 PAD = 24
+LEAST_STEPS = 300
 
 
 @dataclass
@@ -109,6 +110,7 @@ def train(sample: list[tuple[str, int]], share: float, filters: int = 16, dims:
     }
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(sample) // batch)))  # small samples need more rounds
     steps = epochs * -(-len(sample) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(sample))

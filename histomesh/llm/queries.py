@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from histomesh.llm import decontaminate, langid, linedup, neardup, packing, pii, quality, topk, toxicity, warc
 from histomesh.llm.sample import fold
 
@@ -163,3 +164,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", "offending"
     )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
