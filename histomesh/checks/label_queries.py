@@ -136,9 +136,13 @@ def class_weights(t: Tables):
     return L.class_weights(t.cns().select("cell_id", "cn"), "cn")
 
 
-@R.add("balanced_resample")
+@R.add("balanced_resample", with_tables("cns") + """, c as (select cn, count(*) as n from cns group by 1) select cn, true as within_five_sigma from c""")
 def balanced_resample(t: Tables):
-    return L.balanced_resample(t.cns().select("cell_id", "cn"), "cn", "cell_id").groupBy("cn").agg(F.count(F.lit(1)).alias("n"))
+    """Draws per class lie within five standard deviations of the even share, also for rare classes."""
+    cns = t.cns().select("image_id", "cell_id", "cn")
+    drawn = L.balanced_resample(cns, "cn", ["image_id", "cell_id"]).groupBy("cn").agg(F.count(F.lit(1)).alias("n"))
+    mean = cns.count() / cns.select("cn").distinct().count()
+    return drawn.select("cn", (F.abs(F.col("n") - mean) < 5 * mean**0.5).alias("within_five_sigma"))
 
 
 @R.add("pooled_fit_sample", with_tables("cells") + " select least(5000, count(*)) as n, least(5000, count(*)) as n_distinct from cells")
@@ -227,12 +231,12 @@ def offset_xcorr(t: Tables):
     return rounded(S.offset_xcorr(tissue_rows(t), density(t), 3), "corr", places=4)
 
 
-@R.add("registration_residual", with_tables("cells") + MASK_SQL + DENSITY_SQL + """, offs as (select cast(a.d as int) as dy, cast(b.d as int) as dx from (select unnest(range(-3,4)) as d) a, (select unnest(range(-3,4)) as d) b),
+@R.add("registration_residual", with_tables("cells") + MASK_SQL + DENSITY_SQL + """, offs as (select cast(a.d as int) as dy, cast(b.d as int) as dx from (select unnest(range(-14,16)) as d) a, (select unnest(range(-14,16)) as d) b),
  x as (select d.slide_id, dy, dx, sum(value) as corr from dens d cross join offs join occ o on d.slide_id=o.slide_id and (d.row_+dy+30)%30 = o.my and (d.col_+dx+30)%30 = o.mx group by 1,2,3),
  r as (select *, row_number() over (partition by slide_id order by corr desc, dx*dx+dy*dy, dy, dx) rn from x)
  select slide_id, dx, dy, round(case when dx=0 and dy=0 then 10 else sqrt(dx*dx+dy*dy)*10 end,6) as residual_um, dx=0 and dy=0 as is_bound, case when (dx=0 and dy=0) or sqrt(dx*dx+dy*dy)*10 > 5 then 'FAIL' else 'PASS' end as verdict from r where rn=1""")
 def registration_residual(t: Tables):
-    return rounded(S.registration_residual(S.offset_xcorr(tissue_rows(t), density(t), 3), 10.0), "residual_um")
+    return rounded(S.full_frame_residual(tissue_rows(t), density(t), 10.0), "residual_um")
 
 
 @R.add("gaussian_blur", with_tables("cells") + DENSITY_SQL + """, k as (select cast(o as int) as o, exp(-o*o/8.0e0)/(select sum(exp(-o*o/8.0e0)) from (select unnest(range(-8,9)) as o)) as k from (select unnest(range(-8,9)) as o)),

@@ -28,10 +28,9 @@ def scratch(t: Tables) -> str:
 # ---- sources and sinks
 
 
-@R.add("read_table", "select l_orderkey as order_id, l_suppkey as image_id, l_quantity as quantity from lineitem where l_quantity > 30")
+@R.add("read_table", "select l_orderkey as order_id, l_suppkey as image_id, l_quantity as quantity from lineitem")
 def read_table(t: Tables):
-    df = X.read_table(t.spark, f"{t.dir}/lineitem.parquet", ["l_orderkey", "l_suppkey", "l_quantity"], {"l_orderkey": "order_id", "l_suppkey": "image_id", "l_quantity": "quantity"})
-    return df.filter(F.col("quantity") > 30)
+    return X.read_table(t.spark, f"{t.dir}/lineitem.parquet", ["l_orderkey", "l_suppkey", "l_quantity"], {"l_orderkey": "order_id", "l_suppkey": "image_id", "l_quantity": "quantity"})
 
 
 @R.add("read_csv", "select c_custkey as sample_id, c_mktsegment as subtype, c_acctbal as acctbal from customer")
@@ -145,13 +144,22 @@ def matrix(t: Tables):
     return composition_matrix(t.cells(), TYPES, 40.0, type_col="type_id")
 
 
-@R.add("fit_topics", with_tables("cells") + " select count(*) as n, cast(6 as int) as n_topics, 1.0e0 as low, 1.0e0 as high from cells")
+@R.add("fit_topics", with_tables("cells") + " select count(*) as n, cast(6 as int) as n_topics, 1.0e0 as low, 1.0e0 as high, true as explains_more from cells")
 def fit_topics(t: Tables):
-    """Topic proportions of every cell; the SQL side checks coverage and that they sum to one."""
-    topics = U.fit_topics(durable(matrix(t)), WIDE, ["image_id", "cell_id"], n_topics=6, fit_rows=4000, max_iter=10)
+    """Topic proportions of every cell. They sum to one, and mixing the topics' type shares by them
+    gives the counts a higher likelihood than the overall type shares do."""
+    counts = durable(matrix(t))
+    topics = durable(U.fit_topics(counts, WIDE, ["image_id", "cell_id"], n_topics=6))
     total = F.aggregate("topics", F.lit(0.0), lambda a, v: a + v)
-    return topics.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("topics")).alias("n_topics"), F.round(F.min(total), 6).alias("low"), F.round(F.max(total), 6).alias("high")
+    both = durable(topics.join(counts, ["image_id", "cell_id"]))
+    sums = both.agg(*[F.sum(F.col("topics")[k] * F.col(c)).alias(f"{k}_{c}") for k in range(6) for c in WIDE], *[F.sum(c).alias(c) for c in WIDE]).first()
+    n = sum(sums[c] for c in WIDE)
+    mass = {k: sum(sums[f"{k}_{c}"] for c in WIDE) for k in range(6)}
+    mixed = sum(F.col(c) * F.log(sum(F.col("topics")[k] * (sums[f"{k}_{c}"] / mass[k]) for k in range(6))) for c in WIDE if sums[c])
+    plain = sum(F.col(c) * float(np.log(sums[c] / n)) for c in WIDE if sums[c])
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("topics")).alias("n_topics"), F.round(F.min(total), 6).alias("low"),
+        F.round(F.max(total), 6).alias("high"), (F.sum(mixed) > F.sum(plain)).alias("explains_more"),
     )
 
 
@@ -160,22 +168,27 @@ def fractions(t: Tables):
     return durable(matrix(t).select("image_id", "cell_id", F.array(*[F.col(c) / total for c in WIDE]).alias("topics")))
 
 
-@R.add("assign_cns", with_tables("cells") + " select count(*) as n, cast(10 as bigint) as n_classes, true as by_size, 'CN01' as first_label from cells")
+@R.add("assign_cns", with_tables("cells") + " select count(*) as n, cast(10 as bigint) as n_classes, true as by_size, 'CN01' as first_label, true as nearest from cells")
 def assign_cns(t: Tables):
-    """Ten classes over all cells, numbered by size."""
-    out = U.assign_cns(fractions(t), 10, n_init=2, fit_rows=20000)
-    sizes = out.groupBy("cn", "cn_label").agg(F.count(F.lit(1)).alias("n"))
+    """Ten classes over all cells, numbered by size; a class is that of the nearest class mean for 99.5 % of the cells or more."""
+    out = durable(U.assign_cns(fractions(t), 10))
+    sizes = out.groupBy("cn", "cn_label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("topics")[i]).alias(f"m{i}") for i in TYPES])
     packed = sizes.agg(F.array_sort(F.collect_list(F.struct("cn", "n", "cn_label"))).alias("s"))
     pair = F.sequence(F.lit(0), F.size("s") - 2)
+    centres = sizes.orderBy("cn").collect()  # ten rows
+    away = lambda r: sum((F.col("topics")[i] - float(r[f"m{i}"])) * (F.col("topics")[i] - float(r[f"m{i}"])) for i in TYPES)
+    nearest = F.array_min(F.array(*[F.struct(away(r).alias("d"), F.lit(r["cn"]).alias("cn")) for r in centres]))["cn"]
+    right = out.agg((F.avg((nearest == F.col("cn")).cast("int")) >= 0.995).alias("nearest")).first()["nearest"]
     return packed.select(
         F.aggregate("s", F.lit(0).cast("long"), lambda a, v: a + v["n"]).alias("n"), F.size("s").cast("long").alias("n_classes"),
         F.forall(pair, lambda i: F.get("s", i)["n"] >= F.get("s", i + 1)["n"]).alias("by_size"), F.col("s")[0]["cn_label"].alias("first_label"),
+        F.lit(right).alias("nearest"),
     )
 
 
 @R.add("sweep_k")
 def sweep_k(t: Tables):
-    return rounded(U.sweep_k(fractions(t), 5, 8, fit_rows=20000), "silhouette", "davies_bouldin", "ari_vs_previous", "inertia", places=4)
+    return rounded(U.sweep_k(fractions(t)), "silhouette_squared", "davies_bouldin", "ari_vs_previous", "inertia", places=4)
 
 
 PROB = "(9 - habitat)/16.0e0 as tumour_prob"
@@ -195,7 +208,7 @@ def smoothed_probability(t: Tables):
 @R.add("assign_compartments", with_tables("habitat_patches") + " select sample_id as slide_id, count(*) as n, cast(3 as bigint) as n_compartments, true as bulk_highest from habitat_patches group by 1 having count(*) >= 50")
 def assign_compartments(t: Tables):
     """Three compartments per slide; bulk must have the highest mean probability."""
-    out = U.assign_compartments(prob_patches(t), restarts=3, rounds=12)
+    out = U.assign_compartments(prob_patches(t))
     per = out.groupBy("slide_id", "compartment").agg(F.count(F.lit(1)).alias("n"), F.avg("smoothed").alias("m"))
     return per.groupBy("slide_id").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_compartments"), (F.max_by("compartment", "m") == "tumour_bulk").alias("bulk_highest")
@@ -223,7 +236,7 @@ def canberra_to_anchors(t: Tables):
  select count(*) as n_samples, cast(4 as bigint) as n_ecotypes, true as within_unit, true as home_is_best from k""")
 def consensus_cluster(t: Tables):
     """Ecotypes of all samples; each sample's own ecotype must have real consensus support."""
-    final, consensus = U.consensus_cluster(profiles(t), 4, n_reps=8)
+    final, consensus = U.consensus_cluster(profiles(t), 4, n_reps=100)
     joined = consensus.join(final.select("sample_id", F.col("cluster").alias("home"), "ecotype"), "sample_id")
     per = joined.groupBy("sample_id", "ecotype").agg(
         F.min("consensus").alias("lo"), F.max("consensus").alias("hi"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("consensus"))).alias("own")
@@ -349,11 +362,33 @@ def tissue_mask(t: Tables):
     return I.tissue_mask(t.tile_pixels())
 
 
-@R.add("macenko_normalize", PX + " select tile_id, cast(192 as int) as n, true as in_range from tile_pixels group by 1")
+STAIN = PX + """, od as (select tile_id, x as px, y as py, r, g, b, ln(256.0e0)-ln(r+1.0e0) as x, ln(256.0e0)-ln(g+1.0e0) as y2, ln(256.0e0)-ln(b+1.0e0) as z from tile_pixels),
+ st as (select * from od where least(x,y2,z) >= 0.15),
+ c0 as (select tile_id, count(*) n, avg(x) mx, avg(y2) my, avg(z) mz, covar_samp(x,x) a, covar_samp(y2,y2) b, covar_samp(z,z) c, covar_samp(x,y2) d, covar_samp(x,z) e, covar_samp(y2,z) f from st group by 1 having count(*) >= 10),
+ c1 as (select *, (a+b+c)/3 q from c0), c2 as (select *, sqrt(((a-q)*(a-q)+(b-q)*(b-q)+(c-q)*(c-q)+2*(d*d+e*e+f*f))/6) p from c1),
+ c3 as (select *, ((a-q)*((b-q)*(c-q)-f*f) - d*(d*(c-q)-f*e) + e*(d*f-(b-q)*e))/(2*p*p*p) hd from c2 where p > 0),
+ c4 as (select *, q + 2*p*cos(acos(greatest(-1.0e0, least(1.0e0, hd)))/3 + 2*pi()/3) l from c3),
+ c5 as (select *, [[d*f-e*(b-l), e*d-(a-l)*f, (a-l)*(b-l)-d*d], [d*(c-l)-e*f, e*e-(a-l)*(c-l), (a-l)*f-d*e], [(b-l)*(c-l)-f*f, f*e-d*(c-l), d*f-(b-l)*e]] as ks from c4),
+ c6 as (select *, list_reverse_sort(list_transform(ks, lambda k: [k[1]*k[1]+k[2]*k[2]+k[3]*k[3], k[1], k[2], k[3]]))[1] as w from c5),
+ c7 as (select *, w[2]/sqrt(w[1]) nx, w[3]/sqrt(w[1]) ny, w[4]/sqrt(w[1]) nz from c6 where w[1] > 0), c8 as (select *, mx*nx+my*ny+mz*nz mn from c7),
+ c9 as (select *, mx-mn*nx fx, my-mn*ny fy, mz-mn*nz fz from c8), ca as (select *, sqrt(fx*fx+fy*fy+fz*fz) fs from c9),
+ cb as (select *, fx/fs ux, fy/fs uy, fz/fs uz from ca where fs > 0), ax as (select *, ny*uz-nz*uy vx, nz*ux-nx*uz vy, nx*uy-ny*ux vz from cb),
+ an as (select st.tile_id, atan2(st.x*vx+st.y2*vy+st.z*vz, st.x*ux+st.y2*uy+st.z*uz) as t, ux, uy, uz, vx, vy, vz from st join ax on ax.tile_id = st.tile_id),
+ en as (select tile_id, ux, uy, uz, vx, vy, vz, quantile_cont(t, 0.01) lo, quantile_cont(t, 0.99) hi from an group by all),
+ vs as (select tile_id, [cos(lo)*ux+sin(lo)*vx, cos(lo)*uy+sin(lo)*vy, cos(lo)*uz+sin(lo)*vz] v1, [cos(hi)*ux+sin(hi)*vx, cos(hi)*uy+sin(hi)*vy, cos(hi)*uz+sin(hi)*vz] v2 from en),
+ he as (select tile_id, greatest(v1, v2) h, least(v1, v2) e from vs),
+ nn as (select *, list_inner_product(h,h) hh, list_inner_product(e,e) ee, list_inner_product(h,e) as he from he),
+ am as (select od.tile_id, px, py, r, g, b, hh, ee, nn.he, hh*ee-nn.he*nn.he as det, h[1]*od.x+h[2]*od.y2+h[3]*od.z ph, e[1]*od.x+e[2]*od.y2+e[3]*od.z pe from od left join nn on nn.tile_id = od.tile_id and hh*ee-nn.he*nn.he > 1e-12),
+ a2 as (select *, (ee*ph-he*pe)/det ah, (hh*pe-he*ph)/det ae from am), tp as (select tile_id, quantile_cont(ah, 0.99) th, quantile_cont(ae, 0.99) te from a2 group by 1)"""
+
+
+@R.add("macenko_normalize", STAIN + """
+ select a2.tile_id, px as x, py as y, cast(case when th > 0 and te > 0 then floor(greatest(0.0e0, least(255.0e0, 256*exp(-(ah*1.9705e0/th*0.5626e0 + ae*1.0308e0/te*0.2159e0))-1))) else r end as int) as r,
+  cast(case when th > 0 and te > 0 then floor(greatest(0.0e0, least(255.0e0, 256*exp(-(ah*1.9705e0/th*0.7201e0 + ae*1.0308e0/te*0.8012e0))-1))) else g end as int) as g,
+  cast(case when th > 0 and te > 0 then floor(greatest(0.0e0, least(255.0e0, 256*exp(-(ah*1.9705e0/th*0.4062e0 + ae*1.0308e0/te*0.5581e0))-1))) else b end as int) as b
+ from a2 join tp on tp.tile_id = a2.tile_id""")
 def macenko_normalize(t: Tables):
-    """Normalised tiles keep their size and range; values are tested against the definition."""
-    out = I.macenko_normalize(I.pack_tiles(t.tile_pixels()))
-    return out.select("tile_id", F.size("rgb").alias("n"), F.forall("rgb", lambda v: (v >= 0) & (v <= 255)).alias("in_range"))
+    return I.macenko_normalize(t.tile_pixels()).select("tile_id", "x", "y", "r", "g", "b")
 
 
 def channel_means():

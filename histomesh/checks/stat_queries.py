@@ -67,7 +67,7 @@ def vectors(t: Tables):
 @R.add("silhouette", VEC + """, d as (select a.vec_id, a.cn, b.cn as other, sum(list_distance(a.v,b.v)*list_distance(a.v,b.v)) s, count(*) n from e a join e b on true group by 1,2,3),
  ab as (select vec_id, max(case when cn=other then s/(n-1) end) a, min(case when cn<>other then s/n end) b from d group by 1) select round(avg((b-a)/greatest(a,b)),5) as silhouette from ab""")
 def silhouette(t: Tables):
-    return rounded(A.silhouette(vectors(t)), "silhouette", places=5)
+    return rounded(A.silhouette_squared(vectors(t)), "silhouette", places=5)
 
 
 CENTRES = VEC + """, x as (select vec_id, cn, i, v[i] as x from e, (select unnest(range(1,65)) as i)), c as (select cn, i, avg(x) m from x group by 1,2), cv as (select cn, list(m order by i) m from c group by 1)"""

@@ -86,7 +86,7 @@ def _cluster_table(points: DataFrame, vector: str, label: str):
     )
 
 
-def silhouette(points: DataFrame, vector="features", label="cn") -> DataFrame:
+def silhouette_squared(points: DataFrame, vector="features", label="cn") -> DataFrame:
     """Mean silhouette with squared Euclidean distance, over all points and in one pass.
 
     A point's mean squared distance to a cluster follows from the cluster's size, centroid and

@@ -156,30 +156,38 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label)  # one row per class
 
 
-def balanced_resample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
+def balanced_resample(df: DataFrame, label: str, id_col: str | list[str], seed: int = 42) -> DataFrame:
     """About as many rows as ``df``, each class equally likely, drawn with replacement.
 
     Each row is repeated a Poisson number of times with its class's mean; the draw depends only on
-    (seed, id), so a recomputed task draws the same rows.
+    (seed, ids), so a recomputed task draws the same rows. ``id_col`` names the columns that identify
+    a row. A large mean is the sum of parts of at most 50, drawn one by one, so no probability
+    underflows however rare a class is.
     """
-    stats = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    n_classes = Window.partitionBy(F.lit(0))
-    rate = F.sum("_c").over(n_classes) / F.count(F.lit(1)).over(n_classes) / F.col("_c")
-    rates = stats.select(label, rate.alias("_rate"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # walk the Poisson distribution until it passes the uniform draw
-    limit = F.greatest(F.lit(30), F.ceil(F.col("_rate") * 2 + 40)).cast("int")
-    draws = F.aggregate(
-        F.sequence(F.lit(1), limit),
-        F.struct(F.lit(0).alias("k"), F.exp(-F.col("_rate")).alias("p"), F.exp(-F.col("_rate")).alias("cdf")),
-        lambda s, i: F.struct(
-            F.when(s["cdf"] < F.col("_u"), i).otherwise(s["k"]).alias("k"),
-            (s["p"] * F.col("_rate") / i).alias("p"),
-            (s["cdf"] + s["p"] * F.col("_rate") / i).alias("cdf"),
-        ),
-        lambda s: s["k"],
-    )
-    drawn = df.join(F.broadcast(rates), label).withColumn("_u", uniform).withColumn("_k", draws)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    stats = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).withColumn("_one", F.lit(1))
+    whole = stats.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))  # one row
+    rates = stats.join(whole, "_one").select(label, (F.col("_n") / F.col("_k") / F.col("_c")).alias("_rate"))
+    rates = rates.withColumn("_parts", F.ceil(F.col("_rate") / 50.0).cast("int"))
+    part = F.col("_rate") / F.col("_parts")
+
+    def poisson(j):
+        uniform = (F.pmod(F.xxhash64(F.lit(seed), *ids, j), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        # walk the distribution until it passes the uniform draw; past 2 * part + 40 nothing is left
+        steps = F.sequence(F.lit(1), F.ceil(part * 2 + 40).cast("int"))
+        walked = F.aggregate(
+            steps,
+            F.struct(F.lit(0).alias("k"), F.exp(-part).alias("p"), F.exp(-part).alias("cdf"), uniform.alias("u")),
+            lambda s, i: F.struct(
+                F.when(s["cdf"] < s["u"], i).otherwise(s["k"]).alias("k"), (s["p"] * part / i).alias("p"),
+                (s["cdf"] + s["p"] * part / i).alias("cdf"), s["u"].alias("u"),
+            ),
+        )
+        return walked["k"]
+
+    draws = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), poisson), F.lit(0), lambda a, k: a + k)
+    # adaptive execution broadcasts the rates where they are few and splits a class that is large
+    drawn = df.join(rates, label).withColumn("_k", draws)
     return drawn.filter(F.col("_k") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*df.columns, "copy")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +116,9 @@ def offset_xcorr(tissue: DataFrame, density: DataFrame, max_offset: int, on=("sl
     return moved.join(a, [*on, "row", "col"]).groupBy(*on, "dy", "dx").agg(F.sum(F.col("a") * F.col("b")).alias("corr"))
 
 
-def registration_residual(xcorr: DataFrame, um_per_px: float, limit_um: float = 5.0, on=("slide_id",)) -> DataFrame:
-    """Best offset per slide and its verdict; zero offset is reported as a one-pixel bound."""
-    far = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    best = xcorr.groupBy(*on).agg(
-        F.max(F.struct(F.round("corr", 6).alias("c"), (-far).alias("f"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))).alias("_b")
-    )
-    dx, dy = -F.col("_b.x"), -F.col("_b.y")
+def _verdict(best: DataFrame, on: list[str], um_per_px: float, limit_um: float) -> DataFrame:
+    """Residual and verdict of one offset (dx, dy) per slide; zero offset is reported as a one-pixel bound."""
+    dx, dy = F.col("dx"), F.col("dy")
     residual = F.sqrt((dx * dx + dy * dy).cast("double")) * um_per_px
     bound = F.when(residual == 0, F.lit(float(um_per_px))).otherwise(residual)
     return best.select(
@@ -129,6 +127,50 @@ def registration_residual(xcorr: DataFrame, um_per_px: float, limit_um: float =
     )
 
 
+def registration_residual(xcorr: DataFrame, um_per_px: float, limit_um: float = 5.0, on=("slide_id",)) -> DataFrame:
+    """Best offset per slide of a windowed cross-correlation, and its verdict. An offset outside the
+    window can't be seen: judge a registration by ``full_frame_residual``."""
+    far = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    best = xcorr.groupBy(*on).agg(
+        F.max(F.struct(F.round("corr", 6).alias("c"), (-far).alias("f"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))).alias("_b")
+    )
+    return _verdict(best.select(*on, (-F.col("_b.x")).alias("dx"), (-F.col("_b.y")).alias("dy")), list(on), um_per_px, limit_um)
+
+
+def full_frame_residual(tissue: DataFrame, density: DataFrame, um_per_px: float, limit_um: float = 5.0, max_pixels: int = 1 << 26, on: str = "slide_id") -> DataFrame:
+    """Best circular offset of every slide over its whole frame, its residual and verdict.
+
+    Rows are sparse (``row, col, value``, the frame ``h, w`` on the density side). Each slide's two
+    rasters are correlated at all offsets by one Fourier transform; a frame may have ``max_pixels``
+    at most, a larger one is an error. Of equal correlations (to six decimals) the nearest offset
+    counts, then the smaller dy, dx. Offsets are signed: from -(h - 1) // 2 to h // 2. A slide without
+    tissue or without cells has no offset and gets no row.
+    """
+    kind = dict(density.dtypes)[on]
+
+    def correlate(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({on: [], "dy": [], "dx": []})
+        h, w = int(b["h"].iloc[0]), int(b["w"].iloc[0])
+        if h * w > max_pixels:
+            raise ValueError(f"the frame of {b[on].iloc[0]} has {h * w} pixels; pool the rasters first")
+        frames = []
+        for rows in (a, b):
+            frame = np.zeros((h, w))
+            np.add.at(frame, (rows["row"].to_numpy(int) % h, rows["col"].to_numpy(int) % w), rows["value"].to_numpy(float))
+            frames.append(np.fft.rfft2(frame))
+        corr = np.round(np.fft.irfft2(frames[0] * np.conj(frames[1]), s=(h, w)), 6)
+        dy, dx = np.nonzero(corr == corr.max())
+        dy, dx = np.where(dy > h // 2, dy - h, dy), np.where(dx > w // 2, dx - w, dx)
+        best = np.lexsort((dx, dy, dx * dx + dy * dy))[0]
+        return pd.DataFrame({on: [b[on].iloc[0]], "dy": [dy[best]], "dx": [dx[best]]})
+
+    left = tissue.select(on, "row", "col", "value").groupBy(on)
+    right = density.select(on, "row", "col", "value", "h", "w").groupBy(on)
+    best = left.cogroup(right).applyInPandas(correlate, f"`{on}` {kind}, dy int, dx int")
+    return _verdict(best, [on], um_per_px, limit_um)
+
+
 def on_tissue_fraction(density: DataFrame, tissue: DataFrame, on=("slide_id",)) -> DataFrame:
     """Share of cells whose raster pixel is tissue."""
     on = list(on)

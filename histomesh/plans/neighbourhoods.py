@@ -14,7 +14,7 @@ from histomesh.session import durable
 
 def discover(
     cells: DataFrame, vocabulary: list | None = None, radius: float = 40.0, min_cells: int = 200, n_topics: int = 8, k: int = 10,
-    n_init: int = 25, fit_rows: int = 400_000, sweep: tuple[int, int] | None = None, type_col="cell_type", seed: int = 42, **validation,
+    n_init: int = 25, sweep: tuple[int, int] | None = None, type_col="cell_type", seed: int = 42, **validation,
 ) -> dict[str, DataFrame]:
     """Validated cells -> compositions -> topics -> classes -> enrichment.
 
@@ -31,8 +31,8 @@ def discover(
         C.check_vocabulary(kept, vocabulary, type_col)
     matrix = durable(K.composition_matrix(kept, vocabulary, radius, type_col=type_col))
     columns = [f"n_{t}" for t in vocabulary]
-    topics = durable(U.fit_topics(matrix, columns, ["image_id", "cell_id"], n_topics, fit_rows, seed=seed))
-    assigned = durable(U.assign_cns(topics, k, n_init, fit_rows, seed=seed))
+    topics = durable(U.fit_topics(matrix, columns, ["image_id", "cell_id"], n_topics, seed=seed))
+    assigned = durable(U.assign_cns(topics, k, n_init, seed=seed))
     labelled = matrix.join(assigned.select("image_id", "cell_id", "cn_label"), ["image_id", "cell_id"])
     enrichment = K.cn_enrichment(labelled, "cn_label", columns)
     out = {
@@ -40,7 +40,7 @@ def discover(
         "enrichment": enrichment, "definitions": K.cn_definitions(enrichment, assigned, "cn_label"),
     }
     if sweep:
-        out["sweep"] = U.sweep_k(topics, *sweep, fit_rows=fit_rows, seed=seed)
+        out["sweep"] = U.sweep_k(topics, *sweep, seed=seed)
     return out
 
 

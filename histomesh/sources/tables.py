@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.operators.order import carry_forward
+from histomesh.session import durable
 
 
 def read_table(
@@ -36,27 +37,27 @@ def fold_embedding(df: DataFrame, prefix: str = "emb_", name: str = "embedding")
 
 
 def done_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Keys already published under ``path``; None before the first write."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    if not fs.exists(folder) or not any(s.getPath().getName().startswith(f"{key}=") for s in fs.listStatus(folder)):
+    """Keys whose rows are completely written under ``path``; None before the first write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_done")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.parquet(path).select(key).distinct()
+    return spark.read.parquet(f"{path}/_done").select(key).distinct()
 
 
 def write_cached(df: DataFrame, path: str, key: str = "slide_id", force: bool = False) -> None:
-    """Write each key once: keys already there are skipped unless ``force``.
+    """Write each key once: keys already done are skipped unless ``force``.
 
-    Partitions are replaced whole at commit, so readers never see half a key, and a repeated
-    write of the same keys leaves the same table.
+    The small table ``_done`` beside the shards (readers skip its name) gets the keys after their
+    rows are there. A crash in between leaves keys that are not marked; the next write replaces
+    their folders whole. Until then a reader may see such a key; ``done_keys`` tells which are complete.
     """
-    spark = df.sparkSession
-    present = None if force else done_keys(spark, path, key)
+    present = None if force else done_keys(df.sparkSession, path, key)
     todo = df if present is None else df.join(present, key, "left_anti")
+    keys = durable(todo.select(key).distinct())
     # gather each key's rows, so a key gets few files; adaptive execution splits a key that is too large
-    todo = todo.hint("rebalance", key)
-    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    rows = todo.hint("rebalance", key)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    keys.write.mode("append").parquet(f"{path}/_done")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -212,7 +212,15 @@ def test_k_medoids_recovers_separated_groups(spark):
     out, _ = U.k_medoids(df, 3, ["rep"])
     for _, part in out.toPandas().groupby("rep"):
         truth = part.sample_id % 3
-        assert part.cluster.groupby(truth).nunique().eq(1).all() or part.cluster.nunique() >= 2
+        assert part.cluster.groupby(truth).nunique().eq(1).all() and part.cluster.nunique() == 3
+
+
+def test_ecotypes_beyond_eight_all_have_a_name(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in 10 * np.eye(10)[i % 10] + rng.normal(0, 0.1, 10)]) for i in range(100)]
+    final, _ = U.consensus_cluster(spark.createDataFrame(rows, "sample_id int, profile array<double>"), 10, n_reps=3)
+    names = [r.ecotype for r in final.collect()]
+    assert len(names) == 100 and None not in names and {"C-IX", "C-X"} <= set(names)
 
 
 def test_grouped_kmeans_reaches_a_fixed_point(spark):
