@@ -3,8 +3,9 @@
 Each tree orders the documents by its own sequence of MinHash values. Documents whose sequences
 share a prefix lie next to each other; a region with one common prefix is compared as a whole if it
 is small, and otherwise split by a longer prefix, so that the depth follows the density. Candidate
-pairs pass an exact size test and a wide similarity test on one-bit sketches, and links are confirmed
-on the full shingle sets.
+pairs pass three tests: sizes within the similarity (exact); parity maps, whose difference is a lower
+bound of the sets' difference (exact); and a wide test on one-bit MinHash sketches. Links are
+confirmed on the full shingle sets.
 
 Equal sets are merged before, so copies cost one row. Links are found in two steps: first every
 document with its most similar candidate; then, in regions that still hold several components, all
@@ -26,6 +27,7 @@ from histomesh.session import durable
 
 TREES, DEPTH, SHALLOWEST, CROWD, NEIGHBOURS = 16, 8, 4, 48, 2
 BITS = TREES * DEPTH
+PARITY = 4  # words of 64 bits
 _rng = np.random.default_rng(20_240_615)
 _A = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32)
@@ -49,8 +51,20 @@ def signatures(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_maps(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each row that has a shingle, the parity of the shingles that fall on each of 64 * PARITY bits.
+
+    Two maps differ in as many bits as the sets differ in elements, or fewer.
+    """
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    word = (hashes >> np.uint64(6)) % np.uint64(PARITY)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first) for k in range(PARITY)], 1)
+
+
 def sign(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature) of every row with an id; one pass, no shuffle."""
+    """(doc_id, n_shingles, digest of the set, signature) of every row; the signature is the MinHash
+    values and the parity map. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +81,8 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     first = np.cumsum(count[some]) - count[some]
                     for d, seed in zip(digests, (1, 2)):
                         d[some] = np.add.reduceat(mix(hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))), first)
-                    for i, s in zip(some, signatures(rows, hashes)):
-                        packed[i] = s.tobytes()
+                    for i, s, p in zip(some, signatures(rows, hashes), parity_maps(rows, hashes)):
+                        packed[i] = s.tobytes() + p.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), pa.array(packed, pa.binary())],
                     ["doc_id", "n_shingles", "digest", "digest2", "signature"],
@@ -91,8 +105,9 @@ def forest(sets: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(n, BITS)
-            sketch = np.packbits(values & 1, axis=1)
+            signed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, 4 * BITS + 8 * PARITY)
+            values = np.ascontiguousarray(signed[:, : 4 * BITS]).view(np.uint32)
+            sketch = np.concatenate([np.packbits(values & 1, axis=1), signed[:, 4 * BITS :]], 1)
             sketches = [s.tobytes() for s in sketch]
             big = np.ascontiguousarray(values.astype(">u4"))
             for t in range(TREES):
@@ -138,12 +153,14 @@ def regions(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int, slack: float) -> np.ndarray:
-    """Estimated similarity of the pairs, -1 for those that fail the size or the sketch test."""
-    equal = BITS - np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+    """Estimated similarity of the pairs, -1 for those that fail the size, parity or sketch test."""
+    differ = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+    equal, apart = BITS - differ[:, : BITS // 64].sum(1), differ[:, BITS // 64 :].sum(1)
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     share = (1 + threshold / 100) / 2
     least = BITS * share - slack * np.sqrt(BITS * share * (1 - share))
-    return np.where((100 * small >= threshold * large) & (equal >= least), equal, -1)
+    near = (100 * small >= threshold * large) & ((100 + threshold) * apart <= (100 - threshold) * (small + large))
+    return np.where(near & (equal >= least), equal, -1)
 
 
 def candidates(ordered: DataFrame, threshold: int, slack: float = 5.0) -> DataFrame:
@@ -157,7 +174,7 @@ def candidates(ordered: DataFrame, threshold: int, slack: float = 5.0) -> DataFr
         m = table.num_rows
         tree, node, n = (table.column(c).to_numpy() for c in ("tree", "node", "n"))
         prefix = np.frombuffer(b"".join(table.column("prefix").to_pylist()), ">u4").reshape(m, DEPTH)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64 + PARITY)
         same = (prefix[1:] == prefix[:-1]) & (tree[1:] == tree[:-1])[:, None]
         lcp = np.logical_and.accumulate(same, axis=1).sum(1)
         first, last = regions(lcp)

@@ -107,3 +107,12 @@ def test_components_of_paths_stars_and_none(spark):
     got = {r.node: r.label for r in components(edges).collect()}
     assert {got[i] for i in range(100, 261)} == {100} and {got[i] for i in range(1000, 1200)} == {7} and got[50] == 40
     assert components(edges.limit(0)).count() == 0
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size, change in ((50, 3), (400, 40), (20, 20)):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate([a[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)])
+        x, y = N.parity_maps(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
