@@ -125,9 +125,12 @@ def sample_split(t: Tables):
     return split_of(t)
 
 
-@R.add("split_leaks", "with " + SPLIT_SQL + " select sample_id, count(distinct split) as n_splits from split group by 1 having count(distinct split) > 1")
+@R.add("split_leaks", "with " + SPLIT_SQL + " select sample_id, cast(2 as bigint) as n_splits from split where sample_id % 7 = 0")
 def split_leaks(t: Tables):
-    rows = t.read("lineitem").select(F.col("l_suppkey").alias("sample_id")).join(split_of(t), "sample_id")
+    """Every seventh sample is also put into a second split; the report must name just those."""
+    split = split_of(t)
+    leaked = split.filter(F.col("sample_id") % 7 == 0).withColumn("split", F.concat("split", F.lit("_again")))
+    rows = t.read("lineitem").select(F.col("l_suppkey").alias("sample_id")).join(split.unionByName(leaked), "sample_id")
     return L.split_leaks(rows, "sample_id")
 
 
@@ -136,6 +139,11 @@ def class_weights(t: Tables):
     return L.class_weights(t.cns().select("cell_id", "cn"), "cn")
 
 
+@R.add("top_n_by_p", "select p_partkey as feature, p_retailprice as p from part order by p, feature limit 20")
+def top_n_by_p(t: Tables):
+    return S.top_n_by_p(t.read("part").select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("p")))
+
+
 @R.add("balanced_resample", with_tables("cns") + """, c as (select cn, count(*) as n from cns group by 1) select cn, true as within_five_sigma from c""")
 def balanced_resample(t: Tables):
     """Draws per class lie within five standard deviations of the even share, also for rare classes."""
@@ -320,11 +328,12 @@ def pyramid_pool(t: Tables):
 @R.add("scale_window_join", POOL_SQL + """, big as (select slide_id, count(*) >= 3 as big from lattice group by 1),
  w as (select l.slide_id, l.patch_id, cast(s.s as int) as scale, cast(a.d as int) as dr, cast(b.d as int) as dc, cast(floor(row_/pow(2.0e0,s.s)) as bigint)+a.d as r, cast(floor(col_/pow(2.0e0,s.s)) as bigint)+b.d as c
   from l join big on l.slide_id=big.slide_id, (select unnest([0,1,2]) as s) s, (select unnest([-1,0,1]) as d) a, (select unnest([-1,0,1]) as d) b where big or (a.d=0 and b.d=0))
- select w.slide_id, w.patch_id, w.scale, w.dr, w.dc, round(p.value,5) as first_value, p.value is not null as valid from w left join (select * from pool where i = 1) p on w.slide_id=p.slide_id and w.scale=p.scale and w.r=p.row and w.c=p.col""")
+ select w.slide_id, w.patch_id, w.scale, w.dr, w.dc, i.i, round(p.value,5) as value, p.value is not null as valid from w, (select unnest([1, 2, 33, 64]) as i) i left join pool p on w.slide_id=p.slide_id and w.scale=p.scale and w.r=p.row and w.c=p.col and p.i = i.i""")
 def scale_window_join(t: Tables):
     p = placed(t)
     out = G.scale_window_join(p, G.pyramid_pool(p, 3), 3, 3)
-    return out.select("slide_id", "patch_id", "scale", "dr", "dc", F.round(F.element_at("embedding", 1), 5).alias("first_value"), "valid")
+    out = out.withColumn("i", F.explode(F.array(*[F.lit(i) for i in (1, 2, 33, 64)])))
+    return out.select("slide_id", "patch_id", "scale", "dr", "dc", "i", F.round(F.get("embedding", F.col("i") - 1), 5).alias("value"), "valid")
 
 
 LINKS = LAT + """, l as (select slide_id, patch_id, x_um, y_um, embedding::double[] as v from lattice),

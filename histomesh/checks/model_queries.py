@@ -55,6 +55,17 @@ def read_shards(t: Tables):
     return shards.groupBy(F.col("slide_id").cast("long").alias("slide_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("patch_id").alias("ids"))
 
 
+@R.add("union_shards", with_tables("lattice") + " select cast(slide_id as bigint) as slide_id, count(*) as n, cast(sum(patch_id) as bigint) as ids from lattice group by 1")
+def union_shards(t: Tables):
+    """Two cohorts' shard folders, one with a column more, as one table."""
+    paths = [scratch(t), scratch(t)]
+    for k, path in enumerate(paths):
+        part = t.lattice().filter(F.col("slide_id") % 2 == k)
+        X.write_cached(part.withColumn("site", F.lit("b")) if k else part, path)
+    both = X.read_shards(t.spark, paths[0]).unionByName(X.read_shards(t.spark, paths[1]), allowMissingColumns=True)
+    return both.groupBy(F.col("slide_id").cast("long").alias("slide_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("patch_id").alias("ids"))
+
+
 @R.add("write_cached", with_tables("cells") + " select image_id, count(*) as n, cast(sum(case when image_id % 2 = 0 then 1 else 2 end) as bigint) as versions from cells group by 1")
 def write_cached(t: Tables):
     """Even images are written first as version 1; a second write must add the odd ones only."""
@@ -68,13 +79,14 @@ def write_cached(t: Tables):
 
 @R.add("incremental_ingest", with_tables("lattice") + " select slide_id, count(*) as n, count(distinct patch_id) as n_distinct from lattice group by 1")
 def ingest(t: Tables):
-    """Two arrivals, the second repeating a slide of the first; every patch lands once."""
+    """Two arrivals, one slide's patches spread over both, files in batches of their own; every patch lands once."""
     base = scratch(t)
     table = t.lattice().select("slide_id", "patch_id", "label")
     half = table.agg(F.max("slide_id")).first()[0] // 2
-    for arrival in (F.col("slide_id") <= half, F.col("slide_id") >= half):
+    early = (F.col("slide_id") < half) | ((F.col("slide_id") == half) & (F.col("patch_id") % 2 == 0))
+    for arrival in (early, ~early):
         table.filter(arrival).write.mode("append").parquet(f"{base}/landing")
-        incremental_ingest(t.spark, f"{base}/landing", f"{base}/table", f"{base}/state", table.schema)
+        incremental_ingest(t.spark, f"{base}/landing", f"{base}/table", f"{base}/state", table.schema, max_files=2)
     out = t.spark.read.parquet(f"{base}/table").groupBy(F.col("slide_id").cast("long").alias("slide_id"))
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patch_id").alias("n_distinct"))
 

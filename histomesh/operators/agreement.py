@@ -125,7 +125,7 @@ def davies_bouldin(points: DataFrame, vector="features", label="cn") -> DataFram
     """Mean over clusters of the worst (scatter_i + scatter_j) / centroid distance."""
     centres = points.groupBy(label).agg(mean_vector(vector).alias("centroid"))
     scatter = (
-        points.join(F.broadcast(centres), label)  # one row per cluster
+        points.join(centres, label)
         .groupBy(label)
         .agg(F.avg(F.sqrt(euclid2(vector, "centroid"))).alias("s"))
         .join(centres, label)

@@ -153,7 +153,7 @@ def split_leaks(assigned: DataFrame, sample: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Every row with weight 1 / (class count), each class weighing the same in total."""
     counts = df.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return df.join(F.broadcast(counts), label)  # one row per class
+    return df.join(counts, label)  # broadcast by its size, if at all
 
 
 def balanced_resample(df: DataFrame, label: str, id_col: str | list[str], seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting one only when the cluster named none.
 
     The folder comes from ``spark.checkpoint.dir`` (a shared path on a cluster). A private
-    temporary folder is used in local mode only; elsewhere an unset folder is an error, since
+    temporary folder is used under a ``local[...]`` master only; elsewhere (also ``local-cluster``) an unset folder is an error, since
     a machine-local path would be lost with its executor.
     """
     context = spark.sparkContext
@@ -44,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="histomesh-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
