@@ -19,12 +19,28 @@ from pyspark.sql import functions as F
 from histomesh.session import durable
 
 BUCKETS = 1 << 16
-FILTER_WORDS = 1 << 14
-BLANKS = "[\\x20\\x09\\x0B\\x0C\\x0D]+"
+WIDE = 4
+FILTER_WORDS = 1 << 16
+ODD_BLANKS = "\t\x0b\x0c\r"
+
+
+def _spaced(text: Column, blanks: str = ODD_BLANKS) -> Column:
+    """Lower case, with other blanks as spaces; the replacement runs only on texts that hold one,
+    since splitting at a single character is several times faster than at a pattern."""
+    odd = F.lit(False)
+    for c in blanks:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.lower(F.when(odd, F.translate(text, blanks, " " * len(blanks))).otherwise(text))
 
 
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), BLANKS), ""))
+    return F.array_distinct(F.array_remove(F.split(_spaced(line), " "), ""))
+
+
+def _word_hashes(line: Column) -> Column:
+    """Hashes of the different words."""
+    hashes = F.transform(F.split(_spaced(line), " "), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -43,8 +59,8 @@ def rarity_levels(docs: DataFrame) -> Column:
 
     A constant of the size of BUCKETS, whatever the corpus.
     """
-    text = F.coalesce(F.lower(F.col("text").cast("string")), F.lit(""))
-    words = docs.select(F.explode(F.split(text, "[\\x20\\x09-\\x0D]+")).alias("word"))
+    lines = F.explode(F.split(F.col("text").cast("string"), "\n")).alias("body")  # a split keeps no whole text's words in memory
+    words = docs.select(lines).select(F.explode(F.split(_spaced(F.col("body")), " ")).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * BUCKETS
     for r in counts.select("bucket", F.ceil(2 * F.log2("n")).alias("level")).collect():
@@ -61,16 +77,22 @@ def line_sets(docs: DataFrame, t: Fraction, least_words: int) -> DataFrame:
     words, parity map, and prefix (32 bits of each word's hash, rarest first)."""
     levels = rarity_levels(docs)
     order = F.transform(
-        F.transform("words", lambda w: F.xxhash64(w)),
+        _word_hashes(F.col("body")),
         lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
     )
-    lines = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")), _words(F.col("body")).alias("words"))
-    lines = lines.filter(F.size("words") >= least_words).select("doc_id", "line", "id", "id2", F.size("words").alias("n"), F.sort_array(order).alias("sorted"))
     one = F.lit(1).cast("long")
-    parity = F.aggregate("sorted", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.transform(F.slice("sorted", 1, _prefix_size(F.col("n"), t).cast("int")), lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
-    lines = lines.select("id", "id2", F.struct("doc_id", "line").alias("place"), "n", parity.alias("parity"), prefix.alias("prefix"))
-    return durable(lines.groupBy("id", "id2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
+
+    def summary(s: Column) -> Column:
+        parity = F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+        prefix = F.transform(F.slice(s, 1, F.greatest(_prefix_size(F.size(s), t), F.lit(0)).cast("int")), lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
+        return F.struct(F.size(s).alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+
+    # the lambda holds the sorted words, so that they are worked out once per line; a filter on their
+    # number stands behind the aggregate, as Spark would push it down with a second copy of the work
+    found = F.element_at(F.transform(F.array(F.sort_array(order)), summary), 1)
+    lines = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")), found.alias("found"))
+    sets = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "found")).alias("f")).filter(F.col("f.found.n") >= least_words)
+    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", "f.found.parity", "f.found.prefix"))
 
 
 def _may_match(a: str, b: str, t: Fraction) -> Column:
@@ -87,58 +109,83 @@ def _may_match(a: str, b: str, t: Fraction) -> Column:
     )
 
 
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    # in the order in which posexplode gives them: both sides of a self-join then have one exchange
+    return sets.select("id", "n", "parity", F.posexplode("prefix").alias("at", "word"))
+
+
 def involved(sets: DataFrame, t: Fraction) -> DataFrame:
-    """Prefix rows (word, id, id2, n, at, parity) that some other line's prefix row may match."""
-    rows = sets.select(F.posexplode("prefix").alias("at", "word"), "id", "id2", "n", "parity").select("word", "id", "id2", "n", "at", "parity")
+    """The rows of ``sets`` that some other line may match."""
+    rows = _prefix_rows(sets)
     a, b = rows.alias("a"), rows.alias("b")
-    other = (F.col("a.id") != F.col("b.id")) | (F.col("a.id2") != F.col("b.id2"))
-    return durable(a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & other & _may_match("a", "b", t), "left_semi"))
+    met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _may_match("a", "b", t), "left_semi")
+    ids = durable(met.groupBy("id").agg(F.count(F.lit(1)).alias("words")).select("id"))
+    return durable(sets.join(ids, "id"))
 
 
-def _bits(ids: DataFrame) -> Column:
-    """Condition on doc_id that holds for all of ``ids`` and few others: a filter of 2 ** 20 bits, whatever their number."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
-    word, bit = F.shiftright(at(F.col("doc_id")), 6), at(F.col("doc_id")).bitwiseAND(F.lit(63)).cast("int")
+def _among(rows: DataFrame, *columns: Column) -> Column:
+    """Condition on ``columns`` that holds for all of ``rows`` and few others: a filter of 2 ** 22 bits,
+    whatever their number."""
+    at = F.xxhash64(*columns).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     held = ["0"] * FILTER_WORDS
-    for r in ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")).collect():
+    for r in rows.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")).collect():
         held[r.word] = str(r.bits)
     table = F.split(F.lit(",".join(held)), ",").cast("array<bigint>")
-    return F.element_at(table, (word + 1).cast("int")).bitwiseAND(mask) != 0
+    return F.get(table, word.cast("int")).bitwiseAND(mask) != 0
+
+
+def _wide_parity(bodies: DataFrame) -> DataFrame:
+    """(id, id2, w0, w1, ...): parity maps of 64 * WIDE bits, which still tell long lines apart."""
+    words = bodies.select("id", "id2", F.explode(_word_hashes(F.col("body"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright("h", 6).bitwiseAND(F.lit(WIDE - 1))
+    return words.groupBy("id", "id2").agg(*[F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WIDE)])
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
     """The later lines (id, id2) of ``pairs`` whose word sets reach the similarity."""
-    side = lambda s: bodies.select(F.col("id").alias(f"{s}id"), F.col("id2").alias(f"{s}id2"), F.col("words").alias(f"{s}words"))
+    side = lambda s: bodies.select(F.col("id").alias(f"{s}id"), F.col("id2").alias(f"{s}id2"), F.col("body").alias(f"{s}body"))
     both = pairs.join(side("l"), ["lid", "lid2"]).join(side("e"), ["eid", "eid2"])
-    common = F.size(F.array_intersect("lwords", "ewords"))
-    either = F.size("lwords") + F.size("ewords") - common
-    return both.filter(common * t.denominator >= either * t.numerator).select(F.col("lid").alias("id"), F.col("lid2").alias("id2")).distinct()
+    words = F.array(F.struct(_words(F.col("lbody")).alias("l"), _words(F.col("ebody")).alias("e")))
+
+    def reaches(x: Column) -> Column:
+        either = lambda c: F.size(x["l"]) + F.size(x["e"]) - c
+        return F.exists(F.array(F.size(F.array_intersect(x["l"], x["e"]))), lambda c: c * t.denominator >= either(c) * t.numerator)
+
+    # lambdas hold the words and the overlap, so that each is worked out once per pair
+    return both.filter(F.exists(words, reaches)).select(F.col("lid").alias("id"), F.col("lid2").alias("id2")).distinct()
 
 
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """(id, id2) of the lines with a similar line whose first place is earlier.
 
-    The lines that share a prefix word first meet the earliest of them: in a crowd of variants that
-    settles nearly all. The lines still open meet all earlier ones.
+    Of the lines that may match, each first meets one: the earliest that shares one of the last three
+    words of both prefixes, the least rare ones. In a crowd of variants that settles nearly all. The
+    lines still open meet all earlier ones.
     """
-    rows = involved(sets, t)
-    known = sets.select("id", "id2", "place").join(rows.select("id", "id2").distinct(), ["id", "id2"])
-    known = durable(known)
-    rows = durable(rows.join(known, ["id", "id2"]))
-    wanted = known.select(F.col("place.doc_id").alias("doc_id")).distinct()
-    wanted = durable(wanted)
-    found = lines_of(docs.filter(_bits(wanted))).select(*_identity(F.col("body")), F.struct("doc_id", "line").alias("place"), _words(F.col("body")).alias("words"))
-    bodies = durable(found.join(known, ["id", "id2", "place"]).select("id", "id2", "words").dropDuplicates(["id", "id2"]))
-    fields = ["id", "id2", "n", "at", "parity", "place"]
-    leader = Window.partitionBy("word").orderBy("place", "id", "id2")
-    led = rows.withColumn("e", F.first(F.struct(*fields)).over(leader.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    led = led.select(F.struct(*fields).alias("l"), "e").filter((F.col("e.place") < F.col("l.place")) & _may_match("l", "e", t))
-    ends = [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "le" for c in ("id", "id2")]
-    first = durable(_confirmed(durable(led.select(*ends).distinct()), bodies, t))
-    still = rows.join(first, ["id", "id2"], "left_anti")
-    met = still.alias("l").join(rows.alias("e"), (F.col("l.word") == F.col("e.word")) & (F.col("e.place") < F.col("l.place")) & _may_match("l", "e", t))
-    second = _confirmed(durable(met.select(*ends).distinct()), bodies, t)
+    known = involved(sets, t)
+    places = known.select("place.doc_id", "place.line")
+    found = lines_of(docs).filter(_among(places, F.col("doc_id"), F.col("line"))).select(F.struct("doc_id", "line").alias("place"), "body")
+    bodies = durable(found.join(known.select("id", "id2", "place"), "place").select("id", "id2", "body").dropDuplicates(["id", "id2"]))
+    wide = durable(known.select("id", "id2", "place", "n").join(_wide_parity(bodies), ["id", "id2"]))
+    last = F.slice("prefix", F.greatest(F.size("prefix") - 2, F.lit(1)), 3)
+    few = known.select("id", "id2", "n", "place", F.explode(last).alias("word"))
+    leader = Window.partitionBy("word").orderBy("place", "id", "id2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = few.withColumn("e", F.first(F.struct("place", "id", "id2", "n")).over(leader))
+    led = led.filter((F.col("e.place") < F.col("place")) & (F.col("n") * t.denominator >= F.col("e.n") * t.numerator) & (F.col("e.n") * t.denominator >= F.col("n") * t.numerator))
+    led = led.groupBy(F.col("id").alias("lid"), F.col("id2").alias("lid2")).agg(F.min(F.struct("e.place", "e.id", "e.id2")).alias("e"))
+    first = durable(_confirmed(led.select("lid", "lid2", F.col("e.id").alias("eid"), F.col("e.id2").alias("eid2")), bodies, t))
+    still = _prefix_rows(known.join(first, ["id", "id2"], "left_anti"))
+    same = (F.col("l.word") == F.col("e.word")) & (F.col("l.id") != F.col("e.id")) & _may_match("l", "e", t)
+    met = still.alias("l").join(_prefix_rows(known).alias("e"), same).select(F.col("l.id").alias("lid"), F.col("e.id").alias("eid")).distinct()
+    names = ["id2", "place", "n", *[f"w{k}" for k in range(WIDE)]]
+    side = lambda s: wide.select(F.col("id").alias(f"{s}id"), *[F.col(c).alias(f"{s}{c}") for c in names])
+    apart = sum((F.bit_count(F.col(f"lw{k}").bitwiseXOR(F.col(f"ew{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("lw0").bitwiseXOR(F.col("ew0"))))
+    close = apart * (t.numerator + t.denominator) <= (F.col("ln") + F.col("en")) * (t.denominator - t.numerator)
+    ordered = met.join(side("l"), "lid").join(side("e"), "eid").filter((F.col("eplace") < F.col("lplace")) & close)
+    second = _confirmed(ordered.select("lid", "lid2", "eid", "eid2"), bodies, t)
     return durable(first.unionAll(second).distinct())
 
 
@@ -176,11 +223,14 @@ def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_w
 
     With ``drop_spent``, a document goes that lost lines and has no line of ``least_words`` words left.
     """
-    gone = durable(removed_lines(docs, threshold, least_words)).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left")
+    gone = durable(removed_lines(docs, threshold, least_words))
+    touched = F.coalesce(_among(gone, F.col("doc_id").cast("long")), F.lit(False))
+    whole, cut = docs.filter(~touched), docs.filter(touched)  # only texts that may change are moved
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    joined = cut.join(gone, cut["doc_id"].cast("long") == F.col("_id"), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     rest = F.filter(lines, lambda x, i: ~F.array_contains("_removed", i))
     if drop_spent:
         joined = joined.filter(F.col("_removed").isNull() | F.exists(rest, lambda x: F.size(_words(x)) >= least_words))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text")
-    return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])
+    return whole.unionAll(joined.select(*[text if c == "text" else cut[c] for c in docs.columns]))
