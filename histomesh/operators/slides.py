@@ -150,7 +150,7 @@ def full_frame_residual(tissue: DataFrame, density: DataFrame, um_per_px: float,
 
     def correlate(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({on: [], "dy": [], "dx": []})
+            return pd.DataFrame({on: np.zeros(0, object), "dy": np.zeros(0, np.int32), "dx": np.zeros(0, np.int32)})
         h, w = int(b["h"].iloc[0]), int(b["w"].iloc[0])
         if h * w > max_pixels:
             raise ValueError(f"the frame of {b[on].iloc[0]} has {h * w} pixels; pool the rasters first")
@@ -163,7 +163,7 @@ def full_frame_residual(tissue: DataFrame, density: DataFrame, um_per_px: float,
         dy, dx = np.nonzero(corr == corr.max())
         dy, dx = np.where(dy > h // 2, dy - h, dy), np.where(dx > w // 2, dx - w, dx)
         best = np.lexsort((dx, dy, dx * dx + dy * dy))[0]
-        return pd.DataFrame({on: [b[on].iloc[0]], "dy": [dy[best]], "dx": [dx[best]]})
+        return pd.DataFrame({on: np.array([b[on].iloc[0]], object), "dy": [dy[best]], "dx": [dx[best]]})
 
     left = tissue.select(on, "row", "col", "value").groupBy(on)
     right = density.select(on, "row", "col", "value", "h", "w").groupBy(on)

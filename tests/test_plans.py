@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_discovery_and_cohort_patches(spark):
     t = Tables(spark, SF)
     cells = durable(t.cells().select("image_id", "cell_id", "x_um", "y_um", F.concat(F.lit("t"), "type_id").alias("cell_type")))
-    out = neighbourhoods.discover(cells, n_topics=4, k=5, n_init=1, fit_rows=3000, sweep=(4, 5))
+    out = neighbourhoods.discover(cells, n_topics=4, k=5, n_init=1, sweep=(4, 5))
     assert out["assignments"].count() == cells.count()
     assert out["definitions"].count() == 5
     assert out["sweep"].count() == 2
