@@ -185,8 +185,13 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     apart = sum((F.bit_count(F.col(f"lw{k}").bitwiseXOR(F.col(f"ew{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("lw0").bitwiseXOR(F.col("ew0"))))
     close = apart * (t.numerator + t.denominator) <= (F.col("ln") + F.col("en")) * (t.denominator - t.numerator)
     ordered = met.join(side("l"), "lid").join(side("e"), "eid").filter((F.col("eplace") < F.col("lplace")) & close)
-    second = _confirmed(ordered.select("lid", "lid2", "eid", "eid2"), bodies, t)
-    return durable(first.unionAll(second).distinct())
+    ordered = durable(ordered.select("lid", "lid2", "eid", "eid2", apart.alias("apart")))
+    # one partner settles a line: the closest is read first, the others only for lines it doesn't settle
+    closest = ordered.groupBy("lid", "lid2").agg(F.min(F.struct("apart", "eid", "eid2")).alias("e"))
+    second = durable(_confirmed(closest.select("lid", "lid2", "e.eid", "e.eid2"), bodies, t))
+    settled = second.select(F.col("id").alias("lid"), F.col("id2").alias("lid2"))
+    third = _confirmed(ordered.join(settled, ["lid", "lid2"], "left_anti").select("lid", "lid2", "eid", "eid2"), bodies, t)
+    return durable(first.unionAll(second).unionAll(third).distinct())
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5) -> DataFrame:
