@@ -10,6 +10,11 @@ confirmed on the full shingle sets.
 Equal sets are merged before, so copies cost one row. Links are found in two steps: first every
 document with its most similar candidate; then, in regions that still hold several components, all
 candidates between different ones. Candidates inside one component can't change the result.
+
+Splitting a crowded region loses pairs. The sets of every region that was split, or that the border of
+a range may have cut, therefore meet once more after the first step, in an exact prefix-filter join on
+their shingles (see ``crowd_pairs``). So a link is missed only if its sets share no SHALLOWEST values
+in any tree.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from histomesh.session import durable
 TREES, DEPTH, SHALLOWEST, CROWD, NEIGHBOURS = 16, 8, 4, 48, 2
 BITS = TREES * DEPTH
 PARITY = 4  # words of 64 bits
+RARITY = 1 << 16
 _rng = np.random.default_rng(20_240_615)
 _A = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32)
@@ -152,6 +158,15 @@ def regions(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_first).astype(np.int64), np.concatenate(out_last).astype(np.int64)
 
 
+def uncertain(lcp: np.ndarray) -> np.ndarray:
+    """Rows of a sorted run whose region of SHALLOWEST common values was split or may go on in another run."""
+    first = np.flatnonzero(np.r_[True, lcp < SHALLOWEST])
+    size = np.diff(np.r_[first, len(lcp) + 1])
+    chosen = size > CROWD
+    chosen[[0, -1]] = True
+    return np.flatnonzero(np.repeat(chosen, size))
+
+
 def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int, slack: float) -> np.ndarray:
     """Estimated similarity of the pairs, -1 for those that fail the size, parity or sketch test."""
     differ = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
@@ -164,8 +179,9 @@ def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, th
 
 
 def candidates(ordered: DataFrame, threshold: int, slack: float = 5.0) -> DataFrame:
-    """Rows of two kinds: (node, other, similarity), each node's most similar earlier one in a region;
-    and (members, sizes, sketches), a region that holds more candidates than those."""
+    """Rows of three kinds: (node, other, similarity), each node's most similar earlier one in a region;
+    (members, sizes, sketches), a region that holds more candidates than those; and (crowd), nodes
+    of which a region's other members were not all compared with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # one range of one sorted order
@@ -177,6 +193,8 @@ def candidates(ordered: DataFrame, threshold: int, slack: float = 5.0) -> DataFr
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64 + PARITY)
         same = (prefix[1:] == prefix[:-1]) & (tree[1:] == tree[:-1])[:, None]
         lcp = np.logical_and.accumulate(same, axis=1).sum(1)
+        crowd = np.unique(node[uncertain(lcp)])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(crowd), t) for t in _PAIR), *(pa.nulls(len(crowd), t) for t in _REGION), pa.array(crowd)], _CANDIDATE_NAMES)
         first, last = regions(lcp)
         pair_i, pair_j, score, region = [], [], [], []
         length = last - first
@@ -210,25 +228,27 @@ def candidates(ordered: DataFrame, threshold: int, slack: float = 5.0) -> DataFr
         border = np.setdiff1d(np.flatnonzero(r < 0), best)
         out = np.concatenate([best, border])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[j[out]]), pa.array(node[i[out]]), pa.array(s[out].astype(np.int32)), *(pa.nulls(len(out), t) for t in _REGION)], _CANDIDATE_NAMES
+            [pa.array(node[j[out]]), pa.array(node[i[out]]), pa.array(s[out].astype(np.int32)), *(pa.nulls(len(out), t) for t in _REGION), pa.nulls(len(out), pa.int64())],
+            _CANDIDATE_NAMES,
         )
         inside = r[r >= 0]
         more = np.bincount(inside, minlength=len(first)) - np.bincount(r[best][r[best] >= 0], minlength=len(first))
-        crowd = np.flatnonzero(more > 0)
-        for at in range(0, len(crowd), 2048):
-            chosen = crowd[at : at + 2048]
+        rich = np.flatnonzero(more > 0)
+        for at in range(0, len(rich), 2048):
+            chosen = rich[at : at + 2048]
             cut = [slice(first[k], last[k] + 1) for k in chosen]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array([node[c].tolist() for c in cut], _REGION[0]), pa.array([n[c].tolist() for c in cut], _REGION[1]),
-                 pa.array([sketch[c].tobytes() for c in cut], _REGION[2])],
+                [*(pa.nulls(len(cut), t) for t in _PAIR), pa.array([node[c].tolist() for c in cut], _REGION[0]), pa.array([n[c].tolist() for c in cut], _REGION[1]),
+                 pa.array([sketch[c].tobytes() for c in cut], _REGION[2]), pa.nulls(len(cut), pa.int64())],
                 _CANDIDATE_NAMES,
             )
 
-    return ordered.mapInArrow(run, "node bigint, other bigint, similarity int, members array<bigint>, sizes array<bigint>, sketches binary")
+    return ordered.mapInArrow(run, "node bigint, other bigint, similarity int, members array<bigint>, sizes array<bigint>, sketches binary, crowd bigint")
 
 
+_PAIR = (pa.int64(), pa.int64(), pa.int32())
 _REGION = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-_CANDIDATE_NAMES = ["node", "other", "similarity", "members", "sizes", "sketches"]
+_CANDIDATE_NAMES = ["node", "other", "similarity", "members", "sizes", "sketches", "crowd"]
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -289,6 +309,75 @@ def across(found: DataFrame, labels: DataFrame, threshold: int, slack: float = 5
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def shingle_levels(texts: DataFrame, size: int) -> np.ndarray:
+    """How many sets hold a shingle of each of RARITY hash buckets: a constant in size, summed in every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            buffer, offsets = buffer_of(batch.column(0))
+            for a, b in blocks(offsets, 1 << 20):
+                rows, _, _, hashes = words(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rows, _, hashes = shingles(rows, hashes, size)
+                total += np.bincount((distinct_sets(rows, hashes)[1] % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def crowd_pairs(crowd: DataFrame, labels: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(a, b): all pairs of the sets in ``crowd`` (node) that may reach the threshold and
+    lie in different components. Exact: none is left out.
+
+    Shingles are ordered by rarity (counts by hash bucket, then hash). Two sets of the similarity t
+    share one of their first ``n - ceil(t n) + 1`` shingles, have sizes within t, can still reach the
+    overlap behind the first shingle they share, and have parity maps within their difference. A shingle that only one component holds in its
+    prefixes joins nothing.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = durable(texts.join(crowd.select(F.col("node").alias("id")), "id", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(texts, size))  # RARITY numbers
+    maps = [f"p{k}" for k in range(PARITY)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            buffer, offsets = buffer_of(batch.column(1))
+            for a, b in blocks(offsets, 1 << 20):
+                rows, _, _, hashes = words(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rows, _, hashes = shingles(rows, hashes, size)
+                rows, hashes = distinct_sets(rows, hashes)
+                order = np.lexsort((hashes, levels[(hashes % np.uint64(RARITY)).astype(np.int64)], rows))
+                hashes = hashes[order]
+                count = np.bincount(rows, minlength=b - a)
+                parity = np.zeros((b - a, PARITY), np.uint64)
+                if len(rows):
+                    parity[count > 0] = parity_maps(rows, hashes)
+                at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+                keep = at < (count - (threshold * count + 99) // 100 + 1)[rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a:b][rows[keep]]), pa.array(count[rows[keep]]), pa.array(at[keep]), pa.array(hashes[keep].view(np.int64)), *(pa.array(parity[rows[keep], k].view(np.int64)) for k in range(PARITY))],
+                    ["node", "n", "at", "shingle", *maps],
+                )
+
+    rows = durable(texts.mapInArrow(run, "node bigint, n bigint, at bigint, shingle bigint, " + ", ".join(f"{p} bigint" for p in maps)).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mixed = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
+    rows = durable(rows.join(mixed, "shingle", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    # rows of one node that stand for different sets of a shared doc_id have one label
+    rest = F.least(n - F.col("x.at"), m - F.col("y.at")) + F.least("x.at", "y.at")
+    may = (F.col("x.label") < F.col("y.label")) & (100 * n >= threshold * m) & (100 * m >= threshold * n) & (rest * (100 + threshold) >= (n + m) * threshold)
+    apart = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY))
+    near = apart * (100 + threshold) <= (n + m) * (100 - threshold)
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & may & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -311,7 +400,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     sames = named.join(split, "doc_id", "left_semi").filter("n_shingles > 0").join(heads, ["digest", "digest2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     first = durable(first.unionAll(sames))
     labels = components(first)
-    second = durable(confirm(durable(across(found, labels, threshold)), docs, size, threshold))
+    crowd = durable(sets.join(found.filter("crowd is not null").select(F.col("crowd").alias("node")).distinct(), "node", "left_semi").select("node"))
+    beyond = across(found, labels, threshold).unionAll(crowd_pairs(crowd, labels, docs, size, threshold)).distinct()
+    second = durable(confirm(durable(beyond), docs, size, threshold))
     name = lambda side: F.coalesce(F.col(f"l{side}"), F.col(side))
     lifted = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     lifted = lifted.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

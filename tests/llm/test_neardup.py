@@ -116,3 +116,22 @@ def test_parity_maps_bound_the_difference():
         b = np.concatenate([a[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)])
         x, y = N.parity_maps(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_links_inside_a_template_family_are_all_found(spark):
+    base = [f"t{i}" for i in range(300)]
+    docs, want = [], {}
+    for i in range(500):  # fillings share 0.75 of the template; only the two texts of one filling reach 0.8
+        filled = base[:60] + [f"f{i}_{k}" for k in range(42)] + base[102:]
+        other = 1000 + (i * 83) % 500
+        docs += [(i, " ".join(filled)), (other, " ".join(filled[:150] + [f"g{i}_{k}" for k in range(31)] + filled[181:]))]
+        want |= {i: i, other: i}
+    assert {d: c for d, _, c in run(spark, docs, 2)} == want
+
+
+def test_rows_of_split_and_cut_regions_are_uncertain():
+    shallow = N.SHALLOWEST
+    lcp = np.array([shallow] * 3 + [0] + [shallow] * (N.CROWD + 1) + [0] + [shallow] * 5 + [0, shallow])
+    got = set(N.uncertain(lcp).tolist())
+    crowd = set(range(4, 6 + N.CROWD))
+    assert got == set(range(4)) | crowd | {len(lcp) - 1, len(lcp)}
