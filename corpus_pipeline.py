@@ -40,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A bucket, batch and slot for every document."""
-    return packing.pack(docs, packing.word_count(F.col("text")))
+    return packing.pack(docs, packing.word_count(F.col("text")), widen=False)
 
 
 STAGES = [

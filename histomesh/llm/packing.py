@@ -29,9 +29,10 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
     Exact: cost[j] of the first j lengths in k buckets is the least, over the last bucket's first
     length i, of cost[i] in k - 1 plus lengths[j] for each document in between. Of equal costs the
-    smallest i is taken.
+    smallest i is taken. That i never falls as j grows, so that the middle j's i bounds those of both
+    halves: n log n steps a bucket.
     """
-    n = len(lengths)
+    lengths, n = np.asarray(lengths, np.int64), len(lengths)
     if n == 0:
         return []
     total = np.r_[0, np.cumsum(counts)].astype(np.int64)
@@ -39,12 +40,20 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     cost = np.full(n + 1, far, np.int64)
     cost[0] = 0
     choice = []
-    for _ in range(min(buckets, n)):
+    for k in range(1, min(buckets, n) + 1):
         best, where = np.full(n + 1, far, np.int64), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            whole = cost[:j] + (total[j] - total[:j]) * int(lengths[j - 1])
-            i = int(whole.argmin())
-            best[j], where[j] = min(whole[i], far), i
+        open_ = [(k, n, k - 1, n - 1)]  # k buckets hold k lengths or more
+        while open_:
+            first, last, low, high = open_.pop()
+            j = (first + last) // 2
+            some = slice(low, min(high, j - 1) + 1)
+            whole = cost[some] + (total[j] - total[some]) * lengths[j - 1]
+            i = low + int(whole.argmin())
+            best[j], where[j] = whole[i - low], i
+            if first < j:
+                open_.append((first, j - 1, low, i))
+            if j < last:
+                open_.append((j + 1, last, i, high))
         cost = best
         choice.append(where)
     out, j = [], n
@@ -54,21 +63,22 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column, buckets: int = 8, align: int = 64, budget: int = 16384) -> DataFrame:
+def pack(docs: DataFrame, length: Column, buckets: int = 8, align: int = 64, budget: int = 16384, widen: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, bucket_length, batch, slot.
 
     ``length`` is a document's number of tokens (null: 0). Lengths are padded to multiples of
-    ``align``, doubled while more than 4096 multiples would be needed. A bucket's batches hold
+    ``align``; with ``widen`` that is doubled while more than 4096 multiples would be needed, without it
+    every aligned length that occurs is a choice, however long the longest. A bucket's batches hold
     ``budget // bucket_length`` documents, one at least. Repeated rows take a slot each; null ids
     come first. An empty table gives no row.
     """
     spark = docs.sparkSession
     rows = durable(docs.select("doc_id", F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
     longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    while longest > align * BINS:
+    while widen and longest > align * BINS:
         align *= 2
     padded = F.greatest(F.ceil(F.col("n_tokens") / align), F.lit(1)).cast("long") * align
-    histogram = rows.groupBy(padded.alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # BINS rows at most
+    histogram = rows.groupBy(padded.alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # as many rows as aligned lengths occur: m of them take align * m ** 2 / 2 tokens
     chosen = optimal_buckets(np.array([r.length for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64), buckets)
     bounds = spark.createDataFrame(list(enumerate(chosen)), "bucket int, bucket_length bigint")
     first = F.expr(f"array_position(transform(array({','.join(map(str, chosen)) or 0}), b -> b >= n_padded), true) - 1")

@@ -53,7 +53,7 @@ def packing_sql(source: str = "documents", buckets: int = 8, align: int = 64, bu
 
 @_query("op1_packing", packing_sql())
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_count(F.col("text")), widen=False)
 
 
 _BASE32 = "list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5), lambda k: cast(substr(bits, cast(1 + 5 * i + k as int), 1) as int) * cast(power(2, 4 - k) as int))) as int), 1)), 'string_agg', '')"

@@ -53,3 +53,19 @@ def test_word_count(spark):
     texts = [(None, 0), ("", 0), (" \n", 0), ("a b\tc", 3), ("é ü", 2), ("x" * 100_000, 1)]
     got = spark.createDataFrame([(t, n) for t, n in texts], "t string, n int").select(P.word_count(F.col("t")).alias("k"), "n").collect()
     assert all(r.k == r.n for r in got)
+
+
+def test_one_long_row_leaves_the_others_alone(spark):
+    docs = spark.createDataFrame([(i, 10 + 64 * (i % 12)) for i in range(120)] + [(999, 2_000_000)], "doc_id long, n long")
+    rows = P.pack(docs, F.col("n"), buckets=13, widen=False).collect()
+    assert all(r.bucket_length == 64 * (1 + r.n_tokens // 64) for r in rows if r.doc_id < 999)
+
+
+def test_registered_query_equals_its_sql_beside_a_long_row(spark, tmp_path):
+    from histomesh.llm.queries import QUERIES, SQL
+
+    rows = [(i, "w " * (10 + 40 * i)) for i in range(30)] + [(99, "w " * 300_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(QUERIES["op1_packing"](spark, str(tmp_path)), con, SQL["op1_packing"]) == ""
