@@ -3,7 +3,8 @@
 The fixed patterns give base spans (email, ip, card, phone). Their values are seeds of a graph
 between lexical patterns (the word or the two words before an identifier) and instances (the
 identifier-like tokens that follow). Spark scores it in rounds: a pattern's confidence is the
-number of its known instances over all places where its words stand in the corpus; an unknown
+number of its known instances over all different things that follow its words in the corpus, so that
+copies of a passage change neither side; an unknown
 instance's score is the noisy-or of its patterns; instances that score high are known in the next
 round. In the end, high-confidence patterns mark the unknown identifier-like tokens behind them.
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from histomesh.llm.decontaminate import _maybe, bloom_filter
 from histomesh.llm.text import blocks, buffer_of, mix, words
 from histomesh.session import durable
 
@@ -27,10 +29,11 @@ EMAIL_TAIL = re.compile(rb"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
+DIGIT_GROUP = re.compile(rb"[(]?[0-9][0-9().-]*+")
 TOKEN_EDGE = b"\"'()[]{}<>,;:!?|%$&*#.="
 HAS_MARK = np.zeros(256, bool)
 HAS_MARK[[*range(48, 58), ord("@")]] = True
-FOUND = "doc_id bigint, base array<struct<kind:int,start:int,end:int>>, candidates array<struct<kind:int,start:int,end:int,one:bigint,two:bigint,instance:bigint>>"
+FOUND = "doc_id bigint, base array<struct<kind:int,start:int,end:int>>, candidates array<struct<kind:int,start:int,end:int,one:bigint,two:bigint,head:bigint,instance:bigint>>"
 RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
 
@@ -104,9 +107,33 @@ def _identifier(token: bytes, least_digits: int) -> tuple[int, int] | None:
     return None
 
 
+def _grouped(data: bytes, starts: np.ndarray, ends: np.ndarray, least_digits: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring digit groups, one blank apart, none of which has ``least_digits`` itself."""
+    run: list[tuple[int, int]] = []
+
+    def close() -> Iterator[tuple[int, int]]:
+        if len(run) > 1:
+            a, b = run[0][0], run[-1][0] + len(data[run[-1][0] : run[-1][1]].rstrip(TOKEN_EDGE + b"-"))
+            if len(data[a:b].translate(None, _DIGITS_ONLY)) >= least_digits:
+                yield a, b
+        run.clear()
+
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        token = data[a:b]
+        fits = DIGIT_GROUP.fullmatch(token.rstrip(b",;:!?\"'")) and len(token.translate(None, _DIGITS_ONLY)) < least_digits
+        if not fits or (run and (a != run[-1][1] + 1 or data[a - 1] not in b" \t")):
+            yield from close()
+        if fits:
+            run.append((a, b))
+            if token[-1] in b".,;:!?\"'":
+                yield from close()
+    yield from close()
+
+
 def extract(docs: DataFrame, least_digits: int = 5) -> DataFrame:
     """Per row: base spans and candidates in code points. A candidate is a base span, or an
-    identifier-like token (kind -1) that no base span touches, with hashes of the words before it."""
+    identifier-like token or run of digit groups (kind -1) that no base span touches, with hashes of the
+    words before it and of the word it begins in (head)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +161,9 @@ def extract(docs: DataFrame, least_digits: int = 5) -> DataFrame:
                         taken[x] += 1
                         taken[y] -= 1
                     taken = np.cumsum(taken)
-                    for k in np.flatnonzero(marks[at[i] + e] > marks[at[i] + s]):
+                    some = np.flatnonzero(marks[at[i] + e] > marks[at[i] + s])
+                    found += [(-1, x, y) for x, y in _grouped(data, s[some], e[some], least_digits) if not taken[x:y].any()]
+                    for k in some:
                         core = _identifier(data[s[k] : e[k]], least_digits)
                         if core and not taken[s[k] + core[0] : s[k] + core[1]].any():
                             found.append((-1, int(s[k]) + core[0], int(s[k]) + core[1]))
@@ -144,7 +173,7 @@ def extract(docs: DataFrame, least_digits: int = 5) -> DataFrame:
                     for kind, x, y in found:
                         before = int(np.searchsorted(e, x, "right")) - 1  # the last word that ends before it
                         instance = int.from_bytes(hashlib.blake2b(data[x:y], digest_size=8).digest(), "big", signed=True)
-                        listed.append({"kind": kind, "start": int(points[x]), "end": int(points[y]), "one": int(one[f + before]) if before >= 0 else 0, "two": int(two[f + before]) if before >= 0 else 0, "instance": instance})
+                        listed.append({"kind": kind, "start": int(points[x]), "end": int(points[y]), "one": int(one[f + before]) if before >= 0 else 0, "two": int(two[f + before]) if before >= 0 else 0, "head": int(one[f + before + 1]), "instance": instance})
                     candidate_out.append(listed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_out, _BASE), pa.array(candidate_out, _CANDIDATES)], ["doc_id", "base", "candidates"])
 
@@ -152,52 +181,58 @@ def extract(docs: DataFrame, least_digits: int = 5) -> DataFrame:
 
 
 _BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("instance", pa.int64())]))
+_CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("head", pa.int64()), ("instance", pa.int64())]))
+
 
+def followers(docs: DataFrame, support: DataFrame) -> DataFrame:
+    """(context, head), distinct: the words that stand behind the contexts of ``support`` anywhere in the corpus.
 
-def context_totals(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(context, places): how often each of the sorted ``contexts`` stands anywhere in the corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)  # bounded by max_contexts
+    A filter of bounded size thins the pairs inside the scan; the join with all contexts is exact.
+    """
+    bloom = bloom_filter(support.select(F.col("context").alias("window")))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        totals = np.zeros(len(known), np.int64)
+        own = shared.value
         for batch in batches:
             buffer, offsets = buffer_of(batch.column(0))
             for a, b in blocks(offsets, 1 << 20):
                 rows, _, _, hashes = words(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if len(rows) < 2:
+                    continue
+                inside = rows[1:] == rows[:-1]
                 for values in _contexts(hashes, rows):
-                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    totals += np.bincount(at[known[at] == values], minlength=len(known))
-        some = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(totals[some])], ["context", "places"])
+                    at = np.flatnonzero(inside & (values[:-1] != 0))
+                    at = at[_maybe(own, values[at].view(np.uint64))]
+                    pairs = np.unique(np.stack([values[at], _signed(hashes)[at + 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["context", "head"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "context bigint, places bigint").groupBy("context").agg(F.sum("places").alias("places"))
+    return texts.mapInArrow(run, "context bigint, head bigint").distinct().join(support.select("context"), "context", "left_semi")
 
 
-def induce(docs: DataFrame, found: DataFrame, rounds: int = 3, least_instances: int = 3, least_confidence: float = 0.5, least_score: float = 0.7, max_contexts: int = 1 << 17) -> DataFrame | None:
+def induce(docs: DataFrame, found: DataFrame, rounds: int = 3, least_instances: int = 3, least_confidence: float = 0.5, least_score: float = 0.7) -> DataFrame | None:
     """High-confidence patterns (context, kind, confidence), from ``rounds`` over the graph; None if no
     context has ``least_instances`` different instances.
 
-    ``max_contexts`` bounds what is broadcast: beyond it the contexts with the most instances stay.
-    A confidence is at most 0.999, so that no single pattern makes a certainty.
+    What follows a context counts once however often it stands there: a candidate by its text, any
+    other word by itself. A confidence is at most 0.999, so that no single pattern makes a certainty.
     """
     c = F.explode("candidates").alias("c")
     edges = durable(
         found.select(c)
-        .select("c.kind", "c.instance", F.explode(F.array("c.one", "c.two")).alias("context"))
+        .select("c.kind", "c.instance", "c.head", F.explode(F.array("c.one", "c.two")).alias("context"))
         .filter("context <> 0")
         .groupBy("context", "instance")
-        .agg(F.max("kind").alias("kind"))
+        .agg(F.max("kind").alias("kind"), F.min("head").alias("head"))
     )
-    support = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_instances)
-    kept = support.orderBy(F.desc("n"), "context").limit(max_contexts).select("context").toArrow()
-    contexts = np.sort(kept.column("context").to_numpy())
-    if not len(contexts):
+    support = durable(edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_instances))
+    if support.isEmpty():
         return None
-    totals = durable(context_totals(docs, contexts))
-    edges = durable(edges.join(totals, "context"))
+    plain = followers(docs, support).join(edges.select("context", "head").distinct(), ["context", "head"], "left_anti")
+    plain = plain.groupBy("context").agg(F.count(F.lit(1)).alias("plain"))
+    totals = durable(support.join(plain, "context", "left").select("context", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("places")))
+    edges = durable(edges.drop("head").join(totals, "context"))
     known = durable(edges.filter("kind >= 0").select("instance", "kind").distinct())
     patterns = None
     for step in range(rounds):
@@ -218,22 +253,24 @@ def induce(docs: DataFrame, found: DataFrame, rounds: int = 3, least_instances:
 
 def render(found: DataFrame, patterns: DataFrame | None) -> DataFrame:
     """Counts, digest and span list of every row; base spans stay, pattern spans are added."""
-    best: dict[int, tuple[float, int]] = {}
-    for r in patterns.collect() if patterns is not None else []:  # bounded by max_contexts and the kinds
-        best[r.context] = max(best.get(r.context, (0.0, 0)), (r.confidence, -r.kind))
-    shared = found.sparkSession.sparkContext.broadcast({k: -kind for k, (_, kind) in best.items()})
+    listed = "array<struct<place:int,kind:int>>"
+    if patterns is None:
+        found = found.withColumn("marked", F.lit(None).cast(listed))
+    else:
+        best = patterns.groupBy("context").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b")).select("context", (-F.col("b.k")).alias("_kind"))
+        each = found.select("_row", F.posexplode("candidates").alias("place", "c")).filter("c.kind < 0")
+        each = each.select("_row", "place", F.posexplode(F.array("c.two", "c.one")).alias("words", "context")).join(best, "context")  # two words go first
+        each = each.groupBy("_row", "place").agg(F.min(F.struct("words", F.col("_kind").alias("kind"))).alias("m"))
+        marked = each.groupBy("_row").agg(F.collect_list(F.struct("place", F.col("m.kind").alias("kind"))).alias("marked"))
+        found = found.join(marked, "_row", "left")
+    found = found.select("doc_id", "base", "candidates", "marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_of = shared.value
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 base = [(s["start"], s["kind"], s["end"]) for s in row["base"]]
-                added = []
-                for x in row["candidates"]:
-                    kind = kind_of.get(x["two"], kind_of.get(x["one"])) if x["kind"] < 0 else None
-                    if kind is not None:
-                        added.append((x["start"], kind, x["end"]))
+                added = [(row["candidates"][m["place"]]["start"], m["kind"], row["candidates"][m["place"]]["end"]) for m in row["marked"] or []]
                 counts = np.bincount([k for _, k, _ in base], minlength=4).tolist()
                 text = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base))
                 every = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + added))
@@ -251,5 +288,5 @@ def find(docs: DataFrame, least_digits: int = 5, **options) -> DataFrame:
 
     A null or empty text has no span; repeated rows give repeated results; other columns are ignored.
     """
-    found = durable(extract(docs, least_digits))
+    found = durable(extract(docs, least_digits).withColumn("_row", F.monotonically_increasing_id()))
     return render(found, induce(docs, found, **options))

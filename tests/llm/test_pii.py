@@ -96,3 +96,17 @@ def test_edge_rows(spark):
 @pytest.mark.parametrize("digits,ok", [(b"4111111111111111", True), (b"4111111111111112", False), (b"0" * 12, True)])
 def test_luhn(digits, ok):
     assert pii.luhn(digits) is ok
+
+
+def test_copies_leave_a_perfect_context_alone(spark):
+    rows = [(100 * i + k, f"write inbox user{i}@mail.org today") for i in range(10) for k in range(20)]
+    rows += [(5000, "write inbox user77 at mail 4815162342 today")] + [(6000, "write inbox 4815162342x today")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[6000].spans == "email:12:23" and got[5000].n_added == 0
+
+
+def test_numbers_in_groups_are_one_candidate(spark):
+    rows = [(i, f"please call hotline +1 (555) 010-{1000 + i} now") for i in range(6)]
+    rows += [(10, "call hotline 555 123 4567, or 12 now"), (11, "call hotline 12 now"), (12, "plain 555 123 4567")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10].spans == "phone:13:25" and got[11].spans == "" and got[12].spans == ""
