@@ -195,7 +195,7 @@ def interaction_z(t: Tables):
 
 @R.add("null_model_comparison")
 def null_model_comparison(t: Tables):
-    return I.null_model_comparison(t.stored("habitat_patches"), offsets=OFFSETS, permutations=5)
+    return I.null_model_comparison(t.stored("habitat_patches"))
 
 
 @R.add("distance_features", HP + f""", c as (select sample_id, habitat, count(*) n from habitat_patches group by 1,2),

@@ -369,7 +369,7 @@ def signature_report(t: Tables):
 
 @R.add("lasso_cox_frequency")
 def lasso_cox_frequency(t: Tables):
-    return M.lasso_cox_frequency(design(t, population_sd=True), COLUMNS, repeats=20, rounds=15)
+    return M.lasso_cox_frequency(design(t, population_sd=True), COLUMNS)
 
 
 @R.add("permutation_importance")
