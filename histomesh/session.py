@@ -57,14 +57,30 @@ def durable(df: DataFrame) -> DataFrame:
 
     Cuts the lineage there: a lost executor re-reads files instead of recomputing earlier rounds.
     The table is columnar, so later steps read only the columns they use. It is removed when the
-    application ends.
+    application ends, or by ``release`` once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables that ``durable`` wrote for ``frames``.
+
+    Only for frames whose successors are written: whatever is still to be computed from them fails.
+    Frames that ``durable`` did not return are left alone.
+    """
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
