@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from histomesh.llm import decontaminate, langid, linedup, neardup, packing, pii, quality, topk, toxicity, warc
+from histomesh.llm import centroids, decontaminate, langid, licenses, linedup, merkle, neardup, packing, pii, quality, topk, toxicity, warc
 from histomesh.llm.sample import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,4 +166,82 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_sql(inner: int = 7, outer: int = 4) -> str:
+    """Every level as a table; enough levels for 8 ** inner documents of a language and 8 ** outer languages."""
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, len(cast(doc_id as varchar)) + 1), lambda i: cast(ascii(substr(cast(doc_id as varchar), cast(i as int), 1)) as bigint))),"
+        " lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, cast(3988292384 as bigint) * (c & 1)))))"
+    )
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        f"d as (select doc_id, coalesce('1' || lang, '0') as tree, {leaf('text')} as leaf, case when doc_id is not null and {crc} % 3 = 0 then {leaf(low)} else {leaf('text')} end as told from documents)",
+        "l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos from d)",
+        "a0 as (select tree, pos, leaf as h, count(*) over (partition by tree) as n from l)",
+    ]
+
+    def climb(table: str, steps: int) -> None:
+        for k in range(steps):
+            out.append(f"{table}r{k} as (select tree, pos // 8 as run, list(h order by pos) as hs, max(n) as n from {table}{k} group by 1, 2)")
+            out.append(f"{table}{k + 1} as (select tree, run as pos, case when n = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h, cast(ceil(n / 8.0) as bigint) as n from {table}r{k})")
+
+    climb("a", inner)
+    out.append(f"b0 as (select '' as tree, row_number() over (order by tree) - 1 as pos, h, count(*) over () as n, tree as own from a{inner})")
+    climb("b", outer)
+    out.append(f"p0 as (select l.*, s.h as subroot, r.h as root, s.pos as spot, '' as proof, l.told as folded from l join b0 s on s.own = l.tree cross join b{outer} r)")
+    step = 0
+    for table, place, tree, steps in (("a", "pos", "p.tree", inner), ("b", "spot", "''", outer)):
+        for k in range(steps):
+            at = f"((p.{place} // {8**k}) % 8)"
+            before, after = f"coalesce(array_to_string(r.hs[1:{at}], ''), '')", f"coalesce(array_to_string(r.hs[{at} + 2:], ''), '')"
+            out.append(
+                f"p{step + 1} as (select p.* exclude (proof, folded), case when r.n = 1 then p.proof else p.proof || {before} || {after} end as proof,"
+                f" case when r.n = 1 then p.folded else sha256({before} || p.folded || {after}) end as folded from p{step} p join {table}r{k} r on r.tree = {tree} and r.run = p.{place} // {8 ** (k + 1)})"
+            )
+            step += 1
+    return f"with {', '.join(out)} select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from p{step}"
+
+
+@_query("op11_merkle", merkle_sql())
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = merkle.leaf_digest(*[merkle.lowered(F.col(f)) if f == "text" else F.col(f) for f in merkle.FIELDS])
+    told = F.coalesce(F.when(chosen, tampered), F.lit(""))
+    proved = merkle.manifest(_table(spark, sf_dir, "documents"), carry={"told": told})
+    start = F.when(F.col("told") != "", F.col("told")).otherwise(F.col("leaf"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(start, F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query("op12_licenses")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"))
+
+
+def centroids_sql(k: int = 8, rounds: int = 10, limit: int = 1 << 27) -> str:
+    whole = f"cast(floor(least(greatest(1024 * cast(x as double), -{limit}), {limit})) as bigint)"
+    apart = "cast(list_sum(list_transform(range(1, 65), lambda i: (v.v[cast(i as int)] - c.v[cast(i as int)]) * (v.v[cast(i as int)] - c.v[cast(i as int)]))) as hugeint)"
+    out = [
+        f"v as materialized (select vec_id, row_number() over () as r, list_transform(embedding, lambda x: {whole}) as v from embeddings"
+        " where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)",
+        f"c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as c, v from v order by c limit {k})",
+    ]
+    for i in range(rounds + 1):
+        out.append(f"a{i} as materialized (select vec_id, r, any_value(vv) as v, arg_min(c, (d, c)) as c, min(d) as d from (select v.vec_id, v.r, v.v as vv, c.c, {apart} as d from v cross join c{i} c) group by 1, 2)")
+        if i < rounds:
+            out.append(f"s{i} as (select c, i, sum(v[cast(i as int)]) as s, count(*) as n from a{i}, range(1, 65) t(i) group by 1, 2)")
+            out.append(
+                f"c{i + 1} as materialized (select c.c, coalesce(m.v, c.v) as v from c{i} c left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from s{i} group by 1) m on m.c = c.c)"
+            )
+    return f"""with {", ".join(out)}
+ select a.vec_id, cast(a.c as int) as cluster, cast(a.d as bigint) as distance, cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia,
+   sha256(array_to_string(c.v, ',')) as centroid_sha256 from a{rounds} a join c{rounds} c on c.c = a.c"""
+
+
+@_query("op13_centroids", centroids_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
