@@ -14,7 +14,7 @@ R = Registry()
 HP = with_tables("habitat_patches")
 # Fixed probe lattice and shift offsets, small enough for the SQL side.
 PROBES = [((2 * i + 1) / 10, (2 * j + 1) / 10) for i in range(5) for j in range(5)]
-OFFSETS = [(0.25, 0.5), (0.625, 0.125), (0.375, 0.875), (0.75, 0.3125), (0.0625, 0.6875)]
+OFFSETS = [((37 * i + 11) % 64 / 64, (23 * i + 5) % 64 / 64) for i in range(50)]
 D2 = "(l.x_um-r.x_um)*(l.x_um-r.x_um)+(l.y_um-r.y_um)*(l.y_um-r.y_um)"
 
 WIN = HP + """, win as (select sample_id, min(x_um) x0, max(x_um) x1, min(y_um) y0, max(y_um) y1, (max(x_um)-min(x_um))*(max(y_um)-min(y_um)) area from habitat_patches group by 1),

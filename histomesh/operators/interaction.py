@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.operators.order import row_positions
-from histomesh.operators.pointpattern import sample_windows
-from histomesh.operators.spatial import knn_join, radius_pairs
+from histomesh.operators.permutation import TILE_POINTS, frames, permuted_pair_counts, shuffled_codes, toroidal_rows
+from histomesh.operators.spatial import radius_pairs
 from histomesh.session import durable
 
 MIN_PATCHES = 20
@@ -49,96 +50,91 @@ def adjacency_matrix(patches: DataFrame, keys=("sample_id",), radius: float = 10
     return _frequencies(counts, keys)
 
 
-def toroidal_labels(patches: DataFrame, keys: list[str], offsets) -> DataFrame:
+def _unrolled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, patch_id, perm, label)`` of the packed rows of ``toroidal_rows``."""
+
+    def run(batches):
+        for batch in batches:
+            perms, labels = batch.column("perms"), batch.column("labels")
+            perm, label = batch.column("perm").to_pylist(), batch.column("label").to_pylist()
+            each = []
+            for r in range(batch.num_rows):
+                if not labels[r].is_valid:
+                    each.append((np.array([perm[r]]), np.array([label[r]])))
+                    continue
+                own = np.frombuffer(labels[r].as_py(), np.uint8)
+                each.append((np.frombuffer(perms[r].as_py(), np.int32) if perms[r].is_valid else np.arange(len(own)), own))
+            take = pa.array(np.repeat(np.arange(len(each)), [len(p) for p, _ in each]).astype(np.int64))
+            perm, label = (np.concatenate([np.zeros(0, np.int32), *c]) for c in (zip(*each) if each else ([], [])))
+            kept = [batch.column(k).take(take) for k in (*keys, "patch_id")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(perm, pa.int32()), pa.array(label, pa.int32())], [*keys, "patch_id", "perm", "label"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "patch_id")) + ", perm int, label int")
+
+
+def toroidal_labels(patches: DataFrame, keys: list[str], offsets, n_habitats: int = 10, tile_points: int = TILE_POINTS) -> DataFrame:
     """``(keys, patch_id, perm, label)``: habitat of the patch nearest to each shifted position."""
-    table = F.lit([c for p in offsets for c in p])  # fixed size: 2 doubles per permutation
-    perm = F.col("perm")
-    w = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9))
-    h = F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-9))
-    shifted = (
-        patches.select(*keys, "patch_id", "x_um", "y_um")
-        .join(sample_windows(patches, keys).select(*keys, "x0", "x1", "y0", "y1"), keys)
-        .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(len(offsets) - 1))))
-        .select(
-            *keys, "patch_id", "perm", F.struct("patch_id", "perm").alias("_q"),
-            (F.col("x0") + F.pmod(F.col("x_um") - F.col("x0") + F.element_at(table, 2 * perm + 1) * w, w)).alias("sx"),
-            (F.col("y0") + F.pmod(F.col("y_um") - F.col("y0") + F.element_at(table, 2 * perm + 2) * h, h)).alias("sy"),
-        )
-    )
-    right = patches.select(
-        *keys, F.col("patch_id").alias("nbr_id"), F.col("x_um").alias("nx"), F.col("y_um").alias("ny"),
-        F.col("habitat").alias("label"),
-    )
-    near = knn_join(durable(shifted), right, keys, 1, "_q", "nbr_id", ("sx", "sy"), ("nx", "ny"))
-    return near.select(*keys, "patch_id", "perm", "label")
+    return _unrolled(toroidal_rows(patches, list(keys), offsets, n_habitats, tile_points), list(keys))
 
 
-def shuffled_labels(patches: DataFrame, keys: list[str], permutations: int, seed: int = 42) -> DataFrame:
-    """Labels of each sample dealt out in a hash-random order, once per permutation."""
-    slots = patches.select(*keys, "patch_id").withColumn(
-        "perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    )
-    slots = slots.withColumn("_h", F.xxhash64(F.lit(seed), "perm", "patch_id"))
-    dealt = row_positions(slots, [*keys, "perm"], ["_h", "patch_id"])
-    labels = row_positions(patches.select(*keys, "patch_id", F.col("habitat").alias("label")), keys, ["patch_id"])
-    return dealt.join(labels.drop("patch_id"), [*keys, "position"]).select(*keys, "patch_id", "perm", "label")
+def shuffled_labels(patches: DataFrame, keys: list[str], permutations: int, seed: int = 42, n_habitats: int = 10) -> DataFrame:
+    """``(keys, patch_id, perm, label)``: the labels of each sample dealt out at random, once per permutation."""
+    keys = list(keys)
+    placed = row_positions(patches.select(*keys, "patch_id"), keys, ["patch_id"], "_position")
+    rows = placed.join(frames(patches, keys, n_habitats, TILE_POINTS).select(*keys, "_n", "_salt", "_counts"), keys)
+    none = {"perms": F.lit(None).cast("binary"), "perm": F.lit(None).cast("int"), "label": F.lit(None).cast("int")}
+
+    def run(batches):
+        for batch in batches:
+            labels = []
+            for position, n, salt, counts in zip(*(batch.column(c).to_pylist() for c in ("_position", "_n", "_salt", "_counts"))):
+                labels.append(shuffled_codes(np.array([position]), n, np.array(counts), permutations, seed, salt)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "patch_id")), pa.array(labels, pa.binary())], [*keys, "patch_id", "labels"])
+
+    kinds = dict(patches.dtypes)
+    packed = rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "patch_id")) + ", labels binary")
+    return _unrolled(packed.withColumns(none), keys)
 
 
 def interaction_z(
     patches: DataFrame, keys=("sample_id",), n_habitats: int = 10, radius: float = 100.0, offsets=None,
-    null_model: str = "toroidal", permutations: int = 1000, seed: int = 42,
+    null_model: str = "toroidal", permutations: int = 1000, seed: int = 42, tile_points: int = TILE_POINTS,
 ) -> DataFrame:
     """``(keys, a, b, z)`` for all ordered habitat pairs of samples with >= 20 patches and any pair.
 
-    Each patch carries its observed label and its label under every permutation as one array, so
-    the neighbour search runs once and no pair is joined again. z is 0 where the permutations do
-    not vary.
+    A pair's frequency is its count over that of all neighbouring pairs in both orientations, which no
+    permutation changes; mean and deviation come from whole counts and their squares, so they are
+    exact. z is 0 where the permutations do not vary.
     """
     keys = list(keys)
-    offsets = offsets if offsets is not None else (unit_offsets(permutations, seed) if null_model == "toroidal" else None)
+    if null_model not in ("toroidal", "shuffle"):
+        raise ValueError(f"unknown null model {null_model!r}")
+    if null_model == "toroidal":
+        offsets = offsets if offsets is not None else unit_offsets(permutations, seed)
     n_perm = len(offsets) if null_model == "toroidal" else permutations
     big = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_PATCHES).drop("_n")
-    points = patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(big, keys, "left_semi")
-    points = durable(points)
-    if null_model == "toroidal":
-        null = toroidal_labels(points, keys, offsets)
-    elif null_model == "shuffle":
-        null = shuffled_labels(points, keys, n_perm, seed)
-    else:
-        raise ValueError(f"unknown null model {null_model!r}")
-    ordered = F.array_sort(F.collect_list(F.struct("perm", "label")))  # n_perm entries per patch
-    arrays = null.groupBy(*keys, "patch_id").agg(F.transform(ordered, lambda s: s["label"].cast("byte")).alias("_null"))
-    labelled = points.join(arrays, [*keys, "patch_id"]).select(
-        *keys, "patch_id", "x_um", "y_um",
-        F.concat(F.array(F.col("habitat").cast("byte")), F.col("_null")).alias("labels"),
-    )
-    pairs = radius_pairs(labelled, keys, "patch_id", radius, carry=("labels",), unordered=True)
-    counts = (
-        pairs.select(*keys, F.posexplode(F.arrays_zip("labels", "nbr_labels")).alias("perm", "_p"))
-        .groupBy(*keys, "perm", F.col("_p.labels").alias("lo"), F.col("_p.nbr_labels").alias("hi"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    points = durable(patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(big, keys, "left_semi"))
+    counts = durable(
+        permuted_pair_counts(points, keys, n_habitats, radius, offsets if null_model == "toroidal" else None, n_perm, seed, tile_points)
     )
-    freq = _frequencies(counts, [*keys, "perm"])
-    # a permutation without the habitat pair contributes a zero
-    mean = F.coalesce(F.sum(F.when(F.col("perm") > 0, F.col("freq"))), F.lit(0.0)) / n_perm
-    stats = freq.groupBy(*keys, "a", "b").agg(
-        F.max(F.when(F.col("perm") == 0, F.col("freq"))).alias("obs"),
-        mean.alias("mu"),
-        F.collect_list(F.when(F.col("perm") > 0, F.col("freq"))).alias("_f"),  # at most n_perm entries
+    whole = counts.filter("perm = 0").groupBy(*keys).agg(F.sum("n").alias("_total"))
+    n = F.col("n").cast("decimal(19,0)")
+    null = F.col("perm") > 0
+    sums = counts.filter(F.col("b") < n_habitats).groupBy(*keys, "a", "b").agg(
+        F.coalesce(F.max(F.when(F.col("perm") == 0, F.col("n"))), F.lit(0)).alias("_obs"),
+        F.coalesce(F.sum(F.when(null, n)), F.lit(0)).cast("decimal(38,0)").alias("_s"),
+        F.coalesce(F.sum(F.when(null, n * n)), F.lit(0)).cast("decimal(38,0)").alias("_ss"),
     )
-    squares = F.aggregate(
-        F.transform("_f", lambda f: (f - F.col("mu")) * (f - F.col("mu"))), F.lit(0.0), lambda acc, x: acc + x
-    )
-    absent = F.lit(n_perm) - F.size("_f")
-    sd = F.sqrt((squares + absent * F.col("mu") * F.col("mu")) / n_perm)
-    scored = stats.select(
-        *keys, "a", "b", F.coalesce("obs", F.lit(0.0)).alias("observed"), F.col("mu").alias("null_mean"), sd.alias("null_sd")
+    twice = F.when(F.col("a") == F.col("b"), F.lit(2.0)).otherwise(F.lit(1.0)) / (2 * F.col("_total"))
+    spread = F.sqrt((n_perm * F.col("_ss") - F.col("_s") * F.col("_s")).cast("double")) / n_perm
+    scored = sums.join(whole, keys).select(
+        *keys, "a", "b", (F.col("_obs") * twice).alias("observed"), (F.col("_s").cast("double") / n_perm * twice).alias("null_mean"), (spread * twice).alias("null_sd")
     )
+    both = scored.unionByName(scored.filter("a < b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "observed", "null_mean", "null_sd"))
     habitats = F.lit(list(range(n_habitats)))
-    scaffold = (
-        scored.select(*keys).distinct().withColumn("a", F.explode(habitats)).withColumn("b", F.explode(habitats))
-    )
-    full = scaffold.join(scored, [*keys, "a", "b"], "left")
+    scaffold = whole.select(*keys).withColumn("a", F.explode(habitats)).withColumn("b", F.explode(habitats))
+    full = scaffold.join(both, [*keys, "a", "b"], "left")
     z = F.when(F.col("null_sd") > 1e-9, (F.col("observed") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return full.select(*keys, "a", "b", zero("observed"), zero("null_mean"), zero("null_sd"), z.alias("z"))
