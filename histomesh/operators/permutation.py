@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from histomesh.operators.order import row_positions
 from histomesh.operators.spatial import knn_join
-from histomesh.session import durable
+from histomesh.session import durable, spread
 
 TILE_POINTS = 8192
 RING = 0.25  # of a tile's side
 MISSING = 255
+PERMUTATIONS_AT_ONCE = 256
 COLUMNS_AT_ONCE = 64
 ROUNDS = 6
 
@@ -150,13 +151,13 @@ def toroidal_rows(patches: DataFrame, keys: list[str], offsets: list[tuple[float
         empty = pa.Table.from_arrays([*(left.column(k).slice(0, 0) for k in (*keys, "patch_id")), *(pa.array([], t) for t in kinds)], names)
         if not n:
             return empty
-        one = {c: left.column(c)[0].as_py() for c in ("_x0", "_x1", "_y0", "_y1", "_g", "_s")}
+        one = {c: left.column(c)[0].as_py() for c in ("_x0", "_x1", "_y0", "_y1", "_g", "_s", "_b")}
         g, x0, y0 = one["_g"], one["_x0"], one["_y0"]
         w, h = max(one["_x1"] - x0, 1e-9), max(one["_y1"] - y0, 1e-9)
         sx, sy = one["_s"] % g, one["_s"] // g
         rank = np.argsort(_ordered(right.column("_near")), kind="stable")
         tx, ty, label = _numbers(right, "_nx")[rank], _numbers(right, "_ny")[rank], np.r_[_numbers(right, "_label")[rank], MISSING].astype(np.uint8)
-        chosen = np.arange(len(shifts))
+        chosen = np.arange(len(shifts))[one["_b"] * PERMUTATIONS_AT_ONCE :][:PERMUTATIONS_AT_ONCE]
         if g > 1:  # offsets that can bring a point of this tile to the target tile
             for v, lo, size, own, column in ((x, x0, w, sx, 0), (y, y0, h, sy, 1)):
                 first, last = (np.floor(((e - lo) / size + shifts[chosen, column]) * g).astype(np.int64) for e in (v.min(), v.max()))
@@ -208,7 +209,10 @@ def toroidal_rows(patches: DataFrame, keys: list[str], offsets: list[tuple[float
 
     kinds = (pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64())
     schema = ", ".join(f"`{c}` {dict(patches.dtypes)[c]}" for c in (*keys, "patch_id")) + ", perms binary, labels binary, perm int, sx double, sy double"
-    found = durable(source.groupBy(*keys, "_s", "_t").cogroup(target.groupBy(*own_keys, "_s", "_t")).applyInArrow(label_tile, schema))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(len(shifts) - 1, 0) // PERMUTATIONS_AT_ONCE))).alias("_b")
+    source, target = source.select("*", blocks), target.select("*", blocks)
+    source, target = spread(source, [*keys, "_s", "_t", "_b"]), spread(target, [*own_keys, "_s", "_t", "_b"])
+    found = durable(source.groupBy(*keys, "_s", "_t", "_b").cogroup(target.groupBy(*own_keys, "_s", "_t", "_b")).applyInArrow(label_tile, schema))
     sure = found.filter("labels is not null").select(*keys, "patch_id", "perms", "labels", F.lit(None).cast("int").alias("perm"), F.lit(None).cast("int").alias("label"))
     open_ = found.filter("labels is null").select(*keys, "patch_id", "perm", F.struct("patch_id", "perm").alias("_q"), "sx", "sy")
     if open_.isEmpty():
@@ -360,5 +364,5 @@ def permuted_pair_counts(
         return pa.Table.from_arrays([*lead, pa.array(perm, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(found[perm, a, b])], [*keys, "perm", "a", "b", "n"])
 
     schema = ", ".join(f"`{k}` {dict(patches.dtypes)[k]}" for k in keys) + ", perm int, a int, b int, n bigint"
-    parts = rows.groupBy(*keys, "_tx", "_ty").applyInArrow(count_tile, schema)
+    parts = spread(rows, [*keys, "_tx", "_ty"]).groupBy(*keys, "_tx", "_ty").applyInArrow(count_tile, schema)
     return parts.groupBy(*keys, "perm", "a", "b").agg(F.sum("n").alias("n"))
