@@ -248,7 +248,7 @@ def canberra_to_anchors(t: Tables):
  select count(*) as n_samples, cast(4 as bigint) as n_ecotypes, true as within_unit, true as home_is_best from k""")
 def consensus_cluster(t: Tables):
     """Ecotypes of all samples; each sample's own ecotype must have real consensus support."""
-    final, consensus = U.consensus_cluster(profiles(t), 4, n_reps=100)
+    final, consensus = U.consensus_cluster(profiles(t), 4)
     joined = consensus.join(final.select("sample_id", F.col("cluster").alias("home"), "ecotype"), "sample_id")
     per = joined.groupBy("sample_id", "ecotype").agg(
         F.min("consensus").alias("lo"), F.max("consensus").alias("hi"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("consensus"))).alias("own")
@@ -259,6 +259,32 @@ def consensus_cluster(t: Tables):
     )
 
 
+@R.add("consensus_pairs", with_tables("predictions") + """, l as (select mode_id * 6 + seed - 1 as rep, vec_id, y_pred % 4 as c from predictions where (vec_id * 11 + mode_id * 7 + seed) % 5 <> 0),
+ p as (select count(*) filter (where a.c = b.c) as co, count(*) as seen from l a join l b on a.rep = b.rep and a.vec_id < b.vec_id group by a.vec_id, b.vec_id),
+ i as (select count(distinct vec_id) as n from l), h as (select co, seen, count(*) as n from p group by 1, 2)
+ select co, seen, n from h union all select 0, 0, i.n * (i.n - 1) // 2 - (select sum(n) from h) from i where i.n * (i.n - 1) // 2 > (select sum(n) from h)""")
+def consensus_pairs(t: Tables):
+    """All pairs of patches by how often 24 runs put them together."""
+    labels = t.predictions().filter("(vec_id * 11 + mode_id * 7 + seed) % 5 <> 0").selectExpr("cast(mode_id * 6 + seed - 1 as int) as rep", "vec_id", "cast(y_pred % 4 as int) as cluster")
+    return U.pair_histogram(durable(labels), 24, "vec_id")
+
+
+@R.add("consensus_sweep", with_tables("features_long") + """, k as (select sample_id from features_long group by 1 having count(value) = 4)
+ select cast(k as int) as k, n * (n - 1) // 2 as n_pairs, true as area_in_unit, true as one_chosen from (select count(*) as n from k) c, range(2, 6) t(k)""")
+def consensus_sweep(t: Tables):
+    """Number of ecotypes by the consensus of all pairs; every sweep holds all pairs and chooses one number."""
+    own = profiles(t)
+    out = None
+    for k in range(2, 6):
+        part = U.consensus_pairs(U.replicate_labels(own, k, 200), 200).withColumn("k", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    out = durable(out)
+    areas = U.consensus_cdf(out, weight="n")
+    totals = out.groupBy("k").agg(F.sum("n").cast("long").alias("n_pairs"))
+    one = areas.agg(F.count_if("chosen").alias("_c"))
+    return areas.join(totals, "k").join(one).select("k", "n_pairs", F.col("area").between(0, 1).alias("area_in_unit"), (F.col("_c") == 1).alias("one_chosen"))
+
+
 @R.add("consensus_cdf", with_tables("predictions") + """, v as (select mode_id + 2 as k, ((vec_id*37 + seed*11) % 101)/100.0e0 * (1 + mode_id)/4.0e0 as v from predictions), o as (select k, v, row_number() over (partition by k order by v)*1.0e0/count(*) over (partition by k) as f from v),
  g as (select *, lag(v) over (partition by k order by f) pv, lag(f) over (partition by k order by f) pf from o), a as (select k, sum(case when pv is not null then (v-pv)*(f+pf)/2 else 0 end) area from g group by 1),
  d as (select k, area, (area - lag(area) over (order by k))/lag(area) over (order by k) as delta from a)

@@ -215,6 +215,81 @@ def test_k_medoids_recovers_separated_groups(spark):
         assert part.cluster.groupby(truth).nunique().eq(1).all() and part.cluster.nunique() == 3
 
 
+def plain_medoids(x, drawn, k, order, candidates=16):
+    """The rounds of one replicate by loops over all distances; ``order``: ids by hash."""
+    dist = lambda a, b: sum(abs(p - q) / (abs(p) + abs(q)) if abs(p) + abs(q) > 0 else 0.0 for p, q in zip(a, b))
+    medoids = [min(drawn, key=lambda s: (order[s], s))]
+    while len(medoids) < k:
+        medoids.append(min(drawn, key=lambda s: (-min(dist(x[s], x[m]) for m in medoids), s)))
+    assign = lambda ms: {s: min(range(k), key=lambda c: (dist(x[s], x[ms[c]]), c)) for s in drawn}
+
+    def better(ms, tries):
+        label, out = assign(ms), list(ms)
+        for c in range(k):
+            own = [s for s in drawn if label[s] == c]
+            if own:
+                centre = np.mean([x[s] for s in own], axis=0)
+                options = [ms[c], *sorted(own, key=lambda s: (dist(x[s], centre), s))[:tries]]
+                out[c] = min(range(len(options)), key=lambda i: (round(sum(dist(x[s], x[options[i]]) for s in own), 9), i))
+                out[c] = options[out[c]]
+        return out, max(sum(v == c for v in label.values()) for c in range(k))
+
+    checked, tries = False, candidates
+    while True:
+        new, largest = better(medoids, tries)
+        if [list(x[a]) for a in new] != [list(x[b]) for b in medoids]:
+            medoids, checked = new, False
+        elif checked or tries >= largest:
+            return assign(medoids)
+        else:
+            checked, tries = True, 4 * tries
+
+
+def test_resamples_against_plain_rounds(spark):
+    rng = np.random.default_rng(8)
+    x = {int(i): [float(v) for v in rng.normal(0, 1, 3).round(2)] for i in rng.permutation(90)[:60]}
+    df = spark.createDataFrame(list(x.items()), "sample_id int, profile array<double>")
+    got = U.resample_medoids(df, 3, 5, 0.7, candidates=4)
+    drawn, label = {}, {}
+    for r in got.collect():
+        drawn.setdefault(r.rep, []).append(r.sample_id)
+        label[r.rep, r.sample_id] = r.cluster
+    hashes = df.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rep")).select("sample_id", "rep", F.xxhash64(F.lit(42), "rep", "sample_id").alias("h")).collect()
+    order = {(r.rep, r.sample_id): r.h for r in hashes}
+    for rep, ids in drawn.items():
+        assert sorted(ids) == sorted(s for s in x if order[rep, s] % (1 << 30) < int(0.7 * (1 << 30)))
+        want = plain_medoids({s: np.array(v) for s, v in x.items()}, ids, 3, {s: order[rep, s] for s in ids}, 4)
+        assert {s: label[rep, s] for s in ids} == want
+
+
+def test_pair_consensus_against_all_pairs_and_planted_groups(spark, monkeypatch):
+    from histomesh.operators import consensus as N
+
+    monkeypatch.setattr(N, "BLOCK", 40)  # several blocks
+    rng = np.random.default_rng(3)
+    centres = np.array([[6, 6, 1], [-6, 6, 1], [6, -6, -1.0]])
+    df = spark.createDataFrame([(f"s{i}", [float(v) for v in centres[i % 3] + rng.normal(0, 0.3, 3)]) for i in range(150)], "sample_id string, profile array<double>")
+    areas = None
+    for k in (2, 3, 4):
+        labels = U.replicate_labels(df, k, 30)
+        pairs = labels.toPandas().pivot(index="sample_id", columns="rep", values="cluster").fillna(-1).to_numpy()
+        both = (pairs[:, None] >= 0) & (pairs[None] >= 0)
+        co, seen = (both & (pairs[:, None] == pairs[None])).sum(2), both.sum(2)
+        upper = np.triu_indices(len(pairs), 1)
+        want = pd.Series(list(zip(co[upper], seen[upper]))).value_counts().to_dict()
+        got = {(r.co, r.seen): r.n for r in N.pair_histogram(labels, 30).collect()}
+        assert got == want
+        part = U.consensus_pairs(labels, 30).withColumn("k", F.lit(k))
+        areas = part if areas is None else areas.unionByName(part)
+    rows = {r.k: r for r in U.consensus_cdf(areas, weight="n").collect()}
+    for k, r in rows.items():
+        values = [(v.consensus, v.n) for v in areas.filter(F.col("k") == k).collect()]
+        flat = np.sort(np.repeat([v for v, _ in values], [n for _, n in values]))
+        cdf = np.arange(1, len(flat) + 1) / len(flat)
+        assert abs(r.area - ((flat[1:] - flat[:-1]) * (cdf[1:] + cdf[:-1]) / 2).sum()) < 1e-9
+    assert rows[3].chosen and sum(r.chosen for r in rows.values()) == 1
+
+
 def test_ecotypes_beyond_eight_all_have_a_name(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in 10 * np.eye(10)[i % 10] + rng.normal(0, 0.1, 10)]) for i in range(100)]
