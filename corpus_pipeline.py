@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble earlier ones; those with only crumbs left go."""
+    """Documents without lines that resemble earlier ones; those with nothing left go."""
     kept = linedup.clean(docs, drop_spent=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -40,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A bucket, batch and slot for every document."""
-    return packing.pack(docs, packing.word_count(F.col("text")), widen=False)
+    return packing.pack(docs, packing.word_count(F.col("text")))
 
 
 STAGES = [

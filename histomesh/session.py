@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -69,11 +70,12 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(*frames: DataFrame | None) -> None:
+def release(*frames: DataFrame) -> None:
     """Delete the tables that ``durable`` wrote for ``frames``.
 
     Only for frames whose successors are written: whatever is still to be computed from them fails.
-    Frames that ``durable`` did not return are left alone.
+    Frames that ``durable`` did not return are left alone. The driver's garbage is collected then, by
+    which Spark drops the shuffle files of plans that nothing refers to any more.
     """
     for df in frames:
         path = getattr(df, "_stored_at", None)
@@ -81,6 +83,9 @@ def release(*frames: DataFrame | None) -> None:
             spark = df.sparkSession
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    gc.collect()
+    for df in frames[:1]:
+        df.sparkSession._jvm.System.gc()
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
