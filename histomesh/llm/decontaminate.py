@@ -4,7 +4,11 @@ Numbers, names and units become typed placeholders, so that a question whose par
 changed keeps its template. Windows of template tokens are hashed; a bounded Bloom filter of the
 benchmark's windows thins the documents' windows inside the scan, and the rest meets the benchmark
 in a hash join. Windows on one alignment of a document with an item must agree on what stands in
-the slots: one value of the item always becomes the same value in the document.
+the slots: one value of the item always becomes the same value in the document. Where they don't, the
+value that most slots have holds, and the windows with another one are left out.
+
+Names are told by their capitals. A second set of templates, in which names are plain words, finds
+copies in other letter cases.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.llm.text import SpanHasher, blocks, buffer_of, mix, words
@@ -47,13 +51,14 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def template(buffer: np.ndarray, offsets: np.ndarray, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, kind, token hash, value hash) of the template tokens of all rows.
 
     A token is a word without its outer punctuation. One that begins with a digit (a sign or
     currency mark before it allowed) is a number; a known unit after a number is a unit;
     capitalised words that don't begin a sentence or a line are names, and neighbouring names are
-    one. Placeholders of a kind share a token hash; the value hash is that of what stands there.
+    one (without ``names``, they are literals, word by word). Placeholders of a kind share a token
+    hash; the value hash is that of what stands there, blanks between words aside.
     """
     low = buffer.copy()
     if len(low) > 1:  # À-Þ to à-þ; A-Z are folded by the hash itself
@@ -91,24 +96,25 @@ def template(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     upper = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E)) | ((first == 0xD0) & (second >= 0x90) & (second <= 0xAF)) | ((first == 0xCE) & (second >= 0x91) & (second <= 0xA9))
     same_row = np.r_[False, rows[1:] == rows[:-1]]
     after_number = np.r_[False, number[:-1]] & same_row
-    kind = np.where(number, NUMBER, np.where(after_number & np.isin(values, _UNIT_HASHES), UNIT, np.where(upper & ~fresh, NAME, LITERAL)))
+    kind = np.where(number, NUMBER, np.where(after_number & np.isin(values, _UNIT_HASHES), UNIT, np.where(upper & ~fresh & names, NAME, LITERAL)))
     name = kind == NAME
     goes_on = name & np.r_[False, name[:-1]] & same_row
-    last = np.flatnonzero(~np.r_[goes_on[1:], False])  # of each run of names, or the token itself
-    head = np.flatnonzero(~goes_on)
-    values = hasher(starts[head], ends[last])
+    head = np.flatnonzero(~goes_on)  # of each run of names, or the token itself
+    step = np.arange(len(rows)) - head[np.cumsum(~goes_on) - 1]
+    values = np.add.reduceat(np.where(step > 0, mix(values + step.astype(_U)), values), head)  # word by word
     kind = kind[head]
     return rows[head], kind, np.where(kind == LITERAL, values, MARKS[kind]), values
 
 
-def windows(rows: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of the windows inside one row that hold enough literal tokens."""
+def windows(rows: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, size: int, least_literals: int, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of the windows inside one row that hold enough literal tokens; the templates with
+    and without ``names`` hash apart."""
     n = len(tokens) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     literal = np.r_[0, np.cumsum(kinds == LITERAL)]
     at = np.flatnonzero((rows[:n] == rows[size - 1 :]) & (literal[size:] - literal[:-size] >= least_literals))
-    value = np.full(len(at), size, _U)
+    value = np.full(len(at), size if names else size + (1 << 20), _U)
     for k in range(size):
         value = mix(value * _U(0x9E3779B97F4A7C15) + tokens[at + k])
     return at, value
@@ -119,7 +125,7 @@ def _least(size: int) -> int:
 
 
 _SLOTS = pa.list_(pa.struct([("place", pa.int32()), ("value", pa.int64())]))
-_WINDOW = "size int, place int, window bigint, slots array<struct<place:int,value:bigint>>"
+_WINDOW = "named boolean, size int, place int, window bigint, slots array<struct<place:int,value:bigint>>"
 
 
 def _slots(at: np.ndarray, size: int, kinds: np.ndarray, values: np.ndarray, places: np.ndarray) -> list[list[dict]]:
@@ -131,28 +137,30 @@ def _slots(at: np.ndarray, size: int, kinds: np.ndarray, values: np.ndarray, pla
 
 
 def item_windows(benchmark: DataFrame, size: int = 8, least_tokens: int = 5) -> DataFrame:
-    """(item_id, n_windows, size, place, window, slots): all windows of every item. An item shorter
-    than ``size`` is one window as a whole; under ``least_tokens`` it has none."""
+    """(item_id, n_windows, named, size, place, window, slots): all windows of every item, of its template
+    with names and of that without. An item shorter than ``size`` is one window as a whole; under
+    ``least_tokens`` it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buffer, offsets = buffer_of(batch.column(1))
             ids = batch.column(0).to_pylist()
-            rows, kinds, tokens, values = template(buffer, offsets)
-            first = np.searchsorted(rows, np.arange(len(ids) + 1))
-            for i, item in enumerate(ids):
-                a, b = first[i], first[i + 1]
-                width = min(size, b - a)
-                if width < least_tokens:
-                    continue
-                at, hashes = windows(rows[a:b], tokens[a:b], kinds[a:b], width, _least(width))
-                if not len(at):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(at), pa.int64()), pa.array([len(at)] * len(at), pa.int32()), pa.array([width] * len(at), pa.int32()), pa.array(at, pa.int32()),
-                     pa.array(hashes.view(np.int64)), pa.array(_slots(at, width, kinds[a:b], values[a:b], np.arange(b - a)), _SLOTS)],
-                    ["item_id", "n_windows", "size", "place", "window", "slots"],
-                )
+            for named in (True, False):
+                rows, kinds, tokens, values = template(buffer, offsets, named)
+                first = np.searchsorted(rows, np.arange(len(ids) + 1))
+                for i, item in enumerate(ids):
+                    a, b = first[i], first[i + 1]
+                    width = min(size, b - a)
+                    if width < least_tokens:
+                        continue
+                    at, hashes = windows(rows[a:b], tokens[a:b], kinds[a:b], width, _least(width), named)
+                    if not len(at):
+                        continue
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(at), pa.int64()), pa.array([len(at)] * len(at), pa.int32()), pa.array([named] * len(at)), pa.array([width] * len(at), pa.int32()), pa.array(at, pa.int32()),
+                         pa.array(hashes.view(np.int64)), pa.array(_slots(at, width, kinds[a:b], values[a:b], np.arange(b - a)), _SLOTS)],
+                        ["item_id", "n_windows", "named", "size", "place", "window", "slots"],
+                    )
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(run, "item_id bigint, n_windows int, " + _WINDOW)
@@ -190,56 +198,79 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, sizes: list[int]) -> Da
             buffer, offsets = buffer_of(batch.column(1))
             ids = np.array(batch.column(0).to_pylist(), object)
             for a, b in blocks(offsets, 1 << 20):
-                rows, kinds, tokens, values = template(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                places = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                for size in sizes:
-                    at, hashes = windows(rows, tokens, kinds, size, _least(size))
-                    hit = _maybe(own, hashes)
-                    at, hashes = at[hit], hashes[hit]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[a + rows[at]], pa.int64()), pa.array(np.full(len(at), size), pa.int32()), pa.array(places[at], pa.int32()),
-                             pa.array(hashes.view(np.int64)), pa.array(_slots(at, size, kinds, values, places), _SLOTS)],
-                            ["doc_id", "size", "place", "window", "slots"],
-                        )
+                for named in (True, False):
+                    rows, kinds, tokens, values = template(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], named)
+                    places = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    for size in sizes:
+                        at, hashes = windows(rows, tokens, kinds, size, _least(size), named)
+                        hit = _maybe(own, hashes)
+                        at, hashes = at[hit], hashes[hit]
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(ids[a + rows[at]], pa.int64()), pa.array(np.full(len(at), named)), pa.array(np.full(len(at), size), pa.int32()), pa.array(places[at], pa.int32()),
+                                 pa.array(hashes.view(np.int64)), pa.array(_slots(at, size, kinds, values, places), _SLOTS)],
+                                ["doc_id", "named", "size", "place", "window", "slots"],
+                            )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, " + _WINDOW)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_tokens: int = 5, least_coverage: float = 0.5) -> DataFrame:
+def _consistent(pairs: Column) -> Column:
+    """Of the slot pairs (with repeats), those that hold: of the pairs of one of the item's values the most
+    frequent, of equally frequent ones the unchanged, then the smallest."""
+    counted = F.transform(F.array_distinct(pairs), lambda p: F.struct(
+        p["theirs"].alias("theirs"), F.size(F.filter(pairs, lambda q: q == p)).alias("n"), (p["theirs"] == p["ours"]).cast("int").alias("same"), (-p["ours"]).alias("least"), p.alias("pair")
+    ))
+    rank = lambda c: F.struct(c["n"], c["same"], c["least"])
+    held = lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: (o["theirs"] == c["theirs"]) & (rank(o) > rank(c))))
+    # the lambda holds the counts, so that they are worked out once
+    return F.element_at(F.transform(F.array(counted), lambda all_: F.transform(held(all_), lambda c: c["pair"])), 1)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_tokens: int = 5, least_coverage: float = 0.5, least_verbatim: int = 20) -> DataFrame:
     """One row per document and item that the document gives away.
 
-    Columns: doc_id, item_id, n_windows (the item's), matched (of them, on alignments whose slots
-    agree), coverage, n_slots (different slot values met), slots_changed (of them, with another value
-    in the document), reparameterised. An item counts from a coverage of ``least_coverage`` on. Null
-    and empty texts match nothing; rows that share a doc_id count as one document; repeated items
-    give their rows once; extra columns are ignored.
+    Columns: doc_id, item_id, n_windows (the item's), matched (of them, with slots that hold on
+    their alignment), coverage, verbatim (of them, the most on one alignment whose slots are unchanged),
+    n_slots (different slot values met), slots_changed (of them, with another value in the
+    document), reparameterised. Of the templates with and without names the one that covers more
+    counts. An item counts from a coverage of ``least_coverage`` or from ``least_verbatim`` verbatim windows on.
+    Null and empty texts match nothing; rows that share a doc_id count as one document; repeated
+    items give their rows once; extra columns are ignored.
     """
     spark = docs.sparkSession
     items = durable(item_windows(benchmark, size, least_tokens))
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most ``size`` values
-    empty = "doc_id bigint, item_id bigint, n_windows int, matched bigint, coverage double, n_slots bigint, slots_changed bigint, reparameterised boolean"
+    empty = "doc_id bigint, item_id bigint, n_windows int, matched bigint, coverage double, verbatim bigint, n_slots bigint, slots_changed bigint, reparameterised boolean"
     if not sizes:
         return spark.createDataFrame([], empty)
-    theirs = items.select("item_id", "n_windows", "size", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
-    met = document_windows(docs, bloom_filter(items), sizes).join(theirs, ["window", "size"])
+    theirs = items.select("item_id", "n_windows", "named", "size", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots")).distinct()
+    met = document_windows(docs, bloom_filter(items), sizes).join(theirs, ["named", "window", "size"])
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"]["value"].alias("theirs"), z["slots"]["value"].alias("ours")))
-    met = met.withColumn("shift", F.col("place") - F.col("item_place")).withColumn("pairs", F.array_distinct(pairs))
+    met = met.withColumn("shift", F.col("place") - F.col("item_place")).withColumn("pairs", pairs)
     # an alignment holds one window per place of the item at most
-    lines = met.groupBy("doc_id", "item_id", "n_windows", "shift").agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("item_place").alias("places")
+    lines = met.groupBy("doc_id", "item_id", "n_windows", "named", "shift").agg(F.collect_set(F.struct(F.col("item_place").alias("place"), "pairs")).alias("met"))
+    lines = lines.withColumn("held", _consistent(F.flatten(F.transform("met", lambda w: w["pairs"]))))
+    steady = lambda w: F.forall(w["pairs"], lambda p: (p["theirs"] == p["ours"]) | F.array_contains("held", p))
+    kept = lines.withColumn("met", F.filter("met", steady))
+    met_pairs = F.array_distinct(F.flatten(F.transform("met", lambda w: w["pairs"])))
+    kept = kept.select(
+        "doc_id", "item_id", "n_windows", "named",
+        F.transform("met", lambda w: w["place"]).alias("places"),
+        F.size(F.array_distinct(F.transform(F.filter("met", lambda w: F.forall(w["pairs"], lambda p: p["theirs"] == p["ours"])), lambda w: w["place"]))).alias("verbatim"),
+        F.size(F.array_distinct(F.transform(met_pairs, lambda p: p["theirs"]))).alias("n_slots"),
+        F.size(F.array_distinct(F.transform(F.filter(met_pairs, lambda p: p["theirs"] != p["ours"]), lambda p: p["theirs"]))).alias("changed"),
     )
-    kinds = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda z: z[field])))
-    steady = lines.withColumn("n_slots", kinds("theirs")).filter(F.size("pairs") == F.col("n_slots"))
-    steady = steady.withColumn("changed", F.size(F.filter("pairs", lambda z: z["theirs"] != z["ours"])))
-    found = steady.groupBy("doc_id", "item_id", "n_windows").agg(
+    found = kept.groupBy("doc_id", "item_id", "n_windows", "named").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
-        F.max("n_slots").cast("long").alias("n_slots"),
-        F.max("changed").cast("long").alias("slots_changed"),
+        F.max("verbatim").cast("long").alias("verbatim"), F.max("n_slots").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("slots_changed"),
     )
-    found = found.withColumn("coverage", F.col("matched") / F.col("n_windows")).filter(F.col("coverage") >= least_coverage)
-    return found.select("doc_id", "item_id", "n_windows", "matched", "coverage", "n_slots", "slots_changed", (F.col("slots_changed") > 0).alias("reparameterised"))
+    found = found.withColumn("coverage", F.col("matched") / F.col("n_windows")).filter((F.col("coverage") >= least_coverage) | (F.col("verbatim") >= least_verbatim))
+    columns = ["n_windows", "matched", "coverage", "verbatim", "n_slots", "slots_changed"]
+    # the template with names goes first where both cover as much
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "named", F.struct(*columns).alias("row"))).alias("b"))
+    return best.select("doc_id", "item_id", *[F.col(f"b.row.{c}").alias(c) for c in columns], (F.col("b.row.slots_changed") > 0).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

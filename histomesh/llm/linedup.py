@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.session import durable
+from histomesh.session import durable, release
 
 BUCKETS = 1 << 16
 WIDE = 4
+SHORT = 64  # words up to which 64 bits of parity tell lines apart
 FILTER_WORDS = 1 << 16
 ODD_BLANKS = "\t\x0b\x0c\r"
 
@@ -72,9 +73,10 @@ def _prefix_size(n: Column, t: Fraction) -> Column:
     return n - F.ceil(n * t.numerator / t.denominator - 1e-9) + 1
 
 
-def line_sets(docs: DataFrame, t: Fraction, least_words: int) -> DataFrame:
-    """One row per different line of ``least_words`` or more words: its first place, number of
-    words, parity map, and prefix (32 bits of each word's hash, rarest first)."""
+def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int) -> DataFrame:
+    """One row per different line of ``least_words`` or more words, or of ``least_chars`` characters with any:
+    its first place, number of words, parity map, and prefix (32 bits of each word's hash, rarest
+    first; none for lines of fewer words, which are compared by their text only)."""
     levels = rarity_levels(docs)
     order = F.transform(
         _word_hashes(F.col("body")),
@@ -90,9 +92,12 @@ def line_sets(docs: DataFrame, t: Fraction, least_words: int) -> DataFrame:
     # the lambda holds the sorted words, so that they are worked out once per line; a filter on their
     # number stands behind the aggregate, as Spark would push it down with a second copy of the work
     found = F.element_at(F.transform(F.array(F.sort_array(order)), summary), 1)
-    lines = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")), found.alias("found"))
-    sets = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "found")).alias("f")).filter(F.col("f.found.n") >= least_words)
-    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", "f.found.parity", "f.found.prefix"))
+    lines = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")), found.alias("found"), (F.length("body") >= least_chars).alias("long"))
+    sets = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "found")).alias("f"), F.first("long").alias("long"))
+    wordy = F.col("f.found.n") >= least_words
+    prefix = F.when(wordy, F.col("f.found.prefix")).otherwise(F.array().cast("array<int>")).alias("prefix")
+    sets = sets.filter(wordy | (F.col("long") & (F.col("f.found.n") > 0)))
+    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", "f.found.parity", prefix))
 
 
 def _may_match(a: str, b: str, t: Fraction) -> Column:
@@ -120,7 +125,9 @@ def involved(sets: DataFrame, t: Fraction) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _may_match("a", "b", t), "left_semi")
     ids = durable(met.groupBy("id").agg(F.count(F.lit(1)).alias("words")).select("id"))
-    return durable(sets.join(ids, "id"))
+    out = durable(sets.join(ids, "id"))
+    release(ids)
+    return out
 
 
 def _among(rows: DataFrame, *columns: Column) -> Column:
@@ -136,12 +143,15 @@ def _among(rows: DataFrame, *columns: Column) -> Column:
     return F.get(table, word.cast("int")).bitwiseAND(mask) != 0
 
 
-def _wide_parity(bodies: DataFrame) -> DataFrame:
-    """(id, id2, w0, w1, ...): parity maps of 64 * WIDE bits, which still tell long lines apart."""
-    words = bodies.select("id", "id2", F.explode(_word_hashes(F.col("body"))).alias("h"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    part = F.shiftright("h", 6).bitwiseAND(F.lit(WIDE - 1))
-    return words.groupBy("id", "id2").agg(*[F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WIDE)])
+def _wide_parity() -> list[Column]:
+    """w0, w1, ...: parity maps of 64 * WIDE bits of the column ``_hashes``, which still tell long lines apart."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    def part(k: int) -> Column:
+        own = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == k
+        return F.aggregate(F.filter("_hashes", own), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+    return [part(k).alias(f"w{k}") for k in range(WIDE)]
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
@@ -169,11 +179,11 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     places = known.select("place.doc_id", "place.line")
     found = lines_of(docs).filter(_among(places, F.col("doc_id"), F.col("line"))).select(F.struct("doc_id", "line").alias("place"), "body")
     bodies = durable(found.join(known.select("id", "id2", "place"), "place").select("id", "id2", "body").dropDuplicates(["id", "id2"]))
-    wide = durable(known.select("id", "id2", "place", "n").join(_wide_parity(bodies), ["id", "id2"]))
+    long = known.filter(F.col("n") > SHORT).select("id", "id2").join(bodies, ["id", "id2"]).withColumn("_hashes", _word_hashes(F.col("body")))
+    wide = durable(known.select("id", "id2", "place", "n").join(long.select("id", "id2", *_wide_parity()), ["id", "id2"], "left"))
     last = F.slice("prefix", F.greatest(F.size("prefix") - 2, F.lit(1)), 3)
     few = known.select("id", "id2", "n", "place", F.explode(last).alias("word"))
-    leader = Window.partitionBy("word").orderBy("place", "id", "id2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = few.withColumn("e", F.first(F.struct("place", "id", "id2", "n")).over(leader))
+    led = few.join(few.groupBy("word").agg(F.min(F.struct("place", "id", "id2", "n")).alias("e")), "word")
     led = led.filter((F.col("e.place") < F.col("place")) & (F.col("n") * t.denominator >= F.col("e.n") * t.numerator) & (F.col("e.n") * t.denominator >= F.col("n") * t.numerator))
     led = led.groupBy(F.col("id").alias("lid"), F.col("id2").alias("lid2")).agg(F.min(F.struct("e.place", "e.id", "e.id2")).alias("e"))
     first = durable(_confirmed(led.select("lid", "lid2", F.col("e.id").alias("eid"), F.col("e.id2").alias("eid2")), bodies, t))
@@ -183,30 +193,35 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     names = ["id2", "place", "n", *[f"w{k}" for k in range(WIDE)]]
     side = lambda s: wide.select(F.col("id").alias(f"{s}id"), *[F.col(c).alias(f"{s}{c}") for c in names])
     apart = sum((F.bit_count(F.col(f"lw{k}").bitwiseXOR(F.col(f"ew{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("lw0").bitwiseXOR(F.col("ew0"))))
-    close = apart * (t.numerator + t.denominator) <= (F.col("ln") + F.col("en")) * (t.denominator - t.numerator)
+    close = F.coalesce(apart * (t.numerator + t.denominator) <= (F.col("ln") + F.col("en")) * (t.denominator - t.numerator), F.lit(True))
     ordered = met.join(side("l"), "lid").join(side("e"), "eid").filter((F.col("eplace") < F.col("lplace")) & close)
-    ordered = durable(ordered.select("lid", "lid2", "eid", "eid2", apart.alias("apart")))
+    ordered = durable(ordered.select("lid", "lid2", "eid", "eid2", F.coalesce(apart, F.lit(0)).alias("apart")))
     # one partner settles a line: the closest is read first, the others only for lines it doesn't settle
     closest = ordered.groupBy("lid", "lid2").agg(F.min(F.struct("apart", "eid", "eid2")).alias("e"))
     second = durable(_confirmed(closest.select("lid", "lid2", "e.eid", "e.eid2"), bodies, t))
     settled = second.select(F.col("id").alias("lid"), F.col("id2").alias("lid2"))
     third = _confirmed(ordered.join(settled, ["lid", "lid2"], "left_anti").select("lid", "lid2", "eid", "eid2"), bodies, t)
-    return durable(first.unionAll(second).unionAll(third).distinct())
+    out = durable(first.unionAll(second).unionAll(third).distinct())
+    release(known, bodies, wide, first, ordered, second)
+    return out
 
 
-def removed_lines(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5, least_chars: int = 20) -> DataFrame:
     """(doc_id, n_removed, removed): documents with lines that go, and those lines' numbers in order.
 
     Of the lines with ``least_words`` different words or more, in the order of (doc_id, line
     number), one goes if an earlier line has the same text or a set of words with a Jaccard
-    similarity of ``threshold`` or more, whether that line itself goes or not. Shorter lines stay.
+    similarity of ``threshold`` or more, whether that line itself goes or not. Of lines with fewer words
+    (those of scripts without blanks, say), one of ``least_chars`` characters or more goes if an earlier
+    line has the same text. Shorter lines stay.
     Rows with a null id or text take no part; rows that share a doc_id are one document: the same
     line at the same number is one line.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    sets = line_sets(docs, t, least_words)
-    gone = similar_to_earlier(docs, sets, t).withColumn("gone", F.lit(True))
-    fate = durable(sets.select("id", "id2", "place").join(gone, ["id", "id2"], "left"))
+    sets = line_sets(docs, t, least_words, least_chars)
+    gone = similar_to_earlier(docs, sets, t)
+    fate = durable(sets.select("id", "id2", "place").join(gone.withColumn("gone", F.lit(True)), ["id", "id2"], "left"))
+    release(sets, gone)
     places = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")))
     later = (F.col("place.doc_id") != F.col("doc_id")) | (F.col("place.line") != F.col("line"))
     out = places.join(fate, ["id", "id2"]).filter(F.coalesce("gone", F.lit(False)) | later)
@@ -214,21 +229,21 @@ def removed_lines(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5),
     return lines.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def report(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5) -> DataFrame:
+def report(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5, least_chars: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines (0 without a text), n_removed, removed."""
-    gone = durable(removed_lines(docs, threshold, least_words))
+    gone = durable(removed_lines(docs, threshold, least_words, least_chars))
     n = F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"))
     out = rows.join(gone, "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5, drop_spent: bool = False) -> DataFrame:
+def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_words: int = 5, least_chars: int = 20, drop_spent: bool = False) -> DataFrame:
     """``docs`` without the lines of ``removed_lines``; all rows and columns stay, a null text too.
 
-    With ``drop_spent``, a document goes that lost lines and has no line of ``least_words`` words left.
+    With ``drop_spent``, a document goes that lost lines and has only blank lines left.
     """
-    gone = durable(removed_lines(docs, threshold, least_words))
+    gone = durable(removed_lines(docs, threshold, least_words, least_chars))
     touched = F.coalesce(_among(gone, F.col("doc_id").cast("long")), F.lit(False))
     whole, cut = docs.filter(~touched), docs.filter(touched)  # only texts that may change are moved
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
@@ -236,6 +251,6 @@ def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_w
     lines = F.split(F.col("text").cast("string"), "\n")
     rest = F.filter(lines, lambda x, i: ~F.array_contains("_removed", i))
     if drop_spent:
-        joined = joined.filter(F.col("_removed").isNull() | F.exists(rest, lambda x: F.size(_words(x)) >= least_words))
+        joined = joined.filter(F.col("_removed").isNull() | F.exists(rest, lambda x: F.size(_words(x)) > 0))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text")
     return whole.unionAll(joined.select(*[text if c == "text" else cut[c] for c in docs.columns]))

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from histomesh.operators.order import row_positions
 from histomesh.session import durable
 
-BINS = 4096
-
 
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; a null or blank text has none."""
@@ -63,20 +61,16 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column, buckets: int = 8, align: int = 64, budget: int = 16384, widen: bool = True) -> DataFrame:
+def pack(docs: DataFrame, length: Column, buckets: int = 8, align: int = 64, budget: int = 16384) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, bucket_length, batch, slot.
 
     ``length`` is a document's number of tokens (null: 0). Lengths are padded to multiples of
-    ``align``; with ``widen`` that is doubled while more than 4096 multiples would be needed, without it
-    every aligned length that occurs is a choice, however long the longest. A bucket's batches hold
+    ``align``; every aligned length that occurs is a choice, however long the longest. A bucket's batches hold
     ``budget // bucket_length`` documents, one at least. Repeated rows take a slot each; null ids
     come first. An empty table gives no row.
     """
     spark = docs.sparkSession
     rows = durable(docs.select("doc_id", F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    while widen and longest > align * BINS:
-        align *= 2
     padded = F.greatest(F.ceil(F.col("n_tokens") / align), F.lit(1)).cast("long") * align
     histogram = rows.groupBy(padded.alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # as many rows as aligned lengths occur: m of them take align * m ** 2 / 2 tokens
     chosen = optimal_buckets(np.array([r.length for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64), buckets)

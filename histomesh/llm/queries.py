@@ -53,7 +53,7 @@ def packing_sql(source: str = "documents", buckets: int = 8, align: int = 64, bu
 
 @_query("op1_packing", packing_sql())
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_count(F.col("text")), widen=False)
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
 _BASE32 = "list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5), lambda k: cast(substr(bits, cast(1 + 5 * i + k as int), 1) as int) * cast(power(2, 4 - k) as int))) as int), 1)), 'string_agg', '')"
@@ -114,8 +114,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
  c as (select distinct a.body as later, b.body as earlier from p a join p b on a.word = b.word and b.place < a.place and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n),
  g as (select distinct c.later from c join s x on x.body = c.later join s y on y.body = c.earlier
    where 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
- r as (select w.doc_id, count(*) as n_removed, list(w.line order by w.line) as removed from w join s on s.body = w.body
-   where s.place <> (w.doc_id, w.line) or w.body in (select later from g) group by 1)
+ x as (select body, min((doc_id, line)) as place from w where len(ws) between 1 and 4 and len(body) >= 20 group by body),
+ e as (select w.doc_id, w.line from w join s on s.body = w.body where s.place <> (w.doc_id, w.line) or w.body in (select later from g)
+   union all select w.doc_id, w.line from w join x on x.body = w.body where x.place <> (w.doc_id, w.line)),
+ r as (select doc_id, count(*) as n_removed, list(line order by line) as removed from e group by 1)
  select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, coalesce(r.n_removed, 0) as n_removed,
    coalesce(r.removed, []) as removed from documents d left join r on r.doc_id = d.doc_id""",
 )

@@ -17,11 +17,12 @@ def brute(docs, t=Fraction(4, 5), least=5):
     """{doc_id: removed line numbers} by comparing every line with all earlier ones."""
     lines = sorted({(d, i, body) for d, text in docs if d is not None and text is not None for i, body in enumerate(text.split("\n"))})
     lines = [(d, i, body, words(body)) for d, i, body in lines]
-    lines = [x for x in lines if len(x[3]) >= least]
+    lines = [x for x in lines if len(x[3]) >= least or (len(x[2]) >= 20 and x[3])]
     removed = {}
     for k, (d, i, body, s) in enumerate(lines):
         for e in lines[:k]:
-            if (e[0], e[1]) != (d, i) and (e[2] == body or t.denominator * len(s & e[3]) >= t.numerator * len(s | e[3])):
+            alike = min(len(s), len(e[3])) >= least and t.denominator * len(s & e[3]) >= t.numerator * len(s | e[3])
+            if (e[0], e[1]) != (d, i) and (e[2] == body or alike):
                 removed.setdefault(d, []).append(i)
                 break
     return removed
@@ -75,6 +76,33 @@ def test_edge_rows(spark):
     assert run(spark, []) == {}
 
 
+def test_repeated_lines_without_blanks_go(spark):
+    passage = "这是一个没有空格的很长的句子" * 9
+    docs = [(1, passage + "\nerste"), (2, "zweite\n" + passage), (3, passage[:-1]), (4, "-" * 19), (5, "-" * 19), (6, " " * 40), (7, " " * 40), (8, "a" * 20), (9, "a" * 20), (10, "four words of twenty"), (11, "words four of twenty")]
+    assert run(spark, docs) == brute(docs) == {2: [1], 9: [0]}
+
+
+def test_only_the_shared_header_of_a_document_goes(spark):
+    header = "all rights are reserved by us"
+    lines = "\n".join(f"vier kurze worte {i}" for i in range(200))
+    docs = spark.createDataFrame([(1, header + "\n" + lines), (2, header + "\n" + lines.replace("kurze", "andere")), (3, header), (4, header + "\n \n")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in L.clean(docs, drop_spent=True).collect()}
+    assert out == {1: header + "\n" + lines, 2: lines.replace("kurze", "andere")}
+
+
+def test_long_lines_meet_through_wide_parity(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(300)]
+    docs = []
+    for d in range(60):
+        line = list(base)
+        for _ in range(rng.randint(10, 45)):
+            line[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        docs.append((d, " ".join(line)))
+    docs += [(100 + d, " ".join(f"c{rng.randrange(900)}" for _ in range(70))) for d in range(40)]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_clean_and_report_keep_rows_and_columns(spark):
     rows = [(1, "one two three four five\nrest", "p", 1), (2, "head\none two three four five\ntail", "q", 2), (3, None, "r", 3), (None, "one two three four five", "s", 4), (2, "head\none two three four five\ntail", "q", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed string, line int")

@@ -42,10 +42,10 @@ def test_batches_hold_the_budget_and_every_row(spark):
     assert (rows.n_tokens <= rows.bucket_length).all() and rows.bucket.nunique() <= 8
 
 
-def test_long_rows_widen_the_alignment_and_empty_tables(spark):
+def test_long_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, 5), (2, 900_000), (3, None)], "doc_id long, n long")
     rows = {r.doc_id: r for r in P.pack(docs, F.col("n"), align=64).collect()}
-    assert rows[2].bucket_length >= 900_000 and rows[2].slot == 0 and rows[1].bucket_length == 256
+    assert rows[2].bucket_length >= 900_000 and rows[2].slot == 0 and rows[1].bucket_length == 64
     assert P.pack(docs.limit(0), F.col("n")).count() == 0
 
 
@@ -57,7 +57,7 @@ def test_word_count(spark):
 
 def test_one_long_row_leaves_the_others_alone(spark):
     docs = spark.createDataFrame([(i, 10 + 64 * (i % 12)) for i in range(120)] + [(999, 2_000_000)], "doc_id long, n long")
-    rows = P.pack(docs, F.col("n"), buckets=13, widen=False).collect()
+    rows = P.pack(docs, F.col("n"), buckets=13).collect()
     assert all(r.bucket_length == 64 * (1 + r.n_tokens // 64) for r in rows if r.doc_id < 999)
 
 

@@ -6,7 +6,6 @@ from tests.llm.test_decontaminate import naive_contaminated
 from tests.llm.test_linedup import brute as brute_lines
 from tests.llm.test_linedup import words
 from tests.llm.test_neardup import brute as brute_groups
-from tests.llm.test_packing import P
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +42,7 @@ def test_lines_against_brute_force(steps):
     want = {}
     for d, r in before.items():
         rest = [x for i, x in enumerate(r.text.split("\n")) if i not in removed.get(d, [])]
-        if d not in removed or any(len(words(x)) >= 5 for x in rest):
+        if d not in removed or any(words(x) for x in rest):
             want[d] = "\n".join(rest)
     assert {d: r.text for d, r in after.items()} == want
     assert all(r.n_chars == len(r.text) for r in after.values())
@@ -68,7 +67,7 @@ def test_packing_takes_every_document(steps):
     assert all(r.n_tokens == len(before[r.doc_id].text.split()) and r.n_tokens <= r.bucket_length for r in rows)
     assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
     lengths = sorted({r.bucket_length for r in rows})
-    assert len(lengths) <= 8 and P.BINS == 4096
+    assert len(lengths) <= 8
 
 
 def test_edge_documents_pass_all_stages(spark, steps):
