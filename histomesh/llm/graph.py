@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.session import durable
+from histomesh.session import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = durable(lowered.join(jump, "label").select("node", F.col("further").alias("label")))
         changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
+        release(labels, seen, lowered)
         labels = jumped
         if not changed:
+            release(both)
             return labels

@@ -12,9 +12,12 @@ document with its most similar candidate; then, in regions that still hold sever
 candidates between different ones. Candidates inside one component can't change the result.
 
 Splitting a crowded region loses pairs. The sets of every region that was split, or that the border of
-a range may have cut, therefore meet once more after the first step, in an exact prefix-filter join on
-their shingles (see ``crowd_pairs``). So a link is missed only if its sets share no SHALLOWEST values
-in any tree.
+a range may have cut, therefore meet once more after the first step, on the rare shingles of a prefix
+filter. In rounds, each set meets the first and the last component of every shingle's sets, two pairs a
+set and round, and confirmed links merge components, until a round brings nothing new; what is
+still apart then meets in an exact join (see ``crowd_pairs``). So a link is missed only if its sets share
+no SHALLOWEST values in any tree, or if their sketches differ by five deviations more than the
+threshold lets expect.
 """
 
 from __future__ import annotations
@@ -23,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.llm.graph import components
 from histomesh.llm.text import blocks, buffer_of, mix, shingles, words
-from histomesh.session import durable
+from histomesh.session import durable, release
 
 TREES, DEPTH, SHALLOWEST, CROWD, NEIGHBOURS = 16, 8, 4, 48, 2
 BITS = TREES * DEPTH
 PARITY = 4  # words of 64 bits
 RARITY = 1 << 16
+HUB_ROUNDS = 8
 _rng = np.random.default_rng(20_240_615)
 _A = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32)
@@ -329,14 +333,11 @@ def shingle_levels(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def crowd_pairs(crowd: DataFrame, labels: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """(a, b): all pairs of the sets in ``crowd`` (node) that may reach the threshold and
-    lie in different components. Exact: none is left out.
+def crowd_rows(crowd: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(node, n, at, shingle, p0, ...): the prefix of every set in ``crowd`` (node), with its parity map.
 
     Shingles are ordered by rarity (counts by hash bucket, then hash). Two sets of the similarity t
-    share one of their first ``n - ceil(t n) + 1`` shingles, have sizes within t, can still reach the
-    overlap behind the first shingle they share, and have parity maps within their difference. A shingle that only one component holds in its
-    prefixes joins nothing.
+    share one of their first ``n - ceil(t n) + 1`` shingles.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = durable(texts.join(crowd.select(F.col("node").alias("id")), "id", "left_semi"))
@@ -365,17 +366,60 @@ def crowd_pairs(crowd: DataFrame, labels: DataFrame, docs: DataFrame, size: int,
                     ["node", "n", "at", "shingle", *maps],
                 )
 
-    rows = durable(texts.mapInArrow(run, "node bigint, n bigint, at bigint, shingle bigint, " + ", ".join(f"{p} bigint" for p in maps)).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    mixed = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
-    rows = durable(rows.join(mixed, "shingle", "left_semi"))
+    rows = durable(texts.mapInArrow(run, "node bigint, n bigint, at bigint, shingle bigint, " + ", ".join(f"{p} bigint" for p in maps)))
+    release(texts)
+    return rows
+
+
+def _may_link(x: str, y: str, threshold: int) -> Column:
+    """Whether two prefix rows that share a shingle can be a link: sizes, the overlap still possible behind the
+    first shingle they share, and parity maps within the sets' difference. Exact: no link fails."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) + F.least(f"{x}.at", f"{y}.at")
+    may = (100 * n >= threshold * m) & (100 * m >= threshold * n) & (rest * (100 + threshold) >= (n + m) * threshold)
+    return may & (_parity_apart(x, y) * (100 + threshold) <= (n + m) * (100 - threshold))
+
+
+def _parity_apart(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+
+
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with their labels, of the shingles that more than one component holds."""
+    known = durable(rows.join(labels, "node"))
+    mixed = known.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
+    out = durable(known.join(mixed, "shingle", "left_semi"))
+    release(known)
+    return out
+
+
+def hub_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): of every set, its closest candidate among the first sets of the smallest label at its shingles, and
+    among those of the largest: two pairs a set at most."""
+    whole = F.struct("label", "node", "n", "at", *[f"p{k}" for k in range(PARITY)])
+    hubs = rows.groupBy("shingle").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    sides = F.posexplode(F.array("lo", "hi")).alias("side", "y")
+    met = rows.join(hubs, "shingle").select(whole.alias("x"), sides).filter("x.label <> y.label")
+    met = met.filter(_may_link("x", "y", threshold))
+    best = met.groupBy("x.node", "side").agg(F.min(F.struct(_parity_apart("x", "y").alias("apart"), F.col("y.node").alias("other"))).alias("b"))
+    return best.select(F.least("node", "b.other").alias("a"), F.greatest("node", "b.other").alias("b")).filter("a <> b").distinct()
+
+
+def crowd_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): all pairs of prefix ``rows`` that may link and lie in different components. Exact: none is left out."""
     x, y = rows.alias("x"), rows.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
     # rows of one node that stand for different sets of a shared doc_id have one label
-    rest = F.least(n - F.col("x.at"), m - F.col("y.at")) + F.least("x.at", "y.at")
-    may = (F.col("x.label") < F.col("y.label")) & (100 * n >= threshold * m) & (100 * m >= threshold * n) & (rest * (100 + threshold) >= (n + m) * threshold)
-    apart = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY))
-    near = apart * (100 + threshold) <= (n + m) * (100 - threshold)
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & may & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", threshold))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the components that ``links`` (a, b) join have become one."""
+    lifted = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    lifted = lifted.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    outer = components(lifted.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    moved = labels.join(outer.select(F.col("node").alias("label"), F.col("label").alias("outer")), "label", "left")
+    return durable(moved.select("node", F.coalesce("outer", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
@@ -399,17 +443,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     split = durable(named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("doc_id"))
     sames = named.join(split, "doc_id", "left_semi").filter("n_shingles > 0").join(heads, ["digest", "digest2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     first = durable(first.unionAll(sames))
-    labels = components(first)
-    crowd = durable(sets.join(found.filter("crowd is not null").select(F.col("crowd").alias("node")).distinct(), "node", "left_semi").select("node"))
-    beyond = across(found, labels, threshold).unionAll(crowd_pairs(crowd, labels, docs, size, threshold)).distinct()
-    second = durable(confirm(durable(beyond), docs, size, threshold))
-    name = lambda side: F.coalesce(F.col(f"l{side}"), F.col(side))
-    lifted = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-    lifted = lifted.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    outer = components(lifted.select(name("a").alias("a"), name("b").alias("b")))
-    reached = heads.select("digest", "digest2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    reached = reached.join(outer.select(F.col("node").alias("label"), F.col("label").alias("outer")), "label", "left")
-    reached = durable(reached.select("digest", "digest2", F.coalesce("outer", "label").alias("_component")))
+    own = components(first)
+    labels = durable(heads.select("node").distinct().join(own, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    crowd = durable(sets.join(found.filter("crowd is not null").select(F.col("crowd").alias("node")).distinct(), "node", "left_semi").select("node").distinct())
+    prefixes, tried = crowd_rows(crowd, docs, size, threshold), None
+    release(own, crowd)
+    for _ in range(HUB_ROUNDS):
+        rows = _open_rows(prefixes, labels)
+        pairs = hub_pairs(rows, threshold)
+        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+        links = durable(confirm(pairs, docs, size, threshold))
+        tried = durable(pairs if tried is None else tried.unionAll(pairs))
+        release(rows, pairs)
+        if links.isEmpty():
+            break
+        labels = merged(labels, links)
+        release(links)
+    rows = _open_rows(prefixes, labels)
+    beyond = across(found, labels, threshold).unionAll(crowd_pairs(rows, threshold)).distinct().join(tried, ["a", "b"], "left_anti")
+    beyond = durable(beyond)
+    labels = merged(labels, durable(confirm(beyond, docs, size, threshold)))
+    release(prefixes, rows, found, beyond, tried)
+    reached = durable(heads.join(labels, "node").select("digest", "digest2", F.col("label").alias("_component")))
     rows = signed.select("doc_id", "n_shingles", "digest", "digest2").join(reached, ["digest", "digest2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))

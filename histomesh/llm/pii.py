@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from histomesh.llm.decontaminate import _maybe, bloom_filter
 from histomesh.llm.text import blocks, buffer_of, mix, words
-from histomesh.session import durable
+from histomesh.session import durable, release
 
+BOUNDS = 1 << 20
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_TAIL = re.compile(rb"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -184,16 +185,62 @@ _BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end",
 _CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("head", pa.int64()), ("instance", pa.int64())]))
 
 
-def followers(docs: DataFrame, support: DataFrame) -> DataFrame:
-    """(context, head), distinct: the words that stand behind the contexts of ``support`` anywhere in the corpus.
-
-    A filter of bounded size thins the pairs inside the scan; the join with all contexts is exact.
+class _Followers:
+    """Different (context, head) pairs of one task. A context with more heads than its bound is out:
+    its pairs go, and one mark says so."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds, self.pairs, self.fresh, self.waiting = bounds, np.zeros((0, 2), np.int64), [], 0
+        self.out = np.zeros(0, np.int64)
+
+    def add(self, context: np.ndarray, head: np.ndarray) -> None:
+        if len(self.out):
+            at = np.minimum(np.searchsorted(self.out, context), len(self.out) - 1)
+            live = self.out[at] != context
+            context, head = context[live], head[live]
+        if len(context):
+            self.fresh.append(np.unique(np.stack([context, head], 1), axis=0))
+            self.waiting += len(self.fresh[-1])
+        if self.waiting > max(len(self.pairs), 1 << 18):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.fresh:
+            self.pairs = np.unique(np.concatenate([self.pairs, *self.fresh]), axis=0)
+            self.fresh, self.waiting = [], 0
+            context, count = np.unique(self.pairs[:, 0], return_counts=True)
+            over = context[count > self.bounds[(context & (len(self.bounds) - 1)).astype(np.int64)]]
+            if len(over):
+                self.out = np.union1d(self.out, over)
+                self.pairs = self.pairs[~np.isin(self.pairs[:, 0], over)]
+
+    def rows(self, marks: bool) -> pa.RecordBatch:
+        out = self.out if marks else self.out[:0]
+        context = pa.array(np.r_[self.pairs[:, 0], out])
+        head = pa.concat_arrays([pa.array(self.pairs[:, 1].copy()), pa.nulls(len(out), pa.int64())])
+        self.pairs = self.pairs[:0]
+        return pa.RecordBatch.from_arrays([context, head], ["context", "head"])
+
+
+def followers(docs: DataFrame, support: DataFrame, least_confidence: float) -> DataFrame:
+    """(context, head), distinct: the words that stand behind the contexts of ``support`` (context, n) anywhere
+    in the corpus. A null head marks a context with more than ``n / least_confidence`` different ones.
+
+    A confidence is at most n over the number of different heads, so a marked context can't reach
+    ``least_confidence``, whatever its other heads. Tasks count up to the largest bound in a context's
+    hash bucket; a filter of bounded size thins the pairs inside the scan; the join with all
+    contexts is exact.
     """
-    bloom = bloom_filter(support.select(F.col("context").alias("window")))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)  # of bounded size
+    context = docs.sparkSession.sparkContext
+    bloom = context.broadcast(bloom_filter(support.select(F.col("context").alias("window"))))  # of bounded size
+    bucket = F.col("context").bitwiseAND(F.lit(BOUNDS - 1))
+    most = support.groupBy(bucket.alias("bucket")).agg(F.max("n").alias("n")).toArrow()  # BOUNDS rows at most
+    bounds = np.zeros(BOUNDS, np.int64)
+    bounds[most.column("bucket").to_numpy()] = np.floor(most.column("n").to_numpy() / least_confidence + 1e-9).astype(np.int64)
+    shared = context.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, found = bloom.value, _Followers(shared.value)
         for batch in batches:
             buffer, offsets = buffer_of(batch.column(0))
             for a, b in blocks(offsets, 1 << 20):
@@ -204,8 +251,12 @@ def followers(docs: DataFrame, support: DataFrame) -> DataFrame:
                 for values in _contexts(hashes, rows):
                     at = np.flatnonzero(inside & (values[:-1] != 0))
                     at = at[_maybe(own, values[at].view(np.uint64))]
-                    pairs = np.unique(np.stack([values[at], _signed(hashes)[at + 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["context", "head"])
+                    found.add(values[at], _signed(hashes)[at + 1])
+                if len(found.pairs) > 1 << 22:  # bounded memory; what is out stays out
+                    found.settle()
+                    yield found.rows(False)
+        found.settle()
+        yield found.rows(True)
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "context bigint, head bigint").distinct().join(support.select("context"), "context", "left_semi")
@@ -229,11 +280,14 @@ def induce(docs: DataFrame, found: DataFrame, rounds: int = 3, least_instances:
     support = durable(edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_instances))
     if support.isEmpty():
         return None
-    plain = followers(docs, support).join(edges.select("context", "head").distinct(), ["context", "head"], "left_anti")
+    behind = durable(followers(docs, support, least_confidence))
+    known = durable(edges.filter("kind >= 0").join(support.select("context"), "context", "left_semi").select("instance", "kind").distinct())
+    whole, every, support = edges, support, durable(support.join(behind.filter("head is null").select("context").distinct(), "context", "left_anti"))
+    plain = behind.filter("head is not null").join(support.select("context"), "context", "left_semi").join(edges.select("context", "head").distinct(), ["context", "head"], "left_anti")
     plain = plain.groupBy("context").agg(F.count(F.lit(1)).alias("plain"))
-    totals = durable(support.join(plain, "context", "left").select("context", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("places")))
+    totals = support.join(plain, "context", "left").select("context", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("places"))
     edges = durable(edges.drop("head").join(totals, "context"))
-    known = durable(edges.filter("kind >= 0").select("instance", "kind").distinct())
+    release(behind, every, support, whole)
     patterns = None
     for step in range(rounds):
         hits = edges.drop("kind").join(known, "instance").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("hits"), F.max("places").alias("places"))

@@ -110,3 +110,16 @@ def test_numbers_in_groups_are_one_candidate(spark):
     rows += [(10, "call hotline 555 123 4567, or 12 now"), (11, "call hotline 12 now"), (12, "plain 555 123 4567")]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[10].spans == "phone:13:25" and got[11].spans == "" and got[12].spans == ""
+
+
+def test_contexts_with_too_many_followers_are_marked_and_change_nothing(spark, monkeypatch):
+    rows = [(i, f"please call hotline +1 (555) 010-{1000 + i} now and the {2000000 + i} with the w{i} of the x{i}") for i in range(40)]
+    rows += [(100 + i, f"call hotline 555-0199-{10 + i} then the y{i} the z{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = pii.durable(pii.extract(docs))
+    pruned = {tuple(r) for r in pii.induce(docs, found).collect()}
+    marks = []
+    plain = pii.followers
+    monkeypatch.setattr(pii, "followers", lambda d, s, c: marks.append(plain(d, s, c).filter("head is null").distinct().count()) or plain(d, s, 1e-9))
+    assert {tuple(r) for r in pii.induce(docs, found).collect()} == pruned and pruned
+    assert marks[0] >= 1
