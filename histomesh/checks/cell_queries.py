@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from histomesh.checks.fixtures import Registry, Tables, rounded, with_tables
+from histomesh.operators import barrier as B
 from histomesh.operators import cells as C
 from histomesh.operators import composition as K
 from histomesh.operators.spatial import knn_join, radius_pairs
@@ -198,3 +199,19 @@ def cn_frequency(t: Tables):
 def composition_per_image(t: Tables):
     out = K.composition_per_image(t.cns(), list(range(10)), "cn")
     return rounded(out, *[f"frac_{i}" for i in range(10)], "dominant_frac")
+
+
+@R.add("barrier_score", (with_tables("cells") + """, v as (select image_id, cell_id, type_id, x_um, y_um from cells where type_id in (0, 1, 5)),
+ n as (select l.image_id, l.cell_id as a, r.cell_id as b, row_number() over (partition by l.cell_id order by (l.x_um-r.x_um)*(l.x_um-r.x_um)+(l.y_um-r.y_um)*(l.y_um-r.y_um), r.cell_id) rn
+   from v l join v r on l.image_id = r.image_id and l.cell_id <> r.cell_id),
+ e as (select a, b from n where rn <= 8 union select b, a from n where rn <= 8),
+ w as (select cell_id as node, 0 as hops, 0 as caf, 0 as own from v where type_id = 0
+   union select e.b, w.hops + 1, w.caf + w.own, cast(v.type_id = 5 as int) from w join e on e.a = w.node join v on v.cell_id = e.b where w.hops < 40),
+ h as (select node, min(hops) as hops from w group by 1), p as (select w.node, w.hops, min(w.caf) as caf from w join h on h.node = w.node and h.hops = w.hops group by 1, 2),
+ i as (select v.image_id, p.hops, p.caf from v left join p on p.node = v.cell_id where v.type_id = 1),
+ s as (select image_id, count(*) as n_immune, count(*) filter (where hops = 1) as n_adjacent, count(*) filter (where hops is null) as n_unreached, count(*) filter (where hops >= 2) as n_scored,
+   count(*) filter (where hops >= 2 and caf > 0) as n_positive from i group by 1)
+ select *, case when n_scored > 0 then round(n_positive * 1.0e0 / n_scored, 6) end as score from s""").replace("with ", "with recursive ", 1))
+def barrier_score(t: Tables):
+    """Immune cells behind stroma, on the graph of tumour, immune and stroma cells."""
+    return rounded(B.barrier_score(t.stored("cells"), 1, 0, 5, kind="type_id"), "score")

@@ -6,6 +6,7 @@ from histomesh.checks.fixtures import Registry, Tables, rounded, with_tables
 from histomesh.operators import agreement as A
 from histomesh.operators import correlation as C
 from histomesh.operators import evaluate as E
+from histomesh.operators import grouptests as G
 from histomesh.operators import signature as M
 from histomesh.operators import survival as S
 
@@ -390,3 +391,61 @@ def select_features(t: Tables):
 @R.add("null_calibration")
 def null_calibration(t: Tables):
     return rounded(M.null_calibration(t.features_long(), t.clinical()), "min_p")
+
+
+# ---- group differences
+
+GROUPED = with_tables("features_long", "clinical") + """, f as (select x.feature, c.os_event as g2, c.subtype as g, x.value as v from features_long x join clinical c on c.sample_id = x.sample_id where x.value is not null)"""
+
+
+def grouped(t: Tables):
+    return t.features_long().join(t.clinical(), "sample_id")
+
+
+@R.add("t_test", GROUPED + """, m as (select feature, g2, count(*) n, avg(v) m, var_samp(v) * (count(*) - 1) s from f group by 1, 2),
+ w as (select a.feature, a.n as n1, b.n as n2, a.m - b.m as diff, a.s + b.s as s from m a join m b on a.feature = b.feature and a.g2 = 0 and b.g2 = 1)
+ select feature, n1, n2, round(diff / sqrt(s / (n1 + n2 - 2) * (1.0e0/n1 + 1.0e0/n2)), 6) as statistic, cast(n1 + n2 - 2 as double) as df from w""")
+def t_test(t: Tables):
+    return rounded(G.t_test(grouped(t), "os_event"), "statistic").drop("p")
+
+
+@R.add("anova", GROUPED + """, m as (select feature, g, count(*) n, avg(v) m, var_samp(v) * (count(*) - 1) s from f group by 1, 2), o as (select feature, avg(v) mean from f group by 1),
+ w as (select m.feature, cast(sum(n) as bigint) n, count(*) k, sum(s) wi, sum(n * (m.m - o.mean) * (m.m - o.mean)) be from m join o on o.feature = m.feature group by 1),
+ r as (select *, be / (k - 1) / (wi / (n - k)) as st, (n - k) / 2.0e0 as a from w)
+ select feature, n, k as n_groups, round(st, 6) as statistic, k - 1 as df1, n - k as df2, round(pow((n - k) / (n - k + 4 * st), a) * (1 + a * (1 - (n - k) / (n - k + 4 * st))), 8) as p from r""")
+def anova(t: Tables):
+    return rounded(rounded(G.anova(grouped(t), "subtype"), "statistic"), "p", places=8)
+
+
+RANKED = GROUPED + """, k as (select feature, v, g, g2, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0e0 as r from f),
+ ties as (select feature, sum(c) n, sum(c*c*c - c) t from (select feature, v, count(*) * 1.0e0 as c from f group by 1, 2) group by 1)"""
+
+
+@R.add("mann_whitney", RANKED + """, s as (select feature, g2, sum(r) r, count(*) * 1.0e0 n from k group by 1, 2),
+ w as (select a.feature, a.n as n1, b.n as n2, a.r - a.n * (a.n + 1) / 2 as u, sqrt(a.n * b.n / 12 * ((x.n + 1) - x.t / (x.n * (x.n - 1)))) as sd from s a join s b on a.feature = b.feature and a.g2 = 0 and b.g2 = 1 join ties x on x.feature = a.feature)
+ select feature, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, u as statistic, round(sign(u - n1*n2/2) * greatest(abs(u - n1*n2/2) - 0.5, 0) / sd, 6) as z from w""")
+def mann_whitney(t: Tables):
+    return rounded(G.mann_whitney(grouped(t), "os_event"), "z").drop("p")
+
+
+@R.add("kruskal", RANKED + """, s as (select feature, g, sum(r) r, count(*) n from k group by 1, 2),
+ w as (select s.feature, cast(max(x.n) as bigint) n, count(*) kk, (12 / (max(x.n) * (max(x.n) + 1)) * sum(r * r / s.n) - 3 * (max(x.n) + 1)) / (1 - max(x.t) / (max(x.n) * max(x.n) * max(x.n) - max(x.n))) h from s join ties x on x.feature = s.feature group by 1)
+ select feature, n, kk as n_groups, round(h, 6) as statistic, kk - 1 as df, round(exp(-h/2) * (1 + h/2), 8) as p from w""")
+def kruskal(t: Tables):
+    return rounded(rounded(G.kruskal(grouped(t), "subtype"), "statistic"), "p", places=8)
+
+
+@R.add("fisher_exact", with_tables("clinical") + """, m as (select distinct o_custkey as sample_id, l_partkey % 97 as gene from orders join lineitem on l_orderkey = o_orderkey),
+ t as (select g.gene, c.os_event = 1 as grp, m.gene is not null as hit from clinical c cross join (select unnest(range(97)) as gene) g left join m on m.sample_id = c.sample_id and m.gene = g.gene),
+ c as (select gene, count(*) filter (where hit and grp) a, count(*) filter (where hit and not grp) b, count(*) filter (where not hit and grp) c, count(*) filter (where not hit and not grp) d from t group by 1),
+ e as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as k from c),
+ p as (select *, lgamma(a+b+1) - lgamma(k+1) - lgamma(a+b-k+1) + lgamma(c+d+1) - lgamma(a+c-k+1) - lgamma(c+d-a-c+k+1) as w, lgamma(a+b+c+d+1) - lgamma(a+c+1) - lgamma(b+d+1) as al from e),
+ o as (select gene, w as own from p where k = a)
+ select p.gene, a, b, c, d, round(case when b * c > 0 then a * d * 1.0e0 / (b * c) end, 6) as odds_ratio, round(least(1.0, sum(case when w <= own + 1e-7 then exp(w - al) end)), 7) as p from p join o on o.gene = p.gene group by 1, 2, 3, 4, 5""")
+def fisher_exact(t: Tables):
+    """One gene per remainder of the part number: mutated in a customer who ordered such a part."""
+    lines = t.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 97).alias("gene"))
+    hits = t.read("orders").select("o_orderkey", F.col("o_custkey").alias("sample_id")).join(lines, "o_orderkey").select("sample_id", "gene").distinct()
+    every = t.clinical().select("sample_id", (F.col("os_event") == 1).alias("in_group")).withColumn("gene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(96).cast("long"))))
+    table = every.join(hits.withColumn("mutated", F.lit(True)), ["sample_id", "gene"], "left").withColumn("mutated", F.coalesce("mutated", F.lit(False)))
+    return rounded(rounded(G.fisher_exact(table), "odds_ratio"), "p", places=7)
