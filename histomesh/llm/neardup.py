@@ -372,10 +372,10 @@ def crowd_rows(crowd: DataFrame, docs: DataFrame, size: int, threshold: int) ->
 
 
 def _may_link(x: str, y: str, threshold: int) -> Column:
-    """Whether two prefix rows that share a shingle can be a link: sizes, the overlap still possible behind the
-    first shingle they share, and parity maps within the sets' difference. Exact: no link fails."""
+    """Whether two prefix rows that share a shingle can be a link: sizes, the overlap still possible from there on,
+    and parity maps within the sets' difference. Exact: no link fails at the first shingle it shares."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) + F.least(f"{x}.at", f"{y}.at")
+    rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))  # at the first shingle they share, nothing stands before
     may = (100 * n >= threshold * m) & (100 * m >= threshold * n) & (rest * (100 + threshold) >= (n + m) * threshold)
     return may & (_parity_apart(x, y) * (100 + threshold) <= (n + m) * (100 - threshold))
 
