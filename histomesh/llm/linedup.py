@@ -105,11 +105,10 @@ def _may_match(a: str, b: str, t: Fraction) -> Column:
     num, den = t.numerator, t.denominator
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     # an overlap of o is enough if o >= t / (1 + t) * (n + m)
-    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
-    before = F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))
+    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))  # at the first word they share, nothing stands before
     return (
         (n * den >= m * num) & (m * den >= n * num)
-        & ((rest + before) * (num + den) >= (n + m) * num)
+        & (rest * (num + den) >= (n + m) * num)
         & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) * (num + den) <= (n + m) * (den - num))
     )
 
