@@ -99,5 +99,5 @@ def test_barrier_against_plain_search(spark):
         state |= reached
         frontier = reached
     want = [state[i] for i in range(120) if kinds[i] == "immune" and i in state and state[i][0] >= 2]
-    r = B.barrier_score(cells(spark, [("a", i, kinds[i], *map(float, xy[i])) for i in range(120)]), "immune", "tumour", "caf", k=3).first()
+    r = B.barrier_score(cells(spark, [("a", i, str(kinds[i]), *map(float, xy[i])) for i in range(120)]), "immune", "tumour", "caf", k=3).first()
     assert (r.n_scored, r.n_positive) == (len(want), sum(on > 0 for _, on in want))
