@@ -4,6 +4,7 @@ import os
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from histomesh.checks.fixtures import Registry, Tables, rounded, with_tables
@@ -281,8 +282,9 @@ def consensus_sweep(t: Tables):
     out = durable(out)
     areas = U.consensus_cdf(out, weight="n")
     totals = out.groupBy("k").agg(F.sum("n").cast("long").alias("n_pairs"))
-    one = areas.agg(F.count_if("chosen").alias("_c"))
-    return areas.join(totals, "k").join(one).select("k", "n_pairs", F.col("area").between(0, 1).alias("area_in_unit"), (F.col("_c") == 1).alias("one_chosen"))
+    all_rows = Window.partitionBy(F.lit(0))  # one row per k
+    one = F.sum(F.col("chosen").cast("int")).over(all_rows) == 1
+    return areas.join(totals, "k").select("k", "n_pairs", F.col("area").between(0, 1).alias("area_in_unit"), one.alias("one_chosen"))
 
 
 @R.add("consensus_cdf", with_tables("predictions") + """, v as (select mode_id + 2 as k, ((vec_id*37 + seed*11) % 101)/100.0e0 * (1 + mode_id)/4.0e0 as v from predictions), o as (select k, v, row_number() over (partition by k order by v)*1.0e0/count(*) over (partition by k) as f from v),
