@@ -1,5 +1,6 @@
 """Queries over labels, slides, registration and the patch lattice."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from histomesh.checks.fixtures import Registry, Tables, rounded, with_tables
@@ -376,6 +377,26 @@ def distance_attention(t: Tables):
     return rounded(out.select("slide_id", "patch_id", F.posexplode("context").alias("dim", "context")), "context", places=5)
 
 
+ATT_HEAD = LINKS + """, h as (select *, [list_sum([v[i+1]*((7*o+3*i)%11-5)/50.0e0 for i in range(64)]) + o/10.0e0 for o in range(4)] as qv, [list_sum([nv[i+1]*((5*o+2*i)%13-6)/50.0e0 for i in range(64)]) + o/10.0e0 for o in range(4)] as kv, [list_sum([nv[i+1]*((3*o+5*i)%7-3)/10.0e0 for i in range(64)]) + o/10.0e0 for o in range(4)] as vv from links),
+ lg as (select *, list_dot_product(qv, kv)/2.0e0 - ln(1+dist/100.0e0) as z from h), s as (select *, exp(z - max(z) over (partition by patch_id)) as e from lg),
+ w as (select *, e/sum(e) over (partition by patch_id) as weight from s), x as (select slide_id, patch_id, o, sum(weight*vv[o+1]) as x from w, (select unnest(range(4)) as o) group by 1,2,3)
+ select l.slide_id, l.patch_id, cast(g.o as int) as dim, round(coalesce(x.x,0),5) as context from l cross join (select unnest(range(4)) as o) g left join x on l.patch_id=x.patch_id and g.o=x.o"""
+
+
+def head(a: int, b: int, m: int, c: int, d: float):
+    """A layer from 64 to 4 numbers; the SQL spells out the same rule."""
+    o, i = np.arange(4)[:, None], np.arange(64)[None, :]
+    return ((a * o + b * i) % m - c) / d, np.arange(4) / 10
+
+
+@R.add("weighted_attention", ATT_HEAD)
+def weighted_attention(t: Tables):
+    """Query, key and value layers given; patches without neighbours hold zeros."""
+    weights = G.AttentionWeights(head(7, 3, 11, 5, 50.0), head(5, 2, 13, 6, 50.0), head(3, 5, 7, 3, 10.0))
+    out = G.distance_attention(t.lattice(), links(t), 64, weights=weights)
+    return rounded(out.select("slide_id", "patch_id", F.posexplode("context").alias("dim", "context")), "context", places=5)
+
+
 @R.add("grid_context_vector", POOL_SQL + """, w as (select l.slide_id, l.patch_id, s.s as scale, a.d as dr, b.d as dc, cast(floor(row_/pow(2.0e0,s.s)) as bigint)+a.d as r, cast(floor(col_/pow(2.0e0,s.s)) as bigint)+b.d as c
   from l, (select unnest([0,1,2]) as s) s, (select unnest([-1,0,1]) as d) a, (select unnest([-1,0,1]) as d) b),
  f as (select w.*, p.i, p.value from w join pool p on w.slide_id=p.slide_id and w.scale=p.scale and w.r=p.row and w.c=p.col),

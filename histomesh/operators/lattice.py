@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.functions.vectors import dot, doubles, max_vector, mean_vector
@@ -133,19 +137,59 @@ def deepset_pool(patches: DataFrame, links: DataFrame, dim: int, slide="slide_id
     return joined.select(slide, patch, F.coalesce("mean", zeros).alias("mean"), F.coalesce("max", zeros).alias("max"))
 
 
-def attention_map(links: DataFrame, dim: int, beta: float = 1.0, slide="slide_id", patch="patch_id", vector="embedding") -> DataFrame:
-    """Softmax weight of every neighbour: scaled dot product minus a log-distance penalty."""
-    logit = dot(vector, "nbr_vec") / F.lit(float(dim) ** 0.5) - beta * F.log1p(F.col("dist") / 100.0)
+@dataclass(frozen=True)
+class AttentionWeights:
+    """Linear layers of an attention head: matrices (out x in) and biases (out)."""
+
+    query: tuple[np.ndarray, np.ndarray]
+    key: tuple[np.ndarray, np.ndarray]
+    value: tuple[np.ndarray, np.ndarray]
+
+    def centre(self) -> tuple[np.ndarray, np.ndarray]:
+        """Query and key layers as one on the centre: its dot product with a neighbour's vector is the scaled
+        logit, but for a term that all neighbours of a centre share and softmax cancels."""
+        (q, q0), (k, _) = self.query, self.key
+        scale = float(np.shape(q)[0]) ** -0.5
+        return np.transpose(k) @ np.asarray(q) * scale, np.transpose(k) @ np.asarray(q0) * scale
+
+
+def _linear(layer: tuple[np.ndarray, np.ndarray], vector) -> Column:
+    matrix, bias = (F.from_json(F.lit(json.dumps(np.asarray(m, dtype=float).tolist())), kind) for m, kind in zip(layer, ("array<array<double>>", "array<double>")))
+    return F.zip_with(F.transform(matrix, lambda row: dot(row, vector)), bias, lambda a, b: a + b)
+
+
+def attention_map(
+    links: DataFrame, dim: int, beta: float = 1.0, slide="slide_id", patch="patch_id", vector="embedding", weights: AttentionWeights | None = None
+) -> DataFrame:
+    """Softmax weight of every neighbour: scaled dot product minus a log-distance penalty.
+
+    With ``weights`` the dot product is that of the query of the patch and the key of the neighbour.
+    Both layers are applied once per patch, not per link. ``beta`` 0 leaves distance out.
+    """
+    if weights is None:
+        logit = dot(vector, "nbr_vec") / F.lit(float(dim) ** 0.5)
+    else:
+        heads = links.groupBy(slide, patch).agg(F.first(vector).alias("_c")).select(slide, patch, _linear(weights.centre(), "_c").alias("_q"))
+        links = links.join(heads, [slide, patch])
+        logit = dot("_q", "nbr_vec")
+    logit = logit - beta * F.log1p(F.col("dist") / 100.0)
     mine = Window.partitionBy(slide, patch)  # at most k rows
     shifted = links.withColumn("_l", logit).withColumn("_e", F.exp(F.col("_l") - F.max("_l").over(mine)))
-    return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(mine)).drop("_l", "_e")
+    return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(mine)).drop("_l", "_e", "_q")
 
 
-def distance_attention(patches: DataFrame, links: DataFrame, dim: int, beta: float = 1.0, slide="slide_id", patch="patch_id", vector="embedding") -> DataFrame:
-    """Attention-weighted mean of neighbour vectors; zeros where a patch has none."""
-    weights = attention_map(links, dim, beta, slide, patch, vector)
-    # the weights sum to one, so the weighted mean is the attention output
-    mixed = weights.groupBy(slide, patch).agg(mean_vector("nbr_vec", "weight").alias("context"))
+def distance_attention(
+    patches: DataFrame, links: DataFrame, dim: int, beta: float = 1.0, slide="slide_id", patch="patch_id", vector="embedding",
+    weights: AttentionWeights | None = None,
+) -> DataFrame:
+    """Attention-weighted mean of neighbour vectors, through the value layer of ``weights`` if given;
+    zeros where a patch has none."""
+    mapped = attention_map(links, dim, beta, slide, patch, vector, weights)
+    # the weights sum to one, so the weighted mean is the attention output, and the value layer may follow it
+    mixed = mapped.groupBy(slide, patch).agg(mean_vector("nbr_vec", "weight").alias("context"))
+    if weights is not None:
+        dim = int(np.shape(weights.value[0])[0])
+        mixed = mixed.withColumn("context", _linear(weights.value, "context"))
     joined = patches.select(slide, patch).join(mixed, [slide, patch], "left")
     return joined.select(slide, patch, F.coalesce("context", F.lit([0.0] * dim)).alias("context"))
 

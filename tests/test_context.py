@@ -82,6 +82,25 @@ def test_attention_and_isolated_patches(spark):
     assert pooled[99].mean == [0.0] * 4 and pooled[99].max == [0.0] * 4
 
 
+def test_attention_with_given_weights(spark):
+    lone = spark.createDataFrame([(1, 99, 0, 9e5, 9e5, [1.0] * 4)], "slide_id int, patch_id int, label int, x_um double, y_um double, embedding array<double>")
+    df = lattice(spark, 4, 2).unionByName(lone).withColumn("embedding", F.transform("embedding", lambda v: v / 100))
+    links = G.neighbours(df, 4, 300.0)
+    rng = np.random.default_rng(2)
+    layer = lambda: (rng.normal(size=(3, 4)), rng.normal(size=3))
+    head = G.AttentionWeights(layer(), layer(), layer())
+    out = {(r.slide_id, r.patch_id): r.context for r in G.distance_attention(df, links, 4, 0.7, weights=head).collect()}
+    rows = links.toPandas()
+    for key, part in rows.groupby(["slide_id", "patch_id"]):
+        apply = lambda m, v: np.stack(v) @ m[0].T + m[1]
+        q, k, v = apply(head.query, part.embedding), apply(head.key, part.nbr_vec), apply(head.value, part.nbr_vec)
+        z = (q * k).sum(axis=1) / np.sqrt(3) - 0.7 * np.log1p(part.dist.to_numpy() / 100)
+        e = np.exp(z - z.max())
+        assert out[key] == pytest.approx((e / e.sum()) @ v, abs=1e-9)
+    alone = [c for key, c in out.items() if key not in set(rows.groupby(["slide_id", "patch_id"]).groups)]
+    assert alone == [[0.0] * 3]
+
+
 def test_no_neighbours_equals_plain_mode(spark):
     df = lattice(spark, 4, 1)
     a = {r.patch_id: r.x for r in K.context_vectors(df, "none", 4).collect()}
