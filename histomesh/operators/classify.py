@@ -51,10 +51,11 @@ def context_vectors(
 
 
 def train_habitat_classifier(
-    train: DataFrame, n_classes: int, hidden=(256, 128), max_iter: int = 30, balanced: bool = True, patch="patch_id", seed: int = 42
+    train: DataFrame, n_classes: int, hidden=(256, 128), max_iter: int = 30, balanced: bool = True, slide="slide_id", patch="patch_id",
+    seed: int = 42,
 ):
     """Feed-forward head on ``x``; balanced training draws every class equally often."""
-    rows = balanced_resample(train, "label", patch, seed) if balanced else train
+    rows = balanced_resample(train, "label", [slide, patch], seed) if balanced else train
     data = durable(rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")))
     width = data.first()["features"].size
     model = MultilayerPerceptronClassifier(layers=[width, *hidden, n_classes], maxIter=max_iter, seed=seed)
@@ -76,7 +77,7 @@ def run_mode(
         name: context_vectors(durable(tagged.filter(F.col("split") == name).drop("split")), mode, dim, slide=slide, patch=patch, **context)
         for name in ("train", "val")
     }
-    model = train_habitat_classifier(parts["train"], n_classes, hidden, max_iter, patch=patch, seed=seed)
+    model = train_habitat_classifier(parts["train"], n_classes, hidden, max_iter, slide=slide, patch=patch, seed=seed)
     return predict(model, parts["val"], slide, patch).withColumn("mode", F.lit(mode))
 
 
