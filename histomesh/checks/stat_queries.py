@@ -9,6 +9,7 @@ from histomesh.operators import evaluate as E
 from histomesh.operators import grouptests as G
 from histomesh.operators import signature as M
 from histomesh.operators import survival as S
+from histomesh.plans import outcome
 
 R = Registry()
 
@@ -393,6 +394,12 @@ def null_calibration(t: Tables):
     return rounded(M.null_calibration(t.features_long(), t.clinical()), "min_p")
 
 
+@R.add("null_chain")
+def null_chain(t: Tables):
+    """Selections of an outcome dealt out by hash, which SQL can't repeat; half of the few features are let through."""
+    return rounded(outcome.null_chain(t.features_wide(), t.clinical(), top_fraction=0.5), "value")
+
+
 # ---- group differences
 
 GROUPED = with_tables("features_long", "clinical") + """, f as (select x.feature, c.os_event as g2, c.subtype as g, x.value as v from features_long x join clinical c on c.sample_id = x.sample_id where x.value is not null)"""

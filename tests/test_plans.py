@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from histomesh.checks.fixtures import Tables
 from histomesh.operators import lattice as G
+from histomesh.operators import signature as M
 from histomesh.plans import context_benchmark, neighbourhoods, outcome
 from histomesh.session import durable
 
@@ -57,6 +58,21 @@ def test_outcome_chain(spark):
     assert outcome.consensus_sweep(wide, (2, 3), 3).filter("chosen").count() == 1
 
 
+def test_null_chain(spark):
+    """The whole chain runs on an outcome dealt out anew; the outcomes stay the same ones."""
+    t = Tables(spark, SF)
+    wide, clinical = durable(t.features_wide()), durable(t.clinical())
+    dealt = M.permuted_outcome(clinical)
+    both = [sorted((r.os_time, r.os_event) for r in d.collect()) for d in (clinical, dealt)]
+    assert both[0] == both[1]
+    got = {r.metric: r.value for r in outcome.null_chain(wide, clinical, top_fraction=0.6, lasso_repeats=2).collect()}
+    assert got["n_unsettled"] == 0 and got["n_significant"] <= 1
+    assert 1 <= got["n_kept"] <= got["n_tested"] == len(wide.columns) - 1 and got["n_selected"] <= got["n_kept"]
+    assert (got["c_index"] is None) == (got["n_selected"] < 2)
+    if got["n_selected"] >= 2:
+        assert got["c_index"] < 0.7 and 0.2 < got["c_index_held_out"] < 0.8
+
+
 def test_source_rules():
     """No local checkpoints, no cross joins, no row-at-a-time UDFs anywhere in the library."""
     banned = re.compile(r"localCheckpoint|crossJoin|F\.udf\(|toLocalIterator|\.rdd\b")
