@@ -4,9 +4,9 @@ A line is the set of its lower-case words. Words are ordered by rarity (a table
 the whole corpus; equal counts by hash). Two sets with a Jaccard similarity of t or more share one of
 their first ``n - ceil(t n) + 1`` words (prefix filter), have sizes within t (length filter), can
 still reach the overlap behind the places of the shared word (positional filter), and differ in
-at most ``(1 - t) / (1 + t)`` of both sizes, which a 64-bit parity map of the words bounds from below.
-A semi-join on prefix words finds the lines that have any partner left; it gives each line once,
-however many partners it has. Only their words are read again, for the exact test.
+at most ``(1 - t) / (1 + t)`` of both sizes, which a parity map of the words (64, 128 or 256 bits by
+their number) bounds from below. A semi-join on prefix words finds the lines that have any partner left;
+it gives each line once, however many partners it has. Only their words are read again, for the exact test.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from histomesh.session import durable, release
 
 BUCKETS = 1 << 16
-WIDE = 4
-SHORT = 64  # words up to which 64 bits of parity tell lines apart
+ROUNDS = 3
+PARITY = [f"w{k}" for k in range(4)]
+SHORT, MIDDLE = 64, 160  # words up to which 64 and 128 bits of parity tell lines apart
 FILTER_WORDS = 1 << 16
 ODD_BLANKS = "\t\x0b\x0c\r"
 
@@ -73,6 +74,23 @@ def _prefix_size(n: Column, t: Fraction) -> Column:
     return n - F.ceil(n * t.numerator / t.denominator - 1e-9) + 1
 
 
+def _parity(words: Column, n: Column | None = None) -> list[Column]:
+    """w0, w1, ...: one parity map of 64, 128 or 256 bits, by the number of words ``n``, or of 256; what is not needed is 0."""
+    zero = F.lit(0).cast("long")
+
+    def part(k: int, of: int) -> Column:
+        def flip(a: Column, w: Column) -> Column:
+            own = F.lit(1).cast("long") if of == 1 else (F.shiftright(w, 6).bitwiseAND(F.lit(of - 1)) == k).cast("long")
+            return a.bitwiseXOR(F.call_function("shiftleft", own, w.bitwiseAND(F.lit(63)).cast("int")))
+
+        return F.aggregate(words, zero, flip) if k < of else zero
+
+    def sized(k: int) -> Column:
+        return part(k, 4) if n is None else F.when(n <= SHORT, part(k, 1)).when(n <= MIDDLE, part(k, 2)).otherwise(part(k, 4))
+
+    return [sized(k).alias(w) for k, w in enumerate(PARITY)]
+
+
 def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int) -> DataFrame:
     """One row per different line of ``least_words`` or more words, or of ``least_chars`` characters with any:
     its first place, number of words, parity map, and prefix (32 bits of each word's hash, rarest
@@ -82,12 +100,10 @@ def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int)
         _word_hashes(F.col("body")),
         lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
     )
-    one = F.lit(1).cast("long")
 
     def summary(s: Column) -> Column:
-        parity = F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
         prefix = F.transform(F.slice(s, 1, F.greatest(_prefix_size(F.size(s), t), F.lit(0)).cast("int")), lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
-        return F.struct(F.size(s).alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+        return F.struct(F.size(s).alias("n"), *_parity(s, F.size(s)), prefix.alias("prefix"))
 
     # the lambda holds the sorted words, so that they are worked out once per line; a filter on their
     # number stands behind the aggregate, as Spark would push it down with a second copy of the work
@@ -97,32 +113,47 @@ def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int)
     wordy = F.col("f.found.n") >= least_words
     prefix = F.when(wordy, F.col("f.found.prefix")).otherwise(F.array().cast("array<int>")).alias("prefix")
     sets = sets.filter(wordy | (F.col("long") & (F.col("f.found.n") > 0)))
-    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", "f.found.parity", prefix))
+    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", *[f"f.found.{w}" for w in PARITY], prefix))
 
 
-def _may_match(a: str, b: str, t: Fraction) -> Column:
-    """Length, positional and parity filters on the columns ``n``, ``at`` and ``parity`` of two aliases."""
-    num, den = t.numerator, t.denominator
+def _near_size(a: str, b: str, t: Fraction) -> Column:
+    """Length filter on the columns ``n`` of two aliases."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    # an overlap of o is enough if o >= t / (1 + t) * (n + m)
-    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))  # at the first word they share, nothing stands before
-    return (
-        (n * den >= m * num) & (m * den >= n * num)
-        & (rest * (num + den) >= (n + m) * num)
-        & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) * (num + den) <= (n + m) * (den - num))
-    )
+    return (n * t.denominator >= m * t.numerator) & (m * t.denominator >= n * t.numerator)
+
+
+def _reachable(a: str, b: str, t: Fraction) -> Column:
+    """Positional filter on the columns ``n`` and ``at`` of two aliases: at the first word they share,
+    nothing shared stands before, and an overlap of t / (1 + t) of both sizes is needed."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return rest * (t.numerator + t.denominator) >= (n + m) * t.numerator
+
+
+def _apart(a: str, b: str, sized: bool = False) -> Column:
+    """Bits in which the parity maps differ; of maps ``sized`` by the number of words, the wider one is
+    folded to the width of the other."""
+    w = [F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")) for w in PARITY]
+    if not sized:
+        return sum((F.bit_count(x) for x in w[1:]), F.bit_count(w[0]))
+    fewer = F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    even, odd = w[0].bitwiseXOR(w[2]), w[1].bitwiseXOR(w[3])
+    widest = F.bit_count(w[0]) + F.bit_count(w[1]) + F.bit_count(w[2]) + F.bit_count(w[3])
+    return F.when(fewer <= SHORT, F.bit_count(even.bitwiseXOR(odd))).when(fewer <= MIDDLE, F.bit_count(even) + F.bit_count(odd)).otherwise(widest)
 
 
-def _prefix_rows(sets: DataFrame) -> DataFrame:
-    # in the order in which posexplode gives them: both sides of a self-join then have one exchange
-    return sets.select("id", "n", "parity", F.posexplode("prefix").alias("at", "word"))
+def _close(a: str, b: str, t: Fraction, sized: bool = False) -> Column:
+    """Parity filter on two aliases."""
+    return _apart(a, b, sized) * (t.numerator + t.denominator) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (t.denominator - t.numerator)
 
 
 def involved(sets: DataFrame, t: Fraction) -> DataFrame:
     """The rows of ``sets`` that some other line may match."""
-    rows = _prefix_rows(sets)
+    # in the order in which posexplode gives them: both sides of the self-join then have one exchange
+    rows = sets.select("id", "n", *PARITY, F.posexplode("prefix").alias("at", "word"))
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _may_match("a", "b", t), "left_semi")
+    may = _near_size("a", "b", t) & _reachable("a", "b", t) & _close("a", "b", t, sized=True)
+    met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & may, "left_semi")
     ids = durable(met.groupBy("id").agg(F.count(F.lit(1)).alias("words")).select("id"))
     out = durable(sets.join(ids, "id"))
     release(ids)
@@ -142,17 +173,6 @@ def _among(rows: DataFrame, *columns: Column) -> Column:
     return F.get(table, word.cast("int")).bitwiseAND(mask) != 0
 
 
-def _wide_parity() -> list[Column]:
-    """w0, w1, ...: parity maps of 64 * WIDE bits of the column ``_hashes``, which still tell long lines apart."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-    def part(k: int) -> Column:
-        own = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == k
-        return F.aggregate(F.filter("_hashes", own), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-
-    return [part(k).alias(f"w{k}") for k in range(WIDE)]
-
-
 def _confirmed(pairs: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
     """The later lines (id, id2) of ``pairs`` whose word sets reach the similarity."""
     side = lambda s: bodies.select(F.col("id").alias(f"{s}id"), F.col("id2").alias(f"{s}id2"), F.col("body").alias(f"{s}body"))
@@ -167,41 +187,53 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
     return both.filter(F.exists(words, reaches)).select(F.col("lid").alias("id"), F.col("lid2").alias("id2")).distinct()
 
 
+def _led(open_lines: DataFrame, pool: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Pairs of an open line and the earliest line of ``pool`` that shares one of its last three prefix
+    words, the least rare ones; and the leaders (word, id, id2) of those words."""
+    last = lambda rows: rows.select("id", "id2", "n", "place", *PARITY, F.explode(F.slice("prefix", F.greatest(F.size("prefix") - 2, F.lit(1)), 3)).alias("word"))
+    heads = last(pool).groupBy("word").agg(F.min(F.struct("place", "id", "id2", "n", *PARITY)).alias("h")).select("word", "h.*")
+    l, e = last(open_lines).alias("l"), heads.alias("e")
+    met = l.join(e, (F.col("l.word") == F.col("e.word")) & (F.col("e.place") < F.col("l.place")) & _near_size("l", "e", t) & _close("l", "e", t))
+    best = met.groupBy(F.col("l.id").alias("lid"), F.col("l.id2").alias("lid2")).agg(F.min(F.struct(_apart("l", "e").alias("apart"), F.col("e.id").alias("eid"), F.col("e.id2").alias("eid2"))).alias("e"))
+    return best.select("lid", "lid2", "e.eid", "e.eid2"), heads.select("id", "id2").distinct()
+
+
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """(id, id2) of the lines with a similar line whose first place is earlier.
 
-    Of the lines that may match, each first meets one: the earliest that shares one of the last three
-    words of both prefixes, the least rare ones. In a crowd of variants that settles nearly all. The
-    lines still open meet all earlier ones.
+    Of the lines that may match, each first meets leaders, in ROUNDS rounds: the closest of the earliest
+    lines that share one of the last three words of both prefixes; a line leads in one round only, and
+    only while nothing earlier resembles it. In a crowd of variants that settles nearly all. The
+    lines still open meet all earlier ones, each at the first prefix word they share.
     """
-    known = involved(sets, t)
-    places = known.select("place.doc_id", "place.line")
+    met_any = involved(sets, t)
+    places = met_any.select("place.doc_id", "place.line")
     found = lines_of(docs).filter(_among(places, F.col("doc_id"), F.col("line"))).select(F.struct("doc_id", "line").alias("place"), "body")
-    bodies = durable(found.join(known.select("id", "id2", "place"), "place").select("id", "id2", "body").dropDuplicates(["id", "id2"]))
-    long = known.filter(F.col("n") > SHORT).select("id", "id2").join(bodies, ["id", "id2"]).withColumn("_hashes", _word_hashes(F.col("body")))
-    wide = durable(known.select("id", "id2", "place", "n").join(long.select("id", "id2", *_wide_parity()), ["id", "id2"], "left"))
-    last = F.slice("prefix", F.greatest(F.size("prefix") - 2, F.lit(1)), 3)
-    few = known.select("id", "id2", "n", "place", F.explode(last).alias("word"))
-    led = few.join(few.groupBy("word").agg(F.min(F.struct("place", "id", "id2", "n")).alias("e")), "word")
-    led = led.filter((F.col("e.place") < F.col("place")) & (F.col("n") * t.denominator >= F.col("e.n") * t.numerator) & (F.col("e.n") * t.denominator >= F.col("n") * t.numerator))
-    led = led.groupBy(F.col("id").alias("lid"), F.col("id2").alias("lid2")).agg(F.min(F.struct("e.place", "e.id", "e.id2")).alias("e"))
-    first = durable(_confirmed(led.select("lid", "lid2", F.col("e.id").alias("eid"), F.col("e.id2").alias("eid2")), bodies, t))
-    still = _prefix_rows(known.join(first, ["id", "id2"], "left_anti"))
-    same = (F.col("l.word") == F.col("e.word")) & (F.col("l.id") != F.col("e.id")) & _may_match("l", "e", t)
-    met = still.alias("l").join(_prefix_rows(known).alias("e"), same).select(F.col("l.id").alias("lid"), F.col("e.id").alias("eid")).distinct()
-    names = ["id2", "place", "n", *[f"w{k}" for k in range(WIDE)]]
-    side = lambda s: wide.select(F.col("id").alias(f"{s}id"), *[F.col(c).alias(f"{s}{c}") for c in names])
-    apart = sum((F.bit_count(F.col(f"lw{k}").bitwiseXOR(F.col(f"ew{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("lw0").bitwiseXOR(F.col("ew0"))))
-    close = F.coalesce(apart * (t.numerator + t.denominator) <= (F.col("ln") + F.col("en")) * (t.denominator - t.numerator), F.lit(True))
-    ordered = met.join(side("l"), "lid").join(side("e"), "eid").filter((F.col("eplace") < F.col("lplace")) & close)
-    ordered = durable(ordered.select("lid", "lid2", "eid", "eid2", F.coalesce(apart, F.lit(0)).alias("apart")))
+    bodies = durable(found.join(met_any.select("id", "id2", "place"), "place").select("id", "id2", "body").dropDuplicates(["id", "id2"]))
+    # few lines are left: 256 bits for each of them keep lines apart that just miss the threshold
+    wide = bodies.withColumn("_hashes", _word_hashes(F.col("body"))).select("id", "id2", *_parity(F.col("_hashes")))
+    known = durable(met_any.drop(*PARITY).join(wide, ["id", "id2"]))
+    settled, still, pool = [], known, known
+    for _ in range(ROUNDS):
+        pairs, heads = _led(still, pool, t)
+        settled.append(durable(_confirmed(pairs, bodies, t)))
+        still = still.join(settled[-1], ["id", "id2"], "left_anti")
+        pool = pool.join(settled[-1], ["id", "id2"], "left_anti").join(heads, ["id", "id2"], "left_anti")
+    rows = lambda of: of.select("id", "id2", "place", "n", *PARITY, "prefix", F.explode("prefix").alias("word"))
+    first = F.get(F.array_intersect("l.prefix", "e.prefix"), F.lit(0)) == F.col("l.word")
+    same = (F.col("l.word") == F.col("e.word")) & (F.col("e.place") < F.col("l.place")) & _near_size("l", "e", t) & _close("l", "e", t) & first
+    met = rows(still).alias("l").join(rows(known).alias("e"), same)
+    names = [F.col(f"{s}.{c}").alias(s + c) for s in "le" for c in ("id", "id2")]
+    ordered = durable(met.select(*names, _apart("l", "e").alias("apart")))
     # one partner settles a line: the closest is read first, the others only for lines it doesn't settle
     closest = ordered.groupBy("lid", "lid2").agg(F.min(F.struct("apart", "eid", "eid2")).alias("e"))
-    second = durable(_confirmed(closest.select("lid", "lid2", "e.eid", "e.eid2"), bodies, t))
-    settled = second.select(F.col("id").alias("lid"), F.col("id2").alias("lid2"))
-    third = _confirmed(ordered.join(settled, ["lid", "lid2"], "left_anti").select("lid", "lid2", "eid", "eid2"), bodies, t)
-    out = durable(first.unionAll(second).unionAll(third).distinct())
-    release(known, bodies, wide, first, ordered, second)
+    settled.append(durable(_confirmed(closest.select("lid", "lid2", "e.eid", "e.eid2"), bodies, t)))
+    done = settled[-1].select(F.col("id").alias("lid"), F.col("id2").alias("lid2"))
+    third = _confirmed(ordered.join(done, ["lid", "lid2"], "left_anti").select("lid", "lid2", "eid", "eid2"), bodies, t)
+    for more in settled:
+        third = third.unionAll(more)
+    out = durable(third.distinct())
+    release(met_any, known, bodies, ordered, *settled)
     return out
 
 
