@@ -155,7 +155,7 @@ def involved(sets: DataFrame, t: Fraction) -> DataFrame:
     may = _near_size("a", "b", t) & _reachable("a", "b", t) & _close("a", "b", t, sized=True)
     met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & may, "left_semi")
     ids = durable(met.groupBy("id").agg(F.count(F.lit(1)).alias("words")).select("id"))
-    out = durable(sets.join(ids, "id"))
+    out = durable(sets.filter(_among(ids, F.col("id"))).join(ids, "id"))  # few rows of a wide table are moved
     release(ids)
     return out
 
@@ -222,7 +222,9 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     rows = lambda of: of.select("id", "id2", "place", "n", *PARITY, "prefix", F.explode("prefix").alias("word"))
     first = F.get(F.array_intersect("l.prefix", "e.prefix"), F.lit(0)) == F.col("l.word")
     same = (F.col("l.word") == F.col("e.word")) & (F.col("e.place") < F.col("l.place")) & _near_size("l", "e", t) & _close("l", "e", t) & first
-    met = rows(still).alias("l").join(rows(known).alias("e"), same)
+    still = durable(still)
+    earlier = rows(known).filter(_among(still.select(F.explode("prefix").alias("word")), F.col("word")))
+    met = rows(still).alias("l").join(earlier.alias("e"), same)
     names = [F.col(f"{s}.{c}").alias(s + c) for s in "le" for c in ("id", "id2")]
     ordered = durable(met.select(*names, _apart("l", "e").alias("apart")))
     # one partner settles a line: the closest is read first, the others only for lines it doesn't settle
@@ -233,7 +235,7 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     for more in settled:
         third = third.unionAll(more)
     out = durable(third.distinct())
-    release(met_any, known, bodies, ordered, *settled)
+    release(met_any, known, bodies, still, ordered, *settled)
     return out
 
 
