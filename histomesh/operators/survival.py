@@ -174,7 +174,9 @@ def univariate_cox(
     """One Cox model per key: hr, 95% limits, z, p, n, events and the Benjamini-Hochberg q.
 
     All keys take their Newton steps together: one aggregate over the long table per round, and a
-    state table of one row per key. Keys that do not converge are dropped.
+    state table of one row per key. The step that is below ``tol`` is taken too, so what is left is of
+    its square: z is beta times the root of the events, which makes ``tol`` itself visible in long tables.
+    Keys that do not converge are dropped.
     """
     keys = list(keys)
     data = durable(_standardised(long, keys, time, event))
@@ -186,8 +188,8 @@ def univariate_cox(
         risk = risk_set_sums(slim.join(active, keys), [*keys, "beta"], "x", F.col("beta"), time, event)
         step = score_information(risk, [*keys, "beta"], F.col("beta")).drop("beta")
         joined = state.join(step.withColumnRenamed("information", "_info"), keys, "left")
-        # a drop in log-likelihood goes back to the last good beta with half the step
-        worse = F.col("_ll").isNotNull() & (F.col("loglik") < F.col("_ll") - 1e-10)
+        # a drop in log-likelihood beyond its rounding goes back to the last good beta with half the step
+        worse = F.col("_ll").isNotNull() & (F.col("loglik") < F.col("_ll") - 1e-10 - 1e-12 * F.abs("_ll"))
         newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(F.col("score"), F.col("_info"))))
         running = ~F.col("_done") & F.col("loglik").isNotNull()
         small = ~worse & (F.abs(newton) < tol)
@@ -195,7 +197,7 @@ def univariate_cox(
             joined.select(
                 *keys, "n", "events",
                 F.when(running & worse, F.col("_good") + F.col("_step") / 2)
-                .when(running & ~small, F.col("beta") + newton).otherwise(F.col("beta")).alias("beta"),
+                .when(running, F.col("beta") + F.coalesce(newton, F.lit(0.0))).otherwise(F.col("beta")).alias("beta"),
                 F.when(running & ~worse, F.col("loglik")).otherwise(F.col("_ll")).alias("_ll"),
                 F.when(running & worse, F.col("_step") / 2).when(running, newton).otherwise(F.col("_step")).alias("_step"),
                 F.when(running & ~worse, F.col("beta")).otherwise(F.col("_good")).alias("_good"),

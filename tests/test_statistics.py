@@ -101,6 +101,15 @@ def test_univariate_cox_matches_newton(spark):
         assert r.p == pytest.approx(math.erfc(abs(beta[0] / se) / math.sqrt(2)), rel=1e-5)
 
 
+def test_cox_takes_the_last_step_too(spark):
+    """A step below ``tol`` shows in z of long tables, whose factor to beta is the root of the information."""
+    x, t, e = survival_table()
+    long = pd.DataFrame({"feature": "f", "sample_id": range(len(t)), "value": x[:, 0], "os_time": t, "os_event": e})
+    z = (x[:, [0]] - x[:, 0].mean()) / x[:, 0].std(ddof=1)
+    got = S.univariate_cox(spark.createDataFrame(long), tol=0.01).first()
+    assert got.beta == pytest.approx(fit(z, t, e)[0], abs=1e-4)
+
+
 def test_cox_skips_constant_features_and_rare_events(spark):
     rows = [(f, i, float(i % 2 if f == "two" else i), i + 1, int(i < 3 or f == "two")) for f in ("two", "rare") for i in range(30)]
     df = spark.createDataFrame(rows, "feature string, sample_id int, value double, os_time int, os_event int")
