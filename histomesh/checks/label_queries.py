@@ -209,7 +209,8 @@ def tissue_mask(t: Tables):
     thirty = F.lit(list(range(30)))
     grid = t.cells().select(F.col("image_id").alias("slide_id")).distinct()
     grid = grid.withColumn("mx", F.explode(thirty)).withColumn("my", F.explode(thirty))
-    return grid.join(occ, ["slide_id", "mx", "my"], "left").select("slide_id", "mx", "my", F.coalesce("tissue", F.lit(0)).alias("tissue"))
+    # no broadcast: the size estimate of rows derived from all cells is too low by far
+    return grid.join(occ.hint("merge"), ["slide_id", "mx", "my"], "left").select("slide_id", "mx", "my", F.coalesce("tissue", F.lit(0)).alias("tissue"))
 
 
 @R.add("tile_candidates", with_tables("cells") + MASK_SQL + """, tiles as (select s.slide_id, cast(a.x as int) as x0, cast(b.y as int) as y0 from (select distinct slide_id from grid) s, (select unnest(range(0, 960-224+1, 112)) as x) a, (select unnest(range(0, 960-224+1, 112)) as y) b)

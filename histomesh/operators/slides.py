@@ -41,25 +41,28 @@ def tile_candidates(
 
     ``slides``: slide, w, h, mask_w, mask_h. ``mask``: slide, mx, my, tissue (0/1) per mask pixel.
     """
-    origin = lambda side: F.explode(
-        F.when(F.col(side) >= patch, F.sequence(F.lit(0), (F.col(side) - patch).cast("int"), F.lit(stride))).otherwise(
-            F.array().cast("array<int>")
-        )
-    )
-    def window(start, mask_side, side):
-        scale = F.col(mask_side) / F.col(side)
-        lo = F.floor(F.col(start) * scale).cast("int")
-        hi = F.greatest(lo + 1, F.floor((F.col(start) + patch) * scale).cast("int"))
-        return F.sequence(lo, F.least(hi, F.col(mask_side)) - 1)
-
-    tiles = slides.withColumn("y0", origin("h")).withColumn("x0", origin("w"))
-    covered = (
-        tiles.withColumn("my", F.explode(window("y0", "mask_h", "h")))
-        .withColumn("mx", F.explode(window("x0", "mask_w", "w")))
-        .select(slide, "x0", "y0", "mx", "my")
+    def origins(at, mask_side, side):
+        """Origins whose mask window holds pixel ``at``: those around it, tested as they stand."""
+        scale = F.try_divide(F.col(mask_side), F.col(side))
+        last = F.floor((F.col(side) - patch) / stride).cast("int")
+        low = F.greatest(F.lit(0), (F.floor((F.try_divide(F.col(at), scale) - patch) / stride) - 1).cast("int"))
+        high = F.least(last, (F.floor(F.try_divide(F.col(at) + 1, scale) / stride) + 1).cast("int"))
+        near = F.when((F.col(side) >= patch) & (low <= high), F.transform(F.sequence(low, high), lambda i: i * stride))
+
+        def holds(start):
+            lo = F.floor(start * scale).cast("int")
+            hi = F.greatest(lo + 1, F.floor((start + patch) * scale).cast("int"))
+            return (lo <= F.col(at)) & (F.col(at) < F.least(hi, F.col(mask_side)))
+
+        return F.explode(F.filter(near, holds))
+
+    # first along x, then along y: a pixel is copied only to the few tiles of one axis at a time
+    pixels = mask.join(slides.select(slide, "w", "h", "mask_w", "mask_h"), slide)
+    lines = pixels.withColumn("x0", origins("mx", "mask_w", "w")).groupBy(slide, "x0", "my", "h", "mask_h").agg(
+        F.sum(F.col("tissue").cast("double")).alias("_s"), F.count("tissue").alias("_n")
     )
-    tissue = covered.join(mask, [slide, "mx", "my"]).groupBy(slide, "x0", "y0").agg(
-        F.avg(F.col("tissue").cast("double")).alias("tissue_frac")
+    tissue = lines.withColumn("y0", origins("my", "mask_h", "h")).groupBy(slide, "x0", "y0").agg(
+        F.try_divide(F.sum("_s"), F.sum("_n")).alias("tissue_frac")
     )
     return tissue.filter(F.col("tissue_frac") >= min_tissue)
 
