@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from histomesh.llm.sample import whole_texts
 from histomesh.llm.text import blocks, buffer_of, mix
+from histomesh.operators.order import quantiles
 from histomesh.session import durable
 
 ORDER = 4
@@ -223,12 +223,12 @@ def entropies(models: Models, buffer: np.ndarray, offsets: np.ndarray) -> tuple[
     return out / np.maximum(size, 1)[:, None], size, letters
 
 
-def fit(docs: DataFrame, train_rows: Column, calibration_docs: int = 1000, calibration_bytes: int = 4 << 20, quantile: float = 0.995, slack: float = 0.1) -> Models | None:
+def fit(docs: DataFrame, train_rows: Column, quantile: float = 0.995, slack: float = 0.1) -> Models | None:
     """Models from all documents that satisfy ``train_rows`` and have a lang; None if there are none.
 
     Every four-gram counts, so the model, which the driver and every task hold, grows with the number
-    of different four-grams. The rejection limits come from a sample of training
-    documents of at most ``calibration_docs`` rows and ``calibration_bytes`` per language.
+    of different four-grams. The rejection limit of a language is a quantile over all training
+    documents that the models give it, or over those of all languages if it has fewer than 20.
     """
     known = docs.filter(train_rows)
     counted = durable(count_grams(known))
@@ -238,18 +238,15 @@ def fit(docs: DataFrame, train_rows: Column, calibration_docs: int = 1000, calib
     if not len(langs):
         return None
     models = kneser_ney({lang: (packed[langs == lang], n[langs == lang]) for lang in set(langs)})
-    ids = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("lang").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_docs)
-    best: dict[int, list[float]] = {}
-    for text, _ in whole_texts(docs, ids, calibration_bytes):
-        data = np.frombuffer(text.encode(), np.uint8)
-        values, size, letters = entropies(models, data, np.array([0, len(data)]))
-        if letters[0]:
-            best.setdefault(int(values[0].argmin()), []).append(float(values[0].min()))
-    pooled = [x for xs in best.values() for x in xs]
-    models.limits = np.array([
-        np.quantile(best[i], quantile) * (1 + slack) if len(best.get(i, [])) >= 20 else np.quantile(pooled, quantile) * (1 + slack) if pooled else np.inf
-        for i in range(len(models.langs))
-    ])
+    models.limits = np.full(len(models.langs), np.inf)
+    found = predict(known.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text")), models, reject=False)
+    scored = durable(found.filter(F.col("cross_entropy").isNotNull()).select("lang_pred", "cross_entropy"))
+    sizes = {r["lang_pred"]: r["n"] for r in scored.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    own = {r["lang_pred"]: r["q"] for r in quantiles(scored, ["lang_pred"], "cross_entropy", {"q": quantile}).collect()}
+    if any(sizes.get(lang, 0) < 20 for lang in models.langs) and sizes:
+        pooled = quantiles(scored, [], "cross_entropy", {"q": quantile}).first()["q"]
+        own = {lang: own[lang] if sizes.get(lang, 0) >= 20 else pooled for lang in models.langs}
+    models.limits = np.array([own.get(lang, np.inf) * (1 + slack) for lang in models.langs])
     return models
 
 

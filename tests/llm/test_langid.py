@@ -117,3 +117,15 @@ def test_a_large_language_takes_nothing_from_a_small_one(spark):
     assert models.langs == ["large", "small"] and len(models.grams[3].hashes) > 1 << 21
     docs = spark.createDataFrame([(1, "banana koko")], "doc_id long, text string")
     assert L.predict(docs, models, reject=False).first().lang_pred == "small"
+
+
+def test_rejection_limits_come_from_all_training_documents(spark):
+    """More documents than any sample of a thousand: the limits are the quantiles over all of them."""
+    rng = np.random.default_rng(11)
+    letters = {"aa": "abcde fgh", "bb": "klmno pqr"}
+    rows = [(i, "".join(rng.choice(list(letters[lang]), rng.integers(3, 30))), lang) for i in range(1800) for lang in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = L.fit(docs, F.lit(True))
+    scored = [(r.lang_pred, r.cross_entropy) for r in L.predict(docs, models, reject=False).collect() if r.cross_entropy is not None]
+    want = [np.quantile([e for lang, e in scored if lang == name], 0.995) * 1.1 for name in models.langs]
+    assert np.allclose(models.limits, want, rtol=1e-9)
