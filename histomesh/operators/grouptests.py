@@ -6,7 +6,7 @@ test reduces to counts and sums per (feature, group), or per distinct value, bef
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.functions.tails import f_tail, gamma_tail, log_gamma, normal_two_sided, t_two_sided
@@ -118,9 +118,9 @@ def fisher_exact(table: DataFrame, keys=("gene",), hit: str = "mutated", group:
     a, b, c, d = (F.col(x) for x in "abcd")
     low, high = F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)
     weight = lambda k: _log_choose(a + b, k) + _log_choose(c + d, a + c - k)
-    each = cells.withColumn("_k", F.explode(F.sequence(low, high))).withColumn("_w", weight(F.col("_k")))
-    own = F.max(F.when(F.col("_k") == a, F.col("_w"))).over(Window.partitionBy(*keys))  # as many rows as tables with these margins
-    each = each.withColumn("_own", own).withColumn("_p", F.exp(F.col("_w") - _log_choose(a + b + c + d, a + c)))
+    # the table's own weight needs no other row, so its margins' tables are summed where they arise
+    each = cells.withColumn("_own", weight(a)).withColumn("_k", F.explode(F.sequence(low, high))).withColumn("_w", weight(F.col("_k")))
+    each = each.withColumn("_p", F.exp(F.col("_w") - _log_choose(a + b + c + d, a + c)))
     total = F.sum(F.when(F.col("_w") <= F.col("_own") + 1e-7, F.col("_p")))
     out = each.groupBy(*keys, "a", "b", "c", "d").agg(F.least(F.lit(1.0), total).alias("p"))
     return out.select(*keys, "a", "b", "c", "d", F.when(b * c > 0, a * d / (b * c)).alias("odds_ratio"), "p")

@@ -2,10 +2,14 @@
 
 import math
 import re
+from unittest import mock
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from histomesh.checks.catalogue import QUERIES
+from histomesh.operators import cells as C
+from histomesh.operators import grouptests as G
 from histomesh.operators import slides as L
 from histomesh.operators import tiles as T
 
@@ -54,3 +58,22 @@ def test_windows_of_many_lines_are_reduced_together(spark):
         wide = np.pad(im, 1, mode="edge")
         for y in range(im.shape[0]):
             assert got[i, y] == [int(np.median(wide[y : y + 3, x : x + 3])) for x in range(im.shape[1])]
+
+
+def test_otsu_without_keys_does_not_deal_values_by_marker(spark):
+    df = spark.range(2000).selectExpr("cast(id % 97 as double) as a", "cast(id % 89 as double) as b")
+    with mock.patch.object(F, "broadcast", wraps=F.broadcast) as called:
+        got = C.otsu_thresholds(df, ["a", "b"]).collect()
+        assert called.call_count == 1 and len(got) == 2
+        C.otsu_thresholds(df.withColumn("k", F.lit(1)), ["a", "b"], ["k"])
+        assert called.call_count == 1  # with keys the extents grow with the table
+
+
+def test_fisher_exact_needs_no_window(spark):
+    table = spark.createDataFrame([(g, i % (g + 2) == 0, i % 3 == 0) for g in range(3) for i in range(40)], "gene int, mutated boolean, in_group boolean")
+    out = G.fisher_exact(table)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        odds = lambda k: math.comb(r.a + r.b, k) * math.comb(r.c + r.d, r.a + r.c - k)
+        every = [odds(k) for k in range(max(0, r.a - r.d), min(r.a + r.b, r.a + r.c) + 1)]
+        assert math.isclose(r.p, min(1.0, sum(x for x in every if x <= odds(r.a) * (1 + 1e-9)) / sum(every)), rel_tol=1e-6)
