@@ -145,7 +145,7 @@ def otsu_thresholds(
     extent = long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     level = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * 255).cast("int")
     hist = (
-        long.join(extent, group)
+        long.join(extent if keys else F.broadcast(extent), group)  # without keys one row per marker: the values stay where they are
         .groupBy(*group, "_lo", "_hi", level.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
