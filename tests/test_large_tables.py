@@ -8,10 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from histomesh.checks.catalogue import QUERIES
+from histomesh.operators import agreement as A
 from histomesh.operators import cells as C
+from histomesh.operators import cluster as U
 from histomesh.operators import grouptests as G
+from histomesh.operators import kmeans as KM
 from histomesh.operators import slides as L
 from histomesh.operators import tiles as T
+from histomesh.session import durable
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +81,36 @@ def test_fisher_exact_needs_no_window(spark):
         odds = lambda k: math.comb(r.a + r.b, k) * math.comb(r.c + r.d, r.a + r.c - k)
         every = [odds(k) for k in range(max(0, r.a - r.d), min(r.a + r.b, r.a + r.c) + 1)]
         assert math.isclose(r.p, min(1.0, sum(x for x in every if x <= odds(r.a) * (1 + 1e-9)) / sum(every)), rel_tol=1e-6)
+
+
+def test_starts_of_kmeans_share_their_passes(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0]], 400, 0) + rng.normal(0, 0.5, (1200, 2))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "image_id int, topics array<double>")
+    with mock.patch.object(KM, "members", wraps=KM.members) as passes:
+        out = U.assign_cns(rows, 3, 6, ["image_id"]).toPandas().sort_values("image_id")
+    assert passes.call_count <= 53 and max(len(c.args[1]) for c in passes.call_args_list) == 6
+    assert sorted(out.cn.value_counts()) == [400, 400, 400] and all(out.cn[i : i + 400].nunique() == 1 for i in (0, 400, 800))
+    (total, cost), (every, least) = KM.members(rows.selectExpr("topics as x", "xxhash64(image_id) as draw"), [np.array([[4.0, 0.0], [0.0, 4.0], [4.0, 0.0]]), x[:2]])
+    away = np.stack([((x - c) ** 2).sum(1) for c in ([4.0, 0.0], [0.0, 4.0])])
+    assert total[2, -2] == 0 and list(total[:2, -2]) == list(np.bincount(away.argmin(0)))  # equal centres: the first has the members
+    assert math.isclose(cost, away.min(0).sum()) and np.allclose(every[:, :2].sum(0), x.sum(0)) and least > 0
+    few = spark.createDataFrame([(i, [float(i % 2)]) for i in range(10)], "image_id int, topics array<double>")
+    assert U.assign_cns(few, 5, 2, ["image_id"]).select("cn").distinct().count() == 2  # fewer distinct rows than classes
+
+
+def test_sweep_judges_all_numbers_in_two_passes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((600, 3))
+    rows = durable(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "image_id int, topics array<double>"))
+    fits = [x[:4], x[10:17]]
+    with mock.patch.object(KM, "_totals", wraps=KM._totals) as passes:
+        got = KM.judged(rows.selectExpr("topics as x", "xxhash64(image_id) as draw"), fits)
+    assert passes.call_count == 2
+    labels = [((x[:, None] - c[None]) ** 2).sum(2).argmin(1).tolist() for c in fits]
+    for i, found in enumerate(got):
+        pdf = spark.createDataFrame([(v.tolist(), a, b) for v, a, b in zip(x, labels[i], labels[0])], "features array<double>, cn int, before int")
+        want = A.silhouette_squared(pdf).first()[0], A.davies_bouldin(pdf).first()[0], A.adjusted_rand(pdf, (), "before", "cn").first()["ari"], A.inertia(pdf).first()[0]
+        assert (found[2] is None) == (i == 0)
+        assert all(f is None or math.isclose(f, w, rel_tol=1e-9) for f, w in zip(found, want))
+    assert [r.k for r in U.sweep_k(rows, 2, 4, 1, ["image_id"]).collect()] == [2, 3, 4]
