@@ -114,3 +114,15 @@ def test_sweep_judges_all_numbers_in_two_passes(spark):
         assert (found[2] is None) == (i == 0)
         assert all(f is None or math.isclose(f, w, rel_tol=1e-9) for f, w in zip(found, want))
     assert [r.k for r in U.sweep_k(rows, 2, 4, 1, ["image_id"]).collect()] == [2, 3, 4]
+
+
+def test_groups_of_few_points_take_no_rounds(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, i, float(10 * (i % 3) + rng.normal()), float(rng.normal())) for g, n in enumerate((2, 60, 90)) for i in range(n)]
+    points = spark.createDataFrame([*rows, (3, 0, None, 1.0), (3, 1, 2.0, 1.0), (3, 2, 3.0, 1.0)], "s int, i int, a double, b double")
+    with mock.patch.object(U, "durable", wraps=U.durable) as written:
+        got = {(r.s, r.i): r.cluster for r in U.grouped_kmeans(points.filter("s < 3"), "s", "i", ["a", "b"]).collect()}
+        assert written.call_count == 2 and len(got) == 152
+    with mock.patch.object(U, "IN_ONE_TASK", 70):
+        both = {(r.s, r.i): r.cluster for r in U.grouped_kmeans(points, "s", "i", ["a", "b"]).collect()}
+    assert len(both) == 155 and {k: v for k, v in both.items() if k[0] < 3} == got  # by rounds the same classes
