@@ -116,10 +116,13 @@ def parse_results(lines: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(epochs, results) of every log file under ``path``."""
-    lines = log_lines(spark, path)
-    return parse_epochs(lines, ["file"], ["block", "line_no"]), parse_results(lines, ["file"])
+def read_log(spark: SparkSession, path: str, in_parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(epochs, results) of every log file under ``path``; ``in_parts``: the files of a folder, by name, are one log."""
+    lines, order = log_lines(spark, path), ["block", "line_no"]
+    if in_parts:
+        lines, order = lines.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")), ["file", *order]
+    keys = ["folder" if in_parts else "file"]
+    return parse_epochs(lines, keys, order), parse_results(lines, keys)
 
 
 def parse_key_values(column: str):

@@ -7,7 +7,7 @@ from unittest import mock
 import numpy as np
 from pyspark.sql import functions as F
 
-from histomesh.checks.catalogue import QUERIES
+from histomesh.checks.catalogue import QUERIES, SQL
 from histomesh.operators import agreement as A
 from histomesh.operators import cells as C
 from histomesh.operators import cluster as U
@@ -16,6 +16,8 @@ from histomesh.operators import kmeans as KM
 from histomesh.operators import slides as L
 from histomesh.operators import tiles as T
 from histomesh.session import durable
+from histomesh.sources import tables as X
+from tools.run_checks import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +128,16 @@ def test_groups_of_few_points_take_no_rounds(spark):
     with mock.patch.object(U, "IN_ONE_TASK", 70):
         both = {(r.s, r.i): r.cluster for r in U.grouped_kmeans(points, "s", "i", ["a", "b"]).collect()}
     assert len(both) == 155 and {k: v for k, v in both.items() if k[0] < 3} == got  # by rounds the same classes
+
+
+def test_read_log_is_written_in_parts(spark):
+    with mock.patch.object(X, "read_log", wraps=X.read_log) as read:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = QUERIES["read_log"](spark, SF)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        parts = spark.read.text(read.call_args.args[1])
+        assert len(parts.inputFiles()) > 1
+        con = oracle_connection(SF)
+        assert compare(got, con, SQL["read_log"]) == ""  # what a part announces holds in the next ones
