@@ -313,6 +313,23 @@ def test_resamples_against_plain_rounds(spark):
         assert {s: label[rep, s] for s in ids} == want
 
 
+def test_replicates_share_the_distances_to_equal_medoids(monkeypatch):
+    import pyarrow as pa
+
+    from histomesh.operators import consensus as N
+
+    rng = np.random.default_rng(12)
+    x, n_reps, pool = rng.normal(0, 1, (40, 3)), 50, rng.normal(0, 1, (6, 3))
+    drawn = [sorted(rng.choice(n_reps, 30, replace=False).tolist()) for _ in x]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(x.tolist()), pa.array(drawn, pa.list_(pa.int32()))], ["sample_id", "profile", "drawn"])
+    medoids, measured, plain = pool[[rng.permutation(6)[:4] for _ in range(n_reps)]], [], N._distances
+    monkeypatch.setattr(N, "_distances", lambda a, b: measured.append(len(a) * len(b)) or plain(a, b))
+    label = N._Batch(batch, 3, np.arange(n_reps), n_reps).labels(medoids)
+    assert sum(measured) == 40 * 6
+    d = np.stack([plain(x, medoids[:, c]) for c in range(4)])
+    assert (label == d.argmin(0)).all()
+
+
 def test_pair_consensus_against_all_pairs_and_planted_groups(spark, monkeypatch):
     from histomesh.operators import consensus as N
 
