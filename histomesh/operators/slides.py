@@ -87,13 +87,14 @@ def gaussian_blur(raster: DataFrame, sigma: float = 2.0, on=("slide_id",)) -> Da
         last = F.col(side) - 1
         here = F.col(axis)
         images = F.array_distinct(F.array(here, -here, 2 * last - here))
+        others = "row" if axis == "col" else "col"
+        # pixels are moved by line before they are multiplied by the taps; the sum then needs no exchange
         spread = (
-            out.withColumn("_img", F.explode(images))
+            out.repartition(*on, "h", "w", others).withColumn("_img", F.explode(images))
             .withColumn("_tap", F.explode(taps))
             .withColumn("_to", F.col("_img") + F.col("_tap.o"))
             .filter(F.col("_to").between(0, last))
         )
-        others = "row" if axis == "col" else "col"
         out = spread.groupBy(*on, "h", "w", others, F.col("_to").alias(axis)).agg(
             F.sum(F.col("value") * F.col("_tap.k")).alias("value")
         )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from histomesh.functions import tails as T
 from histomesh.operators import barrier as B
 from histomesh.operators import grouptests as G
+from histomesh.operators import slides as S
 
 
 def test_tails_against_published_quantiles(spark):
@@ -101,3 +102,31 @@ def test_barrier_against_plain_search(spark):
     want = [state[i] for i in range(120) if kinds[i] == "immune" and i in state and state[i][0] >= 2]
     r = B.barrier_score(cells(spark, [("a", i, str(kinds[i]), *map(float, xy[i])) for i in range(120)]), "immune", "tumour", "caf", k=3).first()
     assert (r.n_scored, r.n_positive) == (len(want), sum(on > 0 for _, on in want))
+
+
+def moved_rows(df) -> int:
+    """Rows that the exchanges of a finished plan moved."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    done, total = [plan.executedPlan()], 0
+    while done:
+        node = done.pop()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        done += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def raster(spark, rng, h, w, n):
+    at = rng.choice(h * w, n, replace=False)
+    rows = [(s, int(a) // w, int(a) % w, h, w, float(v)) for s in (1, 2) for a, v in zip(at, rng.integers(1, 9, n))]
+    return spark.createDataFrame(rows, "slide_id int, row int, col int, h int, w int, value double")
+
+
+def test_blur_moves_pixels_before_the_taps(spark):
+    rng = np.random.default_rng(22)
+    got = S.gaussian_blur(raster(spark, rng, 40, 40, 200), 1.0)
+    assert moved_rows(got) <= 2 * 200 + 2 * 1600
