@@ -106,18 +106,28 @@ def offset_xcorr(tissue: DataFrame, density: DataFrame, max_offset: int, on=("sl
 
     Rows are sparse: ``row, col, value`` (and the frame ``h, w`` on the density side). Mean-centring
     only adds a constant to every offset, so the sum over matching pixels ranks offsets alike.
+
+    Both rasters meet in tiles: a tissue pixel lies in one, a cell pixel is copied to those it may be moved
+    into. So pixels are moved once or a few times, not once for each offset.
     """
-    on = list(on)
-    shifts = F.explode(F.sequence(F.lit(-max_offset), F.lit(max_offset)))
-    moved = (
-        density.withColumn("dy", shifts).withColumn("dx", shifts)
-        .select(
-            *on, "dy", "dx", F.pmod(F.col("row") + F.col("dy"), F.col("h")).alias("row"),
-            F.pmod(F.col("col") + F.col("dx"), F.col("w")).alias("col"), F.col("value").alias("b"),
-        )
-    )
-    a = tissue.select(*on, "row", "col", F.col("value").alias("a"))
-    return moved.join(a, [*on, "row", "col"]).groupBy(*on, "dy", "dx").agg(F.sum(F.col("a") * F.col("b")).alias("corr"))
+    on, m, size = list(on), max_offset, max(16, 2 * max_offset + 2)
+    tile = lambda v: F.floor(v / size).cast("long")
+
+    def reached(at, side):
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-m), F.lit(m)), lambda d: tile(F.pmod(F.col(at) + d, F.col(side))))))
+
+    def offsets(to, at, side):
+        """Offsets that move ``at`` onto ``to`` in a circle of ``side`` pixels; null if none is in the window."""
+        first = F.pmod(F.col(to) - F.col(at) + m, F.col(side)).cast("int") - m
+        inside = F.col(to).between(0, F.col(side) - 1) & (first <= m)
+        return F.when(inside, F.sequence(first, F.lit(m), F.col(side).cast("int")))
+
+    cells = density.select(*on, F.col("row").alias("_r"), F.col("col").alias("_c"), "h", "w", F.col("value").alias("b"))
+    cells = cells.withColumn("_ty", reached("_r", "h")).withColumn("_tx", reached("_c", "w"))
+    a = tissue.select(*on, "row", "col", F.col("value").alias("a"), tile(F.col("row")).alias("_ty"), tile(F.col("col")).alias("_tx"))
+    met = cells.join(a, [*on, "_ty", "_tx"]).select(*on, offsets("row", "_r", "h").alias("dy"), offsets("col", "_c", "w").alias("dx"), (F.col("a") * F.col("b")).alias("ab"))
+    met = met.filter("dy is not null and dx is not null").withColumn("dy", F.explode("dy")).withColumn("dx", F.explode("dx"))
+    return met.groupBy(*on, "dy", "dx").agg(F.sum("ab").alias("corr"))
 
 
 def _verdict(best: DataFrame, on: list[str], um_per_px: float, limit_um: float) -> DataFrame:

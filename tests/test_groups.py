@@ -126,6 +126,31 @@ def raster(spark, rng, h, w, n):
     return spark.createDataFrame(rows, "slide_id int, row int, col int, h int, w int, value double")
 
 
+def test_offset_xcorr_in_tiles_moves_pixels_not_offsets(spark):
+    rng = np.random.default_rng(21)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for h, w, m in ((37, 40, 3), (5, 40, 4)):  # the second frame is smaller than the window
+            density, tissue = raster(spark, rng, h, w, 120), raster(spark, rng, h, w, 150).drop("h", "w")
+            got = S.offset_xcorr(tissue, density, m)
+            if h > 5:
+                assert moved_rows(got) < 2 * (120 * 4 + 150) + 2 * 49 * spark.sparkContext.defaultParallelism
+            frames = {}
+            for name, rows in (("d", density.collect()), ("t", tissue.collect())):
+                for r in rows:
+                    frames.setdefault((name, r.slide_id), np.zeros((h, w)))[r.row, r.col] = r.value
+            want = {}
+            for s in (1, 2):
+                for dy in range(-m, m + 1):
+                    for dx in range(-m, m + 1):
+                        value = (np.roll(frames["d", s], (dy, dx), (0, 1)) * frames["t", s]).sum()
+                        if value:
+                            want[s, dy, dx] = value
+            assert {(r.slide_id, r.dy, r.dx): r["corr"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_blur_moves_pixels_before_the_taps(spark):
     rng = np.random.default_rng(22)
     got = S.gaussian_blur(raster(spark, rng, 40, 40, 200), 1.0)
