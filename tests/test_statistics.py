@@ -184,6 +184,26 @@ def test_permutation_importance_orders_features(spark):
     assert imp["a"] > imp["b"] > imp["c"] - 0.02
 
 
+@pytest.mark.parametrize("n_risks", [1, 2, 5, 400, 2000])
+def test_concordance_splits_bits_of_ranks_in_tasks(spark, monkeypatch, n_risks):
+    from histomesh.operators import survival as V
+    from tests.test_groups import moved_rows
+
+    monkeypatch.setattr(V, "RANK_BITS", 6, raising=False)
+    rng = np.random.default_rng(31)
+    n = 2000 if n_risks == 2000 else 300
+    t, e = rng.integers(1, 40, n), rng.integers(0, 2, n)
+    r = rng.permutation(n) if n_risks == 2000 else rng.integers(0, n_risks, n)
+    df = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(t, e, r)], "os_time int, os_event int, risk double").repartition(4)
+    counts = V.concordance_counts(df)
+    if n_risks == 2000:
+        assert moved_rows(counts) < 4 * n  # 11 bits
+    got = counts.first()
+    able = (e[:, None] == 1) & ((t[:, None] < t[None]) | ((t[:, None] == t[None]) & (e[None] == 0)))
+    want = (able.sum(), (able & (r[:, None] > r[None])).sum(), (able & (r[:, None] == r[None])).sum())
+    assert (got.comparable, got.concordant, got.tied) == want
+
+
 def test_concordance_matches_pairs(spark):
     rng = np.random.default_rng(5)
     n = 150
