@@ -93,8 +93,8 @@ def _parity(words: Column, n: Column | None = None) -> list[Column]:
 
 def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int) -> DataFrame:
     """One row per different line of ``least_words`` or more words, or of ``least_chars`` characters with any:
-    its first place, number of words, parity map, and prefix (32 bits of each word's hash, rarest
-    first; none for lines of fewer words, which are compared by their text only)."""
+    its first place, number of words, parity map, prefix (32 bits of each word's hash, rarest
+    first; none for lines of fewer words, which are compared by their text only), and whether its text occurs again."""
     levels = rarity_levels(docs)
     order = F.transform(
         _word_hashes(F.col("body")),
@@ -109,11 +109,11 @@ def line_sets(docs: DataFrame, t: Fraction, least_words: int, least_chars: int)
     # number stands behind the aggregate, as Spark would push it down with a second copy of the work
     found = F.element_at(F.transform(F.array(F.sort_array(order)), summary), 1)
     lines = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")), found.alias("found"), (F.length("body") >= least_chars).alias("long"))
-    sets = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "found")).alias("f"), F.first("long").alias("long"))
+    sets = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "found")).alias("f"), F.first("long").alias("long"), (F.count(F.lit(1)) > 1).alias("repeated"))
     wordy = F.col("f.found.n") >= least_words
     prefix = F.when(wordy, F.col("f.found.prefix")).otherwise(F.array().cast("array<int>")).alias("prefix")
     sets = sets.filter(wordy | (F.col("long") & (F.col("f.found.n") > 0)))
-    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", *[f"f.found.{w}" for w in PARITY], prefix))
+    return durable(sets.select("id", "id2", F.struct("f.doc_id", "f.line").alias("place"), "f.found.n", *[f"f.found.{w}" for w in PARITY], prefix, "repeated"))
 
 
 def _near_size(a: str, b: str, t: Fraction) -> Column:
@@ -155,22 +155,25 @@ def involved(sets: DataFrame, t: Fraction) -> DataFrame:
     may = _near_size("a", "b", t) & _reachable("a", "b", t) & _close("a", "b", t, sized=True)
     met = a.hint("merge").join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & may, "left_semi")
     ids = durable(met.groupBy("id").agg(F.count(F.lit(1)).alias("words")).select("id"))
-    out = durable(sets.filter(_among(ids, F.col("id"))).join(ids, "id"))  # few rows of a wide table are moved
+    out = durable(_among(sets, ids, F.col("id")).join(ids, "id"))  # few rows of a wide table are moved
     release(ids)
     return out
 
 
-def _among(rows: DataFrame, *columns: Column) -> Column:
-    """Condition on ``columns`` that holds for all of ``rows`` and few others: a filter of 2 ** 22 bits,
-    whatever their number."""
+def _held(df: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with ``_held``: true for all rows whose ``columns`` are among those of ``rows``, and for few others: a filter
+    of 2 ** 22 bits, whatever their number. It is a broadcast table, as plans would repeat a literal of that size."""
     at = F.xxhash64(*columns).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
-    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    held = ["0"] * FILTER_WORDS
-    for r in rows.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")).collect():
-        held[r.word] = str(r.bits)
-    table = F.split(F.lit(",".join(held)), ",").cast("array<bigint>")
-    return F.get(table, word.cast("int")).bitwiseAND(mask) != 0
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    bits = rows.groupBy(F.shiftright(at, 6).alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    marked = df.withColumn("_mask", mask).withColumn("_own", F.shiftright(at, 6)).join(F.broadcast(bits), F.col("_own") == F.col("_word"), "left")
+    found = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False)).alias("_held")
+    return marked.select(*df.columns, found)
+
+
+def _among(df: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of ``df`` that ``_held`` marks."""
+    return _held(df, rows, *columns).filter("_held").drop("_held")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
@@ -208,7 +211,7 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     """
     met_any = involved(sets, t)
     places = met_any.select("place.doc_id", "place.line")
-    found = lines_of(docs).filter(_among(places, F.col("doc_id"), F.col("line"))).select(F.struct("doc_id", "line").alias("place"), "body")
+    found = _among(lines_of(docs), places, F.col("doc_id"), F.col("line")).select(F.struct("doc_id", "line").alias("place"), "body")
     bodies = durable(found.join(met_any.select("id", "id2", "place"), "place").select("id", "id2", "body").dropDuplicates(["id", "id2"]))
     # few lines are left: 256 bits for each of them keep lines apart that just miss the threshold
     wide = bodies.withColumn("_hashes", _word_hashes(F.col("body"))).select("id", "id2", *_parity(F.col("_hashes")))
@@ -223,7 +226,7 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
     first = F.get(F.array_intersect("l.prefix", "e.prefix"), F.lit(0)) == F.col("l.word")
     same = (F.col("l.word") == F.col("e.word")) & (F.col("e.place") < F.col("l.place")) & _near_size("l", "e", t) & _close("l", "e", t) & first
     still = durable(still)
-    earlier = rows(known).filter(_among(still.select(F.explode("prefix").alias("word")), F.col("word")))
+    earlier = _among(rows(known), still.select(F.explode("prefix").alias("word")), F.col("word"))
     met = rows(still).alias("l").join(earlier.alias("e"), same)
     names = [F.col(f"{s}.{c}").alias(s + c) for s in "le" for c in ("id", "id2")]
     ordered = durable(met.select(*names, _apart("l", "e").alias("apart")))
@@ -253,11 +256,13 @@ def removed_lines(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5),
     t = Fraction(threshold).limit_denominator(1000)
     sets = line_sets(docs, t, least_words, least_chars)
     gone = similar_to_earlier(docs, sets, t)
-    fate = durable(sets.select("id", "id2", "place").join(gone.withColumn("gone", F.lit(True)), ["id", "id2"], "left"))
+    # all places of a text that is gone go, and all but the first of one that occurs again; the others are not looked at
+    nowhere = F.lit(None).cast(sets.schema["place"].dataType).alias("place")
+    fate = durable(sets.filter("repeated").select("id", "id2", "place").unionAll(gone.select("id", "id2", nowhere)))
     release(sets, gone)
     places = lines_of(docs).select("doc_id", "line", *_identity(F.col("body")))
     later = (F.col("place.doc_id") != F.col("doc_id")) | (F.col("place.line") != F.col("line"))
-    out = places.join(fate, ["id", "id2"]).filter(F.coalesce("gone", F.lit(False)) | later)
+    out = _among(places, fate, F.col("id"), F.col("id2")).join(fate, ["id", "id2"]).filter(F.col("place").isNull() | later)
     lines = out.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     return lines.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed")
 
@@ -277,8 +282,8 @@ def clean(docs: DataFrame, threshold: Fraction | float = Fraction(4, 5), least_w
     With ``drop_spent``, a document goes that lost lines and has only blank lines left.
     """
     gone = durable(removed_lines(docs, threshold, least_words, least_chars))
-    touched = F.coalesce(_among(gone, F.col("doc_id").cast("long")), F.lit(False))
-    whole, cut = docs.filter(~touched), docs.filter(touched)  # only texts that may change are moved
+    marked = _held(docs, gone, F.col("doc_id").cast("long"))
+    whole, cut = (marked.filter(c).drop("_held") for c in ("not _held", "_held"))  # only texts that may change are moved
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     joined = cut.join(gone, cut["doc_id"].cast("long") == F.col("_id"), "left")
     lines = F.split(F.col("text").cast("string"), "\n")

@@ -117,3 +117,17 @@ def test_plan_is_native(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = L.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+def test_filters_are_no_literals_of_the_plan(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"a b c d e{j} f{j} g{j % 7}" for j in range(i, i + 6))) for i in range(9)], "doc_id long, text string")
+    plan = L.clean(docs)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+
+
+def test_only_repeated_or_similar_lines_are_looked_up(spark):
+    once = [(i, f"own{i} words{i} of{i} this{i} line{i}") for i in range(50)]
+    docs = [*once, (50, "said again by two of them"), (51, "said again by two of them"), (51, "said again by two of them"), (52, "said again by two of them all")]
+    assert run(spark, docs) == brute(docs) == {51: [0], 52: [0]}
+    sets = L.line_sets(spark.createDataFrame(docs, "doc_id long, text string"), Fraction(4, 5), 5, 20)
+    assert sets.filter("repeated").count() == 1
