@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.operators.order import row_positions
-from histomesh.operators.permutation import TILE_POINTS, frames, permuted_pair_counts, shuffled_codes, toroidal_rows
+from histomesh.operators.permutation import TILE_POINTS, frames, permuted_pair_sums, shuffled_codes, toroidal_rows
 from histomesh.operators.spatial import radius_pairs
 from histomesh.session import durable
 
@@ -113,19 +113,13 @@ def interaction_z(
     if null_model == "toroidal":
         offsets = offsets if offsets is not None else unit_offsets(permutations, seed)
     n_perm = len(offsets) if null_model == "toroidal" else permutations
-    big = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_PATCHES).drop("_n")
-    points = durable(patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(big, keys, "left_semi"))
+    big = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_PATCHES)
+    points = durable(patches.select(*keys, "patch_id", "x_um", "y_um", "habitat").join(big, keys))
     counts = durable(
-        permuted_pair_counts(points, keys, n_habitats, radius, offsets if null_model == "toroidal" else None, n_perm, seed, tile_points)
-    )
-    whole = counts.filter("perm = 0").groupBy(*keys).agg(F.sum("n").alias("_total"))
-    n = F.col("n").cast("decimal(19,0)")
-    null = F.col("perm") > 0
-    sums = counts.filter(F.col("b") < n_habitats).groupBy(*keys, "a", "b").agg(
-        F.coalesce(F.max(F.when(F.col("perm") == 0, F.col("n"))), F.lit(0)).alias("_obs"),
-        F.coalesce(F.sum(F.when(null, n)), F.lit(0)).cast("decimal(38,0)").alias("_s"),
-        F.coalesce(F.sum(F.when(null, n * n)), F.lit(0)).cast("decimal(38,0)").alias("_ss"),
+        permuted_pair_sums(points, keys, n_habitats, radius, offsets if null_model == "toroidal" else None, n_perm, seed, tile_points)
     )
+    whole = counts.groupBy(*keys).agg(F.sum("obs").alias("_total")).filter(F.col("_total") > 0)
+    sums = counts.filter(F.col("b") < n_habitats).select(*keys, "a", "b", F.col("obs").alias("_obs"), F.col("s").alias("_s"), F.col("ss").alias("_ss"))
     twice = F.when(F.col("a") == F.col("b"), F.lit(2.0)).otherwise(F.lit(1.0)) / (2 * F.col("_total"))
     spread = F.sqrt((n_perm * F.col("_ss") - F.col("_s") * F.col("_s")).cast("double")) / n_perm
     scored = sums.join(whole, keys).select(

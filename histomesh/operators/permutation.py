@@ -12,6 +12,9 @@ pair of tiles:
 
 Shuffled labels need no data at all: a keyed bijection moves a point's position in the sample, and the
 label is that of the run in which the new position falls when all labels are laid out in order.
+
+Samples of one tile go through both steps in the task that has them, and leave it as sums over the
+permutations. There a raster tells, per pixel, which points can be nearest to a place in it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histomesh.operators.groups import by_whole_groups
 from histomesh.operators.order import row_positions
 from histomesh.operators.spatial import knn_join
 from histomesh.session import durable, spread
@@ -31,6 +35,8 @@ MISSING = 255
 PERMUTATIONS_AT_ONCE = 256
 COLUMNS_AT_ONCE = 64
 ROUNDS = 6
+CROWD = 256  # points about a pixel beyond which it has no list
+ENTRIES = 1 << 20  # numbers in a block
 
 
 def label_code(n_labels: int) -> Column:
@@ -366,3 +372,254 @@ def permuted_pair_counts(
     schema = ", ".join(f"`{k}` {dict(patches.dtypes)[k]}" for k in keys) + ", perm int, a int, b int, n bigint"
     parts = spread(rows, [*keys, "_tx", "_ty"]).groupBy(*keys, "_tx", "_ty").applyInArrow(count_tile, schema)
     return parts.groupBy(*keys, "perm", "a", "b").agg(F.sum("n").alias("n"))
+
+
+# ---- samples of one tile
+
+
+def _scrambled(n: int, keys: np.ndarray) -> np.ndarray:
+    """``keyed_positions`` of all of [0, n), (rows of ``keys`` x n): a round's result is looked up by its few possible sources."""
+    bits = max(int(n - 1).bit_length(), 2)
+    low, rows = bits // 2, len(keys)
+    high = bits - low
+    own = np.arange(1 << bits)
+    a, b = np.tile(own & ((1 << low) - 1), (rows, 1)), np.tile(own >> low, (rows, 1))
+    for r in range(ROUNDS):
+        source, width, mask = (a, low, (1 << high) - 1) if r % 2 else (b, high, (1 << low) - 1)
+        m = (np.arange(1 << width, dtype=np.uint64) + keys[:, r, None]) * np.uint64(0x9E3779B97F4A7C15)
+        m ^= m >> np.uint64(29)
+        m *= np.uint64(0xBF58476D1CE4E5B9)
+        m = ((m >> np.uint64(32)) & np.uint64(mask)).astype(np.int64)
+        step = m.ravel()[source + (np.arange(rows) << width)[:, None]]
+        if r % 2:
+            b ^= step
+        else:
+            a ^= step
+    whole = (b << low) | a
+    value = whole[:, :n].copy()
+    row, at = np.nonzero(value >= n)
+    while len(row):
+        value[row, at] = whole[row, value[row, at]]
+        out = value[row, at] >= n
+        row, at = row[out], at[out]
+    return value
+
+
+def shuffled_whole(n: int, counts: np.ndarray, permutations: int, seed: int, salt: int) -> np.ndarray:
+    """``shuffled_codes`` of all positions, (permutations x n)."""
+    keys = _permutation_keys(permutations, seed, salt)
+    label = np.full(n, len(counts), np.uint8)
+    label[: counts.sum()] = np.repeat(np.arange(len(counts)), counts)
+    step = max(1, ENTRIES // (64 * max(n, 1)))
+    return np.concatenate([np.zeros((0, n), np.uint8), *(label[_scrambled(n, keys[a : a + step])] for a in range(0, permutations, step))])
+
+
+class Raster:
+    """Which of the targets can be nearest to a place, by pixels over a box that holds them all.
+
+    A target nearest to some place in a pixel is no farther from its centre than the centre's nearest target
+    and twice half the diagonal. Pixels with too many targets about them, or with none, have no list.
+    """
+
+    def __init__(self, tx: np.ndarray, ty: np.ndarray, box: tuple[float, float, float, float], g: int):
+        self.x0, self.y0, self.w, self.h = x0, y0, w, h = box
+        self.tx, self.ty, self.g = tx, ty, g
+        slack = 1e-9 * (w + h) + 1e-14 * (abs(x0) + abs(y0))
+        self.around = 2 * (np.hypot(w / g, h / g) / 2 + slack)
+        pixels, per_cell, kept = np.arange(g * g), 2, []
+        while len(pixels):  # those whose list needs more than the cells about them go on to larger cells
+            key, pixels, whole = self._listed(pixels, max(np.sqrt(w * h * per_cell / len(tx)), max(w, h) / 2048, 1e-9))
+            kept.append(key)
+            per_cell *= 4
+            if whole:
+                break
+        key = np.sort(np.concatenate(kept))
+        self.target = key % len(tx)
+        self.lx, self.ly = tx[self.target], ty[self.target]
+        self.begin = np.searchsorted(key, np.arange(g * g + 1) * len(tx))
+
+    def _listed(self, pixels: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pixel and target of the lists found in 3 x 3 cells of ``side``, as one number; the other pixels; whether there are no larger cells."""
+        tx, ty, g, n = self.tx, self.ty, self.g, len(self.tx)
+        nx, ny = int(self.w / side) + 1, int(self.h / side) + 1
+        order, start = _cells(((ty - self.y0) / side).astype(np.int64) * nx + ((tx - self.x0) / side).astype(np.int64), nx * ny)
+
+        def axis(at, lo, size, cells):  # centres, their cell, and how far the cells about it reach
+            at = (at + 0.5) * (size / g)
+            cell = (at / side).astype(np.int64)
+            rim = np.minimum(np.where(cell <= 1, np.inf, at - (cell - 1) * side), np.where(cell + 2 >= cells, np.inf, (cell + 2) * side - at))
+            return lo + at, cell, rim
+
+        px, cx, rx = axis(pixels % g, self.x0, self.w, nx)
+        py, cy, ry = axis(pixels // g, self.y0, self.h, ny)
+        line = cy[:, None] + np.array([-1, 0, 1])
+        inside = (line >= 0) & (line < ny)
+        line = np.where(inside, line, 0) * nx
+        first = start[line + np.maximum(cx - 1, 0)[:, None]]
+        size = np.where(inside, start[line + np.minimum(cx + 1, nx - 1)[:, None] + 1] - first, 0)
+        rim = np.minimum(ry, rx) * (1 - 1e-9)
+        per = size.sum(1)
+        crowded = per > CROWD
+        size[crowded], per[crowded] = 0, 0
+        total = np.r_[0, np.cumsum(per)]
+        kept, listed, a = [np.zeros(0, np.int64)], crowded, 0
+        while a < len(pixels):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + ENTRIES, "right")) - 1)
+            some = a + np.flatnonzero(per[a:b])
+            if len(some):
+                at, each = first[some].ravel(), size[some].ravel()
+                t = order[np.repeat(at - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                dx, dy = tx[t] - np.repeat(px[some], per[some]), ty[t] - np.repeat(py[some], per[some])
+                d = dx * dx + dy * dy
+                reach = np.sqrt(np.minimum.reduceat(d, np.r_[0, np.cumsum(per[some])[:-1]])) + self.around
+                sure = reach < rim[some]
+                listed[some] = sure
+                near = d <= np.repeat(np.where(sure, reach * reach, -1.0), per[some])
+                kept.append(np.repeat(pixels[some] * n, per[some])[near] + t[near])
+            a = b
+        return np.concatenate(kept), pixels[~listed], nx * ny == 1
+
+    def labels(self, label: np.ndarray) -> np.ndarray:
+        """Per pixel the label of all targets of its list, MISSING if they differ or there are none."""
+        out = np.full(self.g * self.g, MISSING, np.uint8)
+        some = np.flatnonzero(self.begin[1:] > self.begin[:-1])
+        if len(some):
+            own = label[self.target]
+            least, most = (f.reduceat(own, self.begin[some]) for f in (np.minimum, np.maximum))
+            out[some] = np.where(least == most, least, MISSING)
+        return out
+
+    def nearest(self, pixel: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The target nearest to each place, of equal ones the first."""
+        at, last = self.begin[pixel], self.begin[pixel + 1]
+        row = np.full(len(x), -1)
+        live = np.flatnonzero(at < last)
+        at, last, px, py = at[live], last[live], x[live], y[live]
+        near, place = np.full(len(live), np.inf), at.copy()
+        while len(live):
+            dx, dy = self.lx[at] - px, self.ly[at] - py
+            d = dx * dx + dy * dy
+            np.copyto(place, at, where=d < near)
+            np.minimum(near, d, out=near)
+            at += 1
+            more = at < last
+            if not more.all():
+                ended = ~more
+                row[live[ended]] = self.target[place[ended]]
+                live, at, last, px, py, near, place = (v[more] for v in (live, at, last, px, py, near, place))
+        rest = np.flatnonzero(row < 0)
+        if len(rest):
+            row[rest] = nearest_rows(self.tx, self.ty, x[rest], y[rest])[0]
+        return row
+
+
+def toroidal_whole(x: np.ndarray, y: np.ndarray, label: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Labels (shifts x points) of points in the order of their ids, below MISSING."""
+    x0, y0 = x.min(), y.min()
+    w, h = max(x.max() - x0, 1e-9), max(y.max() - y0, 1e-9)
+    order = np.lexsort((y, x))  # of points at one place the first holds
+    new = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]
+    kept = np.sort(order[new])
+    g = int(np.ceil(np.sqrt(len(kept) * np.clip(len(shifts) / 24, 2, 16))))
+    raster = Raster(x[kept], y[kept], (x0, y0, w, h), g)
+    own = label[kept]
+    flat = raster.labels(own)
+    out = np.empty((len(shifts), len(x)), np.uint8)
+    step = max(1, ENTRIES // (64 * len(x)))
+    for a in range(0, len(shifts), step):
+        part = []
+        for v, size, column in ((x - x0, w, 0), (y - y0, h, 1)):
+            at = v + shifts[a : a + step, column, None] * size
+            if (at.max() >= 2 * size) or at.min() < 0:
+                at = np.fmod(at, size)
+            else:
+                np.subtract(at, size, out=at, where=at >= size)
+            part.append(at)
+        sx, sy = part
+        cell = lambda v, size: np.clip((v * (g / size)).astype(np.int64), 0, g - 1)
+        pixel = (cell(sy, h) * g + cell(sx, w)).ravel()
+        found = flat[pixel]
+        open_ = np.flatnonzero(found == MISSING)
+        if len(open_):
+            found[open_] = own[raster.nearest(pixel[open_], x0 + sx.ravel()[open_], y0 + sy.ravel()[open_])]
+        out[a : a + step] = found.reshape(-1, len(x))
+    return out
+
+
+def _whole_counts(x: np.ndarray, y: np.ndarray, labels: np.ndarray, n_labels: int, radius: float) -> np.ndarray:
+    """``pair_counts`` of labels (columns x points) of points in the order of their ids."""
+    k, columns = n_labels + 1, len(labels)
+    out = np.zeros((columns, k * k), np.int64)
+    kind = np.uint8 if k * k <= 256 else np.uint16
+    for i, j in _near_pairs(x, y, np.arange(len(x)), np.ones(len(x), bool), radius):
+        for start in range(0, len(i), 1 << 14):
+            p, q = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
+            step = max(1, (1 << 16) // len(p))
+            for a in range(0, columns, step):
+                block = labels[a : a + step]
+                code = block.take(p, 1).astype(kind, copy=False) * kind(k) + block.take(q, 1)
+                code = code + (np.arange(len(block)) * (k * k))[:, None]
+                out[a : a + step] += np.bincount(code.ravel(), minlength=len(block) * k * k).reshape(-1, k * k)
+    out = out.reshape(columns, k, k)
+    both = out + out.transpose(0, 2, 1)
+    both[:, np.arange(k), np.arange(k)] //= 2
+    return np.triu(both)
+
+
+def permuted_pair_sums(
+    patches: DataFrame, keys: list[str], n_labels: int, radius: float, offsets=None, permutations: int = 0, seed: int = 42, tile_points: int = TILE_POINTS
+) -> DataFrame:
+    """(keys, a, b, obs, s, ss): ``permuted_pair_counts`` of the map itself, and their sum and sum of squares over the permutations.
+
+    ``patches`` has a column ``_n``, the number of patches of the sample.
+    """
+    shifts = None if offsets is None else np.array(offsets, float).reshape(-1, 2)
+    whole = patches.filter(F.col("_n") <= tile_points).select(*keys, "patch_id", "x_um", "y_um", label_code(n_labels).alias("_own"), F.xxhash64(*keys).alias("_salt"))
+    columns = ("a", "b", "obs", "s", "s2", "s1", "s0")
+
+    def count(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x, y, own, salt = (_numbers(table, c) for c in ("x_um", "y_um", "_own", "_salt"))
+        rank = _ordered(table.column("patch_id"))
+        lead, parts = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            label = own[a:b].astype(np.uint8)
+            if shifts is None:
+                drawn = shuffled_whole(b - a, np.bincount(label, minlength=n_labels + 1)[:n_labels], permutations, seed, int(salt[a]))
+            at = np.flatnonzero(np.isfinite(x[a:b]) & np.isfinite(y[a:b]))
+            if len(at) < 2:
+                continue
+            px, py, label = x[a:b][at], y[a:b][at], label[at]
+            drawn = drawn[:, at] if shifts is None else toroidal_whole(px, py, label, shifts)
+            one = np.r_[True, rank[a:b][at][1:] != rank[a:b][at][:-1]]  # rows of one id count once
+            found = _whole_counts(px[one], py[one], np.vstack([label, drawn])[:, one], n_labels, radius)
+            i, j = np.nonzero(found.any(0))
+            null = found[1:, i, j]
+            high, low = null >> 16, null & 0xFFFF
+            parts.append(np.stack([i, j, found[0, i, j], null.sum(0), (high * high).sum(0), (high * low).sum(0), (low * low).sum(0)]))
+            lead.append(np.full(len(i), a))
+        if not parts:
+            return None
+        take = pa.array(np.concatenate(lead))
+        values = np.concatenate(parts, 1)
+        kept = [table.column(k).take(take).combine_chunks() for k in keys]
+        return pa.Table.from_arrays([*kept, *(pa.array(v, pa.int64()) for v in values)], [*keys, *columns])
+
+    kinds = dict(patches.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + ", ".join(f"{c} bigint" for c in columns)
+    counted = by_whole_groups(whole, keys, ["patch_id"], count, schema)
+    wide = lambda c, times: F.col(c).cast("decimal(38,0)") * F.lit(times).cast("decimal(11,0)")
+    squares = (wide("s2", 1 << 32) + wide("s1", 1 << 17) + wide("s0", 1)).cast("decimal(38,0)")
+    out = counted.select(*keys, F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "obs", F.col("s").cast("decimal(38,0)").alias("s"), squares.alias("ss"))
+    large = patches.filter(F.col("_n") > tile_points)
+    if large.isEmpty():
+        return out
+    n = F.col("n").cast("decimal(19,0)")
+    null = F.col("perm") > 0
+    counts = permuted_pair_counts(large, keys, n_labels, radius, offsets, permutations, seed, tile_points)
+    return out.unionByName(
+        counts.groupBy(*keys, "a", "b").agg(
+            F.coalesce(F.max(F.when(F.col("perm") == 0, F.col("n"))), F.lit(0)).alias("obs"),
+            F.coalesce(F.sum(F.when(null, n)), F.lit(0)).cast("decimal(38,0)").alias("s"),
+            F.coalesce(F.sum(F.when(null, n * n)), F.lit(0)).cast("decimal(38,0)").alias("ss"),
+        )
+    )

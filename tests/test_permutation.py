@@ -103,3 +103,32 @@ def test_string_ids_and_two_keys(spark):
     plain = {(r.a, r.b): r.z for r in I.interaction_z(table(spark, [("a", ids, xy, h)]), offsets=I.unit_offsets(5)).collect()}
     got = {(r.a, r.b): r.z for r in I.interaction_z(spark.createDataFrame(pdf), ["slide", "part"], offsets=I.unit_offsets(5)).collect()}
     assert got == plain
+
+
+def test_raster_labels_equal_all_distances():
+    shifts = np.array(I.unit_offsets(40))
+    crowd = np.r_[np.tile([[3.0, 4.0]], (300, 1)), np.random.default_rng(4).random((300, 2)) * 0.01, [[500.0, 900.0]]]
+    line = np.c_[np.arange(50.0), np.full(50, 1e6)]
+    for _, xy, h in [sample(1, 400), sample(2, 300, hole=True), sample(3, 2), (0, crowd, np.arange(601) % 7), (0, line, np.arange(50) % 3)]:
+        got = P.toroidal_whole(xy[:, 0], xy[:, 1], h.astype(np.uint8), shifts)
+        assert (got.T == brute_labels(xy, h, np.arange(len(xy)), shifts)).all()
+
+
+def test_shuffles_of_whole_samples_are_those_of_positions():
+    for n in (20, 64, 65, 457):
+        counts = np.array([n // 2, n // 5, 3])
+        want = P.shuffled_codes(np.arange(n), n, counts, 70, 42, -n)
+        assert (P.shuffled_whole(n, counts, 70, 42, -n) == want.T).all()
+
+
+def test_sums_of_a_task_are_those_of_counted_rows(spark):
+    """Samples of one tile leave their task as one row per pair of labels, not one per permutation."""
+    df = table(spark, [("a", *sample(5, 200, 600.0)), ("b", *sample(6, 90, 400.0, kinds=12))]).withColumn("_n", I.F.lit(200))
+    for offsets in (I.unit_offsets(30), None):
+        rows = P.permuted_pair_counts(df, ["sample_id"], 10, 100.0, offsets, 30).collect()
+        want = {}
+        for r in rows:
+            obs, s, ss = want.get((r.sample_id, r.a, r.b), (0, 0, 0))
+            want[r.sample_id, r.a, r.b] = (obs + r.n, s, ss) if r.perm == 0 else (obs, s + r.n, ss + r.n * r.n)
+        got = P.permuted_pair_sums(df, ["sample_id"], 10, 100.0, offsets, 30).collect()
+        assert {(r.sample_id, r.a, r.b): (r.obs, int(r.s), int(r.ss)) for r in got} == want and len(got) == len(want)
