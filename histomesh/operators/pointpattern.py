@@ -10,9 +10,11 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histomesh.operators.groups import WHOLE, by_whole_groups, column, nearest_squared
 from histomesh.operators.kernel_density import kde_cv
 from histomesh.operators.order import quantiles
 from histomesh.operators.spatial import nearest_distance, radius_join
@@ -141,21 +143,52 @@ def unit_probes(n: int = 500, seed: int = 42) -> list[tuple[float, float]]:
 
 
 def probe_distances(patches: DataFrame, keys=("sample_id",), probes=None) -> DataFrame:
-    """Distance from each window probe to the nearest point of every habitat."""
+    """Distance from each window probe to the nearest point of every habitat.
+
+    Probes of habitats of ``WHOLE`` points at most are made and measured in the task that has the points.
+    """
     probes = probes or unit_probes()
     keys = list(keys)
+    group = [*keys, "habitat"]
+    windows = durable(habitat_windows(patches, keys))
+    points = patches.select(*group, "patch_id", "x_um", "y_um")
+    small = windows.filter(F.col("n") <= WHOLE).select(*group, "x0", "x1", "y0", "y1")
+    near = _probed_in_tasks(points.join(small, group).drop("patch_id"), group, np.array(probes, float).reshape(-1, 2))
+    large = windows.filter(F.col("n") > WHOLE)
+    if large.isEmpty():
+        return near
     table = F.lit([c for p in probes for c in p])  # fixed size: 2 doubles per probe
-    windows = habitat_windows(patches, keys)
     i = F.col("probe")
-    placed = windows.withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(len(probes) - 1)))).select(
-        *keys, "habitat", "probe",
+    placed = large.withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(len(probes) - 1)))).select(
+        *group, "probe",
         (F.col("x0") + (F.col("x1") - F.col("x0")) * F.element_at(table, 2 * i + 1)).alias("px"),
         (F.col("y0") + (F.col("y1") - F.col("y0")) * F.element_at(table, 2 * i + 2)).alias("py"),
     )
-    points = durable(_points(patches, keys).select(*keys, "habitat", "patch_id", "x_um", "y_um"))
+    points = durable(points.join(large.select(*group), group))
     placed = durable(placed)
-    near = nearest_distance(placed, points, [*keys, "habitat"], "probe", "patch_id", ("px", "py"), ("x_um", "y_um"))
-    return near.select(*keys, "habitat", "probe", "nn_dist")
+    rest = nearest_distance(placed, points, group, "probe", "patch_id", ("px", "py"), ("x_um", "y_um"))
+    return near.unionByName(rest.select(*group, "probe", "nn_dist"))
+
+
+def _probed_in_tasks(points: DataFrame, group: list[str], unit: np.ndarray) -> DataFrame:
+    def measure(table: pa.Table, starts: np.ndarray) -> pa.Table | None:
+        x, y, x0, x1, y0, y1 = (column(table, c) for c in ("x_um", "y_um", "x0", "x1", "y0", "y1"))
+        lead, found = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            known = np.isfinite(x[a:b]) & np.isfinite(y[a:b])
+            if known.any():
+                px, py = x0[a] + (x1[a] - x0[a]) * unit[:, 0], y0[a] + (y1[a] - y0[a]) * unit[:, 1]
+                found.append(nearest_squared(x[a:b][known], y[a:b][known], px, py))
+                lead.append(a)
+        if not lead:
+            return None
+        take = pa.array(np.repeat(lead, len(unit)))
+        kept = [table.column(k).take(take).combine_chunks() for k in group]
+        probe = np.tile(np.arange(len(unit), dtype=np.int32), len(lead))
+        return pa.Table.from_arrays([*kept, pa.array(probe), pa.array(np.sqrt(np.concatenate(found)))], [*group, "probe", "nn_dist"])
+
+    kinds = dict(points.dtypes)
+    return by_whole_groups(points, group, [], measure, ", ".join(f"`{k}` {kinds[k]}" for k in group) + ", probe int, nn_dist double")
 
 
 def f_function(probe_dist: DataFrame, keys=("sample_id",)) -> DataFrame:

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histomesh.operators.groups import WHOLE, by_whole_groups, codes, column, nearest_squared
 from histomesh.session import durable, spread
 
 TILE = ("_tx", "_ty")
@@ -279,10 +282,53 @@ def nearest_distance(
 ) -> DataFrame:
     """Distance from each left row to the nearest right row of its group, as ``nn_dist``.
 
-    Only the minimum is wanted, so each round is one hash aggregate after the tile join.
+    Groups of ``WHOLE`` rows at most on either side are searched in the task that has them. For the others only
+    the minimum is wanted, so each round is one hash aggregate after the tile join.
     ``exclude_self`` leaves out the right row whose id equals the left id. Left rows whose group has
     no other row are dropped.
     """
+    keep = left.columns
+    if start_radius is None:
+        sizes = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_m")), on)
+        sizes = durable(sizes.select(*on, ((F.col("_n") <= WHOLE) & (F.col("_m") <= WHOLE)).alias("_whole")))
+        small, large = sizes.filter("_whole").select(*on), sizes.filter("not _whole").select(*on)
+        done = durable(_nearest_in_tasks(left.join(small, on, "left_semi"), right.join(small, on, "left_semi"), on, left_id, right_id, left_xy, right_xy, exclude_self))
+        if large.isEmpty():
+            return done
+        left, right = durable(left.join(large, on, "left_semi")), durable(right.join(large, on, "left_semi"))
+        return done.unionByName(_nearest_in_rounds(left, right, on, left_id, right_id, left_xy, right_xy, exclude_self))
+    return _nearest_in_rounds(left, right, on, left_id, right_id, left_xy, right_xy, exclude_self, start_radius)
+
+
+def _nearest_in_tasks(left, right, on, left_id, right_id, left_xy, right_xy, exclude_self) -> DataFrame:
+    own = F.struct(*left.columns).alias("_own")  # what comes back
+    rows = left.select(*on, F.col(left_id).alias("_id"), F.col(left_xy[0]).alias("_x"), F.col(left_xy[1]).alias("_y"), own)
+    none = F.lit(None).cast(rows.schema["_own"].dataType).alias("_own")
+    same = F.col(right_id) if exclude_self else F.lit(None)
+    rows = rows.unionByName(right.select(*on, same.cast(rows.schema["_id"].dataType).alias("_id"), F.col(right_xy[0]).alias("_x"), F.col(right_xy[1]).alias("_y"), none))
+
+    def search(table: pa.Table, starts: np.ndarray) -> pa.Table | None:
+        x, y = column(table, "_x").astype(float), column(table, "_y").astype(float)
+        asked = table.column("_own").is_valid().to_numpy()
+        ids = codes(table, "_id")
+        known = np.isfinite(x) & np.isfinite(y) & ((ids >= 0) | (not exclude_self))
+        found = np.full(len(x), np.inf)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            q, t = a + np.flatnonzero(known[a:b] & asked[a:b]), a + np.flatnonzero(known[a:b] & ~asked[a:b])
+            if len(q) and len(t):
+                found[q] = nearest_squared(x[t], y[t], x[q], y[q], *((ids[t], ids[q]) if exclude_self else ()))
+        hit = np.flatnonzero(np.isfinite(found))
+        if not len(hit):
+            return None
+        kept = table.column("_own").take(pa.array(hit)).combine_chunks()
+        return pa.table({"_own": kept, "nn_dist": pa.array(np.sqrt(found[hit]))})
+
+    kind = rows.schema["_own"].dataType.simpleString()
+    found = by_whole_groups(rows, on, [], search, f"_own {kind}, nn_dist double")
+    return found.select("_own.*", "nn_dist")
+
+
+def _nearest_in_rounds(left, right, on, left_id, right_id, left_xy, right_xy, exclude_self, start_radius=None) -> DataFrame:
     keep = left.columns
     exclude_equal = (left_id, right_id) if exclude_self else None
     radius, reach, largest = search_plan(left, right, on, left_xy, right_xy, 1, exclude_self, start_radius)
