@@ -13,9 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from histomesh.operators.groups import by_whole_groups, column
+
 TERMS = 18  # polynomial terms per axis
 REACH = 9  # boxes; the kernel is below 1e-13 beyond
 
@@ -46,11 +49,20 @@ def _summary(sums: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _pair_sums(points: DataFrame, group: list[str]) -> DataFrame:
-    numbered = points.select(*group, "u", "v")
-    a = numbered.withColumn("_id", F.monotonically_increasing_id())
-    b = numbered.select(*group, F.col("u").alias("u2"), F.col("v").alias("v2"))
-    du, dv = F.col("u") - F.col("u2"), F.col("v") - F.col("v2")
-    return a.join(b, group).groupBy(*group, "_id").agg(F.sum(F.exp(-(du * du + dv * dv) / 2)).alias("s"))
+    """``s`` of every point, all pairs of a group met in the task that has it."""
+
+    def sums(table: pa.Table, starts: np.ndarray) -> pa.Table | None:
+        u, v = column(table, "u"), column(table, "v")
+        known, s = np.isfinite(u) & np.isfinite(v), np.zeros(len(u))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            at = a + np.flatnonzero(known[a:b])
+            du, dv = u[at, None] - u[at], v[at, None] - v[at]
+            s[at] = np.exp(-(du * du + dv * dv) / 2).sum(1)
+        at = pa.array(np.flatnonzero(known))
+        return pa.Table.from_arrays([*(table.column(k).take(at).combine_chunks() for k in group), pa.array(s[known])], [*group, "s"])
+
+    kinds = dict(points.dtypes)
+    return by_whole_groups(points.select(*group, "u", "v"), group, [], sums, ", ".join(f"`{k}` {kinds[k]}" for k in group) + ", s double")
 
 
 def _hermite(x: np.ndarray, count: int) -> np.ndarray:
